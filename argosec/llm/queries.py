@@ -3,17 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from argosec.llm import op09_chat
+from argosec.llm.op02_cube import mix
 from argosec.llm.op03_simhash import near_duplicates
+from argosec.llm.op06_bpe import decode, encode
+from argosec.llm.op07_kneser_ney import classify
+from argosec.llm.op08_warc import round_trip
 from argosec.llm.shared import table
 
 
+def op2_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn so that sources meet their target weights in tokens and documents."""
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "n_chars")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and whether decoding them gives its text again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decode(encode(docs)).select("doc_id", "tokens", "n_tokens", (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op09_chat.render(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
+    "op2_cube": op2_cube,
     "op3_simhash": op3_simhash,
+    "op6_bpe": op6_bpe,
+    "op7_kneser_ney": op7_kneser_ney,
+    "op8_warc": op8_warc,
+    "op9_chat": op9_chat,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op9_chat": op09_chat.ORACLE}

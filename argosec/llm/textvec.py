@@ -113,6 +113,16 @@ def tokenize(data: np.ndarray, offsets: np.ndarray, by_space: bool) -> Tokens:
     return t
 
 
+def count_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Number of maximal runs of non-space bytes in each row."""
+    word = class_table()[data] > 0
+    begin = word.copy()
+    begin[1:] &= ~word[:-1]
+    at = offsets[:-1][offsets[:-1] < len(data)]
+    begin[at] = word[at]
+    return np.diff(np.concatenate(([0], np.cumsum(begin)))[offsets])
+
+
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k tokens from each position on; of len(hashes) - k + 1 positions."""
     n = len(hashes)

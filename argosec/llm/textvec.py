@@ -149,39 +149,37 @@ def i64(a: np.ndarray) -> np.ndarray:
 
 
 class HashIndex:
-    """Open addressing over 64-bit keys that are hashes already; build and look-up are vectorised."""
+    """Open addressing over distinct 64-bit keys that are hashes already; build and look-up are vectorised."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(2 * len(keys) + 1).bit_length())
+        bits = max(4, int(1.5 * len(keys) + 1).bit_length())
         self.mask = U64((1 << bits) - 1)
-        self.keys = np.zeros(1 << bits, U64)
+        self.keys, self.values = keys, values
         self.slot = np.full(1 << bits, -1, np.int32)
-        self.values = values
-        todo = np.arange(len(keys))
+        todo = np.arange(len(keys), dtype=np.int32)
         at = keys & self.mask
         while len(todo):
             free = self.slot[at] < 0
             self.slot[at[free]] = todo[free]  # of several rivals the last one stays
-            won = self.slot[at] == todo
-            self.keys[at[won]] = keys[todo[won]]
-            todo, at = todo[~won], (at[~won] + U64(1)) & self.mask
+            lost = self.slot[at] != todo
+            todo, at = todo[lost], (at[lost] + U64(1)) & self.mask
 
     def find(self, q: np.ndarray) -> np.ndarray:
         """Row of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(q), -1, np.int32)
         at = q & self.mask
         out = self.slot[at]
-        todo = np.flatnonzero((out >= 0) & (self.keys[at] != q))
+        todo = np.flatnonzero((out >= 0) & (self.keys[out] != q))
         at = at[todo]
         while len(todo):
             at = (at + U64(1)) & self.mask
             s = self.slot[at]
-            hit = (s < 0) | (self.keys[at] == q[todo])
+            hit = (s < 0) | (self.keys[s] == q[todo])
             out[todo[hit]] = s[hit]
             todo, at = todo[~hit], at[~hit]
         return out
 
     def get(self, q: np.ndarray, default):
-        if not len(self.values):
-            return np.full(len(q), default, self.values.dtype)
         r = self.find(q)
-        return np.where(r >= 0, self.values[r], self.values.dtype.type(default))
+        return np.where(r >= 0, self.values[r], self.values.dtype.type(default)) if len(self.values) else np.full(len(q), default, np.float32)

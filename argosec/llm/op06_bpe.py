@@ -16,7 +16,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections import defaultdict
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +24,12 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from argosec.llm.textvec import flat
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-BATCH_CHARS = 1 << 22
+BATCH_BYTES = 1 << 22
+KEPT_PIECES = 300_000
 _BPE: dict = {}
 
 
@@ -56,6 +59,7 @@ class Bpe:
         lens = np.array([len(b) for b in self.bytes], np.int64)
         self.start, self.len = np.cumsum(lens) - lens, lens
         self.pool = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.forget()
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, or -1."""
@@ -130,29 +134,46 @@ class Bpe:
         count = np.bincount(np.searchsorted(end, got, "right"), minlength=len(pieces))
         return ids[got], count
 
+    def forget(self) -> None:
+        """Pieces seen so far, with their ids; kept over the batches of a worker up to KEPT_PIECES."""
+        self.number: dict = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.ids, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32)
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text)."""
-        number: dict = defaultdict()
-        number.default_factory = number.__len__
-        per = [self.find(x) if x else () for x in texts]
-        place = np.fromiter(map(number.__getitem__, chain.from_iterable(per)), np.int64, sum(map(len, per)))
-        ids, count = self.encode_pieces([p.encode() for p in number])
-        first = np.cumsum(count) - count
-        out, lens = gather(ids, first[place], count[place])
-        piece_end = np.cumsum(np.fromiter(map(len, per), np.int64, len(per)))
-        total = np.concatenate(([0], np.cumsum(lens)))[piece_end] if len(per) else np.zeros(0, np.int64)
+        if len(self.number) > KEPT_PIECES:
+            self.forget()
+        known = len(self.number)
+        size = np.zeros(len(texts), np.int64)
+        place = []
+        for i, x in enumerate(texts):
+            if x:
+                got = self.find(x)
+                size[i] = len(got)
+                place.append(np.fromiter(map(self.number.__getitem__, got), np.int32, len(got)))
+        place = np.concatenate(place) if place else np.zeros(0, np.int32)
+        ids, count = self.encode_pieces([p.encode() for p in islice(self.number, known, None)])
+        self.ids, self.count = np.concatenate((self.ids, ids.astype(np.int32))), np.concatenate((self.count, count.astype(np.int32)))
+        first = np.cumsum(self.count, dtype=np.int32) - self.count
+        count = self.count[place]
+        out = gather(self.ids, first[place], count)
+        total = np.concatenate(([0], np.cumsum(count, dtype=np.int64)))[np.cumsum(size)]
         return out, np.diff(total, prepend=0)
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of a run of ids."""
-        return gather(self.pool, self.start[ids], self.len[ids])[0]
+        return gather(self.pool, self.start[ids], self.len[ids])
 
 
-def gather(pool: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Concatenation of pool[first:first + count] over all pairs."""
-    total = int(count.sum())
-    begin = np.cumsum(count) - count
-    return pool[np.arange(total) + np.repeat(first - begin, count)], count
+def gather(pool: np.ndarray, first: np.ndarray, count: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """Concatenation of pool[first:first + count] over all pairs, by steps of so many pairs."""
+    out = []
+    for a in range(0, len(first), step):
+        f, c = first[a : a + step], count[a : a + step]
+        begin = np.cumsum(c) - c
+        out.append(pool[np.arange(int(c.sum())) + np.repeat(f - begin, c)])
+    return np.concatenate(out) if out else pool[:0]
 
 
 def bpe(path: str) -> Bpe:
@@ -161,7 +182,7 @@ def bpe(path: str) -> Bpe:
     return _BPE[path]
 
 
-def _pieces_of(batch, limit: int = BATCH_CHARS):
+def _pieces_of(batch, limit: int = BATCH_BYTES):
     """Slices of a batch of about `limit` bytes of its last column."""
     size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     a = 0
@@ -171,7 +192,7 @@ def _pieces_of(batch, limit: int = BATCH_CHARS):
         a = min(b, batch.num_rows)
 
 
-def _encode(path: str, names: list[str]):
+def _encode(path: str, names: list[str], verify: bool):
     def run(batches):
         model = bpe(path)
         for batch in batches:
@@ -180,8 +201,18 @@ def _encode(path: str, names: list[str]):
                 ids, n = model.encode(text.to_pylist())
                 null = np.asarray(text.is_null())
                 off = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(off, mask=np.append(null, False)) if null.any() else pa.array(off), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], tokens, pa.array(n, mask=null)], [*names, "tokens", "n_tokens"])
+                tokens = pa.ListArray.from_arrays(pa.array(off, mask=np.append(null, False)) if null.any() else pa.array(off), pa.array(ids))
+                cols = [*b.columns[:-1], tokens, pa.array(n, mask=null)]
+                if verify:
+                    data, begin = flat(text)
+                    size = np.concatenate(([0], np.cumsum(model.len[ids])))[off]
+                    back = model.decode(ids)
+                    same = np.diff(size) == np.diff(begin)
+                    if same.all():
+                        differ = np.concatenate(([0], np.cumsum(back != data)))
+                        same = differ[begin[1:]] == differ[begin[:-1]]
+                    cols.append(pa.array(same, mask=null))
+                yield pa.RecordBatch.from_arrays(cols, [*names, *("tokens", "n_tokens", "round_trip")[: 2 + verify]])
 
     return run
 
@@ -207,11 +238,15 @@ def _schema(df: DataFrame, names: list[str], more: str) -> str:
     return ", ".join([*(f"`{n}` {kinds[n]}" for n in names), more])
 
 
-def encode(docs: DataFrame, ranks: str = RANKS, drop_text: bool = False) -> DataFrame:
-    """docs with tokens (array<int>) and n_tokens of the column text; no shuffle."""
-    names = [c for c in docs.columns if c not in ("tokens", "n_tokens") and not (drop_text and c == "text")]
+def encode(docs: DataFrame, ranks: str = RANKS, drop_text: bool = False, verify: bool = False) -> DataFrame:
+    """docs with tokens (array<int>) and n_tokens of the column text; no shuffle.
+
+    With verify also round_trip: whether the decoded bytes are the bytes of the text.
+    """
+    new = ("tokens", "n_tokens", "round_trip")[: 2 + verify]
+    names = [c for c in docs.columns if c not in new and not (drop_text and c == "text")]
     use = docs.select(*(F.col(f"`{c}`") for c in names), F.col("text").cast("string").alias("__text"))
-    return use.mapInArrow(_encode(ranks, names), _schema(docs, names, "tokens array<int>, n_tokens long"))
+    return use.mapInArrow(_encode(ranks, names, verify), _schema(docs, names, "tokens array<int>, n_tokens long" + ", round_trip boolean" * verify))
 
 
 def decode(tokens: DataFrame, ranks: str = RANKS) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from argosec.llm import op09_chat
+from argosec.llm import op10_threshold as op10_threshold_search
 from argosec.llm.op02_cube import mix
 from argosec.llm.op03_simhash import near_duplicates
-from argosec.llm.op06_bpe import decode, encode
+from argosec.llm.op05_projection import near_vectors
+from argosec.llm.op06_bpe import encode
 from argosec.llm.op07_kneser_ney import classify
 from argosec.llm.op08_warc import round_trip
 from argosec.llm.shared import table
@@ -26,7 +27,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether decoding them gives its text again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decode(encode(docs)).select("doc_id", "tokens", "n_tokens", (F.col("decoded") == F.col("text")).alias("round_trip"))
+    return encode(docs, drop_text=True, verify=True)
 
 
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,13 +42,23 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op09_chat.render(table(spark, sf_dir, "conversations"))
 
 
+def op5_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op10_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_threshold_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op2_cube": op2_cube,
     "op3_simhash": op3_simhash,
+    "op5_projection": op5_projection,
     "op6_bpe": op6_bpe,
     "op7_kneser_ney": op7_kneser_ney,
     "op8_warc": op8_warc,
     "op9_chat": op9_chat,
+    "op10_threshold": op10_threshold,
 }
 
-ORACLE: dict[str, str] = {"op9_chat": op09_chat.ORACLE}
+ORACLE: dict[str, str] = {"op9_chat": op09_chat.ORACLE, "op10_threshold": op10_threshold_search.ORACLE}

@@ -15,7 +15,7 @@ Words are separated by ASCII white space. A passage is a maximal repeat if it ha
 Row: (repeat_id, parent_id, n_words, n_occurrences, doc_id, start_word, drop_words). An occurrence stands in
 the longest repeat that begins at its place; the occurrences of a repeat are those of its row
 group and of all repeats that name it, or one of those, as parent (n_occurrences counts them all).
-Written so, the tree is linear in the number of suffixes, however many copies a passage has.
+A repeat whose occurrences all begin longer ones has one row with a null doc_id. Written so, the tree is linear in the number of suffixes, however many copies a passage has.
 drop_words is the length of the longest repeat from there on that already occurs at a lesser
 (doc_id, start_word), 0 if none does.
 
@@ -37,16 +37,21 @@ from pyspark.sql import functions as F
 from argosec.llm.shared import stash
 from argosec.llm.textvec import chunks, flat, grams, mix64, powers, sliding, tokenize
 
-MIN_WORDS, GRAM = 50, 24
+MIN_WORDS = 50
 SHARD_WORDS = 1_000_000
 _MUL = 0xC2B2AE3D27D4EB4F | 1
 ROW = "repeat_id long, parent_id long, n_words int, n_occurrences int, doc_id long, start_word int, drop_words int, rid long"
 
 
+def gram(min_words: int) -> int:
+    """Words in a hash: 24 for 50, so that chosen hashes lie at most 27 places apart."""
+    return max(1, min_words // 2 - 1)
+
+
 def winnow(h: np.ndarray, first: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the GRAM-word hashes chosen in the windows of each row; first: row borders."""
-    w = min_words - GRAM + 1
-    g = grams(h, GRAM)
+    """(places, hashes) of the gram-word hashes chosen in the windows of each row; first: row borders."""
+    w = min_words - gram(min_words) + 1
+    g = grams(h, gram(min_words))
     if len(g) < w:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     n = len(g) - w + 1  # windows
@@ -80,7 +85,8 @@ _SEGMENT = "part int, rid long, doc_id long, start int, at_start boolean, words
 
 def _segments(min_words: int):
     """Stretches of candidate text: columns rid, doc_id, text, marks (array of pos, h, part)."""
-    w = min_words - GRAM + 1
+    k = gram(min_words)
+    w = min_words - k + 1
 
     def run(batches):
         for b in batches:
@@ -101,7 +107,7 @@ def _segments(min_words: int):
                     lo, hi = t.first[i - a], t.first[i - a + 1]
                     cut = np.flatnonzero(np.concatenate(([True], np.diff(p) > w, [True])))
                     for c, d in zip(cut[:-1], cut[1:]):
-                        x, y = max(0, p[c] - w), min(hi - lo, p[d - 1] + GRAM + w)
+                        x, y = max(0, p[c] - w), min(hi - lo, p[d - 1] + k + w)
                         row = (int(rid[i]), int(doc[i]), int(x), bool(x == 0), short[lo + x : lo + y].tobytes(), (p[c:d] - x).astype(np.int32).tobytes(), h[c:d].tobytes(), q[c:d].astype(np.int32).tobytes())
                         for part in np.unique(q[c:d]).tolist():
                             out.append((part, *row))
@@ -248,7 +254,7 @@ def _merge(a: list, b: list) -> None:
 
 
 def shard_repeats(part: int, t: pa.Table, min_words: int) -> pa.Table:
-    w = min_words - GRAM + 1
+    w = min_words - gram(min_words) + 1
     rid, doc, start = (t.column(c).to_numpy() for c in ("rid", "doc_id", "start"))
     order = np.lexsort((start, rid))
     keep = order[np.concatenate(([True], (rid[order][1:] != rid[order][:-1]) | (start[order][1:] != start[order][:-1])))] if len(order) else order
@@ -315,8 +321,12 @@ def shard_repeats(part: int, t: pa.Table, min_words: int) -> pa.Table:
     ids = mix64(np.arange(len(lengths), dtype=np.uint64) + np.uint64(part << 32), 5).view(np.int64)
     parents = np.array(parents, np.int64)
     up = pa.array(np.where(parents >= 0, ids[np.maximum(parents, 0)], 0), mask=parents < 0) if len(parents) else pa.array([], pa.int64())
-    k = node[has]
-    return _result([ids[k], up.take(pa.array(k)), np.array(lengths, np.int32)[k], np.array(counts, np.int32)[k], doc[seg][has], place[has].astype(np.int32), drop[has], rid[seg][has]])
+    bare = np.setdiff1d(np.arange(len(lengths)), node[has])  # every occurrence begins a longer repeat
+    k = np.concatenate((node[has], bare))
+    place, drop = np.append(place[has], np.zeros(len(bare), np.int64)), np.append(drop[has], np.zeros(len(bare), np.int32))
+    none = np.arange(len(k)) >= has.sum()
+    doc, rid = (np.append(x[seg][has], np.zeros(len(bare), np.int64)) for x in (doc, rid))
+    return _result([ids[k], up.take(pa.array(k)), np.array(lengths, np.int32)[k], np.array(counts, np.int32)[k], pa.array(doc, mask=none), pa.array(place.astype(np.int32), mask=none), drop, pa.array(rid, mask=none)])
 
 
 def _result(cols) -> pa.Table:
@@ -326,7 +336,7 @@ def _result(cols) -> pa.Table:
 
 
 def _shard(min_words: int):
-    def run(key, t: pa.Table) -> pa.Table:
+    def run(key, t):
         return shard_repeats(key[0].as_py(), t, min_words)
 
     return run
@@ -345,7 +355,7 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS, shard_words: int =
     chosen = x.select("rid", "text").mapInArrow(_winnow(min_words), "rid long, h long, pos int").repartition(n, "h")
     again = chosen.groupBy("h").agg(F.count("*").alias("n"), F.min("rid").alias("label")).where("n > 1").select("h", "label")
     marks = stash(chosen.join(again, "h"), "marks")
-    shards = max(1, -(-marks.count() * (min_words - GRAM) // (2 * shard_words)))
+    shards = max(1, -(-marks.count() * (min_words - gram(min_words)) // (2 * shard_words)))
     part = F.pmod(F.xxhash64("label"), F.lit(shards)).cast("int")
     by = marks.groupBy("rid").agg(F.collect_set(F.struct("pos", "h", part.alias("part"))).alias("marks"))
     full = x.join(by, "rid").select("rid", "doc_id", "text", "marks")

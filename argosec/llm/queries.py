@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from argosec.llm import op09_chat
 from argosec.llm import op10_threshold as op10_threshold_search
+from argosec.llm.op01_repeats import repeats
 from argosec.llm.op02_cube import mix
 from argosec.llm.op03_simhash import near_duplicates
+from argosec.llm.op04_pseudo import score
 from argosec.llm.op05_projection import near_vectors
 from argosec.llm.op06_bpe import encode
 from argosec.llm.op07_kneser_ney import classify
@@ -15,6 +18,10 @@ from argosec.llm.op08_warc import round_trip
 from argosec.llm.shared import table
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents drawn so that sources meet their target weights in tokens and documents."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "n_chars")
@@ -42,6 +49,10 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op09_chat.render(table(spark, sf_dir, "conversations"))
 
 
+def op4_pseudo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op5_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -51,14 +62,19 @@ def op10_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_repeats": op1_repeats,
     "op2_cube": op2_cube,
     "op3_simhash": op3_simhash,
+    "op4_pseudo": op4_pseudo,
     "op5_projection": op5_projection,
     "op6_bpe": op6_bpe,
     "op7_kneser_ney": op7_kneser_ney,
     "op8_warc": op8_warc,
     "op9_chat": op9_chat,
     "op10_threshold": op10_threshold,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {"op9_chat": op09_chat.ORACLE, "op10_threshold": op10_threshold_search.ORACLE}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -1 +1 @@
-"""functions of the security engine."""
+"""Scalar functions of the security engine."""

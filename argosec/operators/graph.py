@@ -97,7 +97,7 @@ def reaching_definitions(nodes: list[dict]) -> dict[int, dict[str, set[int]]]:
     return ins
 
 
-def _edges(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _edges(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     flow = Flow(pdf.sort_values("ix").to_dict("records"))
     return pd.DataFrame([(key[0], *e) for e in flow.edges], columns=["path", "from_ix", "to_ix", "kind"])
 
@@ -108,7 +108,7 @@ def cfg_edges(nodes: DataFrame) -> DataFrame:
     return use.groupBy("path").applyInPandas(_edges, "path string, from_ix int, to_ix int, kind string")
 
 
-def _reach(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _reach(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     ins = reaching_definitions(pdf.sort_values("ix").to_dict("records"))
     rows = [(key[0], n, v, d) for n, by in ins.items() for v, ds in by.items() for d in sorted(ds)]
     return pd.DataFrame(rows, columns=["path", "ix", "var", "def_ix"])

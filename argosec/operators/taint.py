@@ -103,7 +103,7 @@ _OUT = "path string, language string, var string, tainted boolean, reason string
 
 
 def _fold(patterns_: dict, graphs: bool):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         from argosec.operators.graph import reaching_definitions
 
         path, language = key

@@ -17,6 +17,7 @@ from argosec.operators.taint import taint
 from argosec.parsers.front import ir_nodes
 from argosec.sources.lockfiles import dependencies
 from argosec.sources.rules import load_rules
+from argosec.storage import stash
 
 
 @dataclass
@@ -32,9 +33,9 @@ class Options:
 
 
 def sast(files: DataFrame, rules: DataFrame, graphs: bool = False, nodes: DataFrame | None = None) -> DataFrame:
-    """Syntax findings. Without `nodes` the files are parsed for each of the branches that need it; pass a stored table for large trees."""
-    n = ir_nodes(files) if nodes is None else nodes
-    t = taint(n, graphs)
+    """Syntax findings. Files are parsed once: syntax rows and taint are written to the shared folder for the branches that read them."""
+    n = stash(ir_nodes(files), "nodes") if nodes is None else nodes
+    t = stash(taint(n, graphs), "taint")
     return fd.sast_findings(match(n, rules, t), files, symbols(n), t)
 
 

@@ -27,6 +27,7 @@ class Flow:
                 self.edges += [(ix, b, "true" if i == 0 else "false") for i, b in enumerate(blocks)]
             elif kind in ("for", "while") and blocks:
                 self.edges += [(ix, blocks[0], "loop"), (blocks[0], ix, "loop-back")]
+                self.edges += [(e, ix, "loop-end") for last in self.statements(blocks[0])[-1:] for e in self.exits(last)]
             elif kind == "try" and blocks:
                 self.edges.append((ix, blocks[0], "normal"))
             elif kind == "return":

@@ -11,7 +11,6 @@ from argosec.operators.taint import patterns
 from argosec.sources.rules import with_index
 
 _ARGS = "array<struct<kind:string,text:string,source:string,kwarg_name:string,kwarg_value:string>>"
-ALWAYS = F.lit(True)
 
 
 def candidates(nodes: DataFrame, rules: DataFrame) -> DataFrame:
@@ -54,7 +53,7 @@ def filter_holds(f: Column) -> Column:
     def text(field: str, kind: str) -> Column:
         return when(F.coalesce(f[field], F.lit("")) != "", call & F.exists(args, lambda a: (a["kind"] == kind) & F.rlike(a["text"], f[field])))
 
-    inner = F.when(f["not"]["kind"] == F.col("kind"), F.when(f["not"]["kwarg"].isNull(), ALWAYS).otherwise(call & _kwarg(args, f["not"]["kwarg"]))).otherwise(F.lit(False))
+    inner = F.when(f["not"]["kind"] == F.col("kind"), F.when(f["not"]["kwarg"].isNull(), F.lit(True)).otherwise(call & _kwarg(args, f["not"]["kwarg"]))).otherwise(F.lit(False))
     tests = [
         when(f["argument_count"].isNotNull(), F.coalesce(F.col("argument_count"), F.lit(0)) == f["argument_count"]),
         when(F.coalesce(f["has_attribute"], F.lit("")) != "", F.exists(F.coalesce("attribute_texts", F.array().cast("array<string>")), lambda t: F.contains(t, f["has_attribute"]))),

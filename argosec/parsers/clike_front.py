@@ -24,7 +24,15 @@ _REGEX = re.compile(r"/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*
 _ASSIGN = {"=", ":=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>=", ">>>=", "**=", "&&=", "||=", "??=", ".="}
 _BINARY = {"+", "-", "*", "/", "%", "&", "|", "^", "<", ">", "==", "!=", "===", "!==", "<=", ">=", "&&", "||", "??", "<<", ">>", "?", "**"}
 _PREFIX = {"!", "-", "+", "~", "*", "&", "...", "++", "--", "<-", "@"}
-_WORD_PREFIX = {"await", "typeof", "delete", "void", "yield", "throw", "async", "go", "print", "clone", "ref", "out", "in", "static", "public", "private", "protected", "internal", "final", "abstract", "override", "virtual", "readonly", "sealed", "synchronized", "export", "default", "declare", "abstract", "params", "unsafe", "extern", "partial", "volatile", "transient", "native"}
+_JS_PREFIX = {"await", "typeof", "delete", "void", "yield", "throw", "async"}
+_WORD_PREFIX = {
+    "javascript": _JS_PREFIX,
+    "typescript": _JS_PREFIX,
+    "go": {"go"},
+    "java": {"throw"},
+    "csharp": {"await", "throw", "ref", "out", "in"},
+    "php": {"print", "clone", "throw"},
+}
 _MODIFIERS = {"static", "public", "private", "protected", "internal", "final", "abstract", "override", "virtual", "readonly", "sealed", "synchronized", "export", "default", "declare", "async", "partial", "volatile", "transient", "unsafe", "extern", "native"}
 _WORD_BINARY = {"instanceof", "in", "of", "is", "as", "satisfies", "and", "or", "xor"}
 _CONSTANTS = {"true", "false", "null", "undefined", "nil", "True", "False", "NULL", "TRUE", "FALSE"}
@@ -572,7 +580,8 @@ class _Parser:
         a, x = self.i, self.peek()
         if self.i >= self.n:
             return None
-        if self.kind() == "op" and x in _PREFIX or self.kind() == "id" and x in _WORD_PREFIX and (self.kind(1) in ("id", "str", "num") or self.peek(1) in ("(", "{", "[", "!", "&", "*") and x in ("await", "typeof", "delete", "void", "yield", "throw", "async", "go", "print")):
+        word = self.kind() == "id" and x in _WORD_PREFIX[self.lang] and (self.kind(1) in ("id", "str", "num") or self.peek(1) in ("(", "{", "[", "!", "&", "*"))
+        if self.kind() == "op" and x in _PREFIX or word or x in _MODIFIERS and self.kind(1) == "id":
             if x == "print" and self.lang == "php":
                 return self.php_call()
             if x in ("async",) and self.peek(1) == "function":

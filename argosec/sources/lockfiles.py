@@ -64,7 +64,8 @@ def _pnpm(pdfs):
 
 def pnpm(files: DataFrame) -> DataFrame:
     k = _named(files, r"\Apnpm-lock\.ya?ml\z").select("path", "content").mapInPandas(_pnpm, "path string, k string")
-    rx = r"\A/?(.+)@([^@(]+)(?:\(.*)?\z"
+    rx = r"\A/?(.+)@([^@]+)\z"
+    k = k.withColumn("k", F.regexp_replace("k", r"\(.*\z", ""))  # what peers it was resolved with
     return _out(k.select("path", F.regexp_extract("k", rx, 1).alias("package"), F.regexp_extract("k", rx, 2).alias("version"), F.lit(True).alias("direct")), "npm")
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1_000_000
 _BYTE_MUL = 0x9E3779B97F4A7C15 | 1
 _TOKEN_MUL = 0xD1B54A32D192ED03 | 1
 _CACHE: dict = {}

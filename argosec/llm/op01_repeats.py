@@ -353,7 +353,8 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS, shard_words: int =
     x = _keyed(docs)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chosen = x.select("rid", "text").mapInArrow(_winnow(min_words), "rid long, h long, pos int").repartition(n, "h")
-    again = chosen.groupBy("h").agg(F.count("*").alias("n"), F.min("rid").alias("label")).where("n > 1").select("h", "label")
+    # the same columns as the join below reads, so that both share one exchange
+    again = chosen.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos"))["rid"].alias("label")).where("n > 1").select("h", "label")
     marks = stash(chosen.join(again, "h"), "marks")
     shards = max(1, -(-marks.count() * (min_words - gram(min_words)) // (2 * shard_words)))
     part = F.pmod(F.xxhash64("label"), F.lit(shards)).cast("int")

@@ -1,41 +1,15 @@
-"""Shared folder, tables written to it, and connected components."""
+"""Tables of the shared folder in workers, and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow.dataset as pads
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ORIGINAL = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir. Own folder only in local mode, where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if where:
-        return where.rstrip("/")
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return jsc.getCheckpointDir().get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="argosec-"))
-    return jsc.getCheckpointDir().get().rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/argosec/{name}-{uuid.uuid4().hex[:12]}"
-
+from argosec.storage import new_path, shared_dir, stash
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read again."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["components", "drop_path", "drop_stash", "new_path", "shared_dir", "stash", "table", "worker_fs", "worker_table"]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -13,7 +13,7 @@ Defined results: an empty file gives no row; a file of rubbish is one gap; a rec
 end of the file is a gap up to there; trailing padding of zero bytes or white space is a gap as
 well; records without a target URI have uri null; repeated records are each given; a payload
 that is not UTF-8 is given as bytes. A null html is written as an empty payload and
-a null url without a target URI.
+a null url without a target URI; a null page_id comes back as null.
 """
 
 from __future__ import annotations
@@ -200,7 +200,7 @@ def _write(path: str, damage):
         with fs.open_output_stream(f"{bare}/{name}", compression=None) as out:
             for b in batches:
                 for pid, url, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                    raw = member(record(str(pid), url, (html or "").encode()))
+                    raw = member(record("none" if pid is None else str(pid), url, (html or "").encode()))
                     out.write(damage(pid, raw) if damage else raw)
                     n += 1
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["name", "n"])
@@ -242,4 +242,4 @@ def round_trip(pages: DataFrame) -> DataFrame:
     path = new_path(pages.sparkSession, "warc")
     write_warc(pages, path, harm)
     got = read_warc(pages.sparkSession, path)
-    return got.select("kind", F.col("record_id").cast("long").alias("page_id"), F.col("uri").alias("url"), F.col("payload").cast("string").alias("html"), F.when(F.col("kind") == "gap", F.col("size")).alias("gap_bytes"), "reason")
+    return got.select("kind", F.col("record_id").try_cast("long").alias("page_id"), F.col("uri").alias("url"), F.col("payload").cast("string").alias("html"), F.when(F.col("kind") == "gap", F.col("size")).alias("gap_bytes"), "reason")

@@ -19,14 +19,12 @@ DETECTORS = (
 )
 
 
-def detect(line: Column) -> Column:
-    """Array of (rule_id, rule_name, secret, entropy, severity) of a line; the first match of each detector."""
-    found = []
-    for rule, name, rx, floor, severity in DETECTORS:
-        secret = F.regexp_extract(line, rx, 1)
-        h = entropy(secret)
-        hit = line.rlike(rx) & ((h >= floor) if floor else F.lit(True))
-        found.append(F.when(hit, F.struct(F.lit(rule).alias("rule_id"), F.lit(name).alias("rule_name"), secret.alias("secret"), h.alias("entropy"), F.lit(severity).alias("severity"))))
+ANY = "|".join(f"(?:{rx})" for _, _, rx, _, _ in DETECTORS)
+
+
+def matches(line: Column) -> Column:
+    """Array of (rule_id, rule_name, secret, floor, severity): the first match of each detector in a line, entropy not yet looked at."""
+    found = [F.when(line.rlike(rx), F.struct(F.lit(rule).alias("rule_id"), F.lit(name).alias("rule_name"), F.regexp_extract(line, rx, 1).alias("secret"), F.lit(floor).cast("double").alias("floor"), F.lit(severity).alias("severity"))) for rule, name, rx, floor, severity in DETECTORS]
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
@@ -37,7 +35,9 @@ def fingerprint(rule: Column, secret: Column) -> Column:
 
 def secrets_of_lines(rows: DataFrame) -> DataFrame:
     """Findings of (path, line_no, line); the secret itself does not leave this function."""
-    hits = rows.withColumn("hit", F.explode(detect(F.col("line")))).select("path", "line_no", "hit.*")
+    some = rows.where(F.col("line").rlike(ANY))  # one pass drops most lines
+    hits = some.select("path", "line_no", F.explode(matches(F.col("line"))).alias("hit")).select("path", "line_no", "hit.*")
+    hits = hits.withColumn("entropy", entropy(F.col("secret"))).where(F.col("floor").isNull() | (F.col("entropy") >= F.col("floor")))
     return hits.select("rule_id", "rule_name", "severity", "path", "line_no", "entropy", redact(F.col("secret")).alias("redacted"), fingerprint(F.col("rule_id"), F.col("secret")).alias("fingerprint"))
 
 

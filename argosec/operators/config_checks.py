@@ -15,6 +15,7 @@ from argosec.sources.config_kv import env_entries, file_named, property_entries,
 from argosec.sources.walk import lines
 
 NON_PROD_SUFFIX = r"\.(?:dev|development|dist|example|local|sample|test|testing)\z"
+_QUOTE, _IS = r"[\x22\x27]?", r"\s*=\s*"
 _LOW_PATH = lambda: F.lower("path")
 
 
@@ -49,8 +50,8 @@ def express_without_helmet(files: DataFrame) -> DataFrame:
 def wildcard_cors(files: DataFrame) -> DataFrame:
     yml = files.where(_LOW_PATH().rlike(r"\.ya?ml\z"))
     entries = yaml_entries(yml).where(F.lower("key").contains("origin") & (F.trim("value") == "*"))
-    code = lines(files.where(_LOW_PATH().rlike(r"\.(?:cs|go|java|php)\z"))).where(F.col("line").rlike(r"""(?iu)access-control-allow-origin["']?\s*[,:=]\s*["']?\*"""))
-    text = lines(files.where(_LOW_PATH().rlike(r"\.(?:conf|json|env)\z") | file_named(r"\A\.env"))).where(F.col("line").rlike(r"""(?iu)origin[-_a-z]*["']?\s*[:=]\s*["']?\*"""))
+    code = lines(files.where(_LOW_PATH().rlike(r"\.(?:cs|go|java|php)\z"))).where(F.col("line").rlike(rf"(?iu)access-control-allow-origin{_QUOTE}\s*[,:=]\s*{_QUOTE}\*"))
+    text = lines(files.where(_LOW_PATH().rlike(r"\.(?:conf|json|env)\z") | file_named(r"\A\.env"))).where(F.col("line").rlike(rf"(?iu)origin[-_a-z]*{_QUOTE}\s*[=:]\s*{_QUOTE}\*"))
     rows = code.unionByName(text).select("path", F.col("line_no").alias("line"), F.lit("Access-Control-Allow-Origin").alias("key"))
     rows = rows.unionByName(entries.select("path", "line", "key"))
     return _out(rows, "ZS-CFG-003", "cors", "medium", F.col("key"), "*")
@@ -83,21 +84,21 @@ def _line_rule(files: DataFrame, where: Column, rx: str, rule: str, framework: s
 
 
 def aspnet_errors(files: DataFrame) -> DataFrame:
-    return _line_rule(files, file_named(r"\Aweb\.config\z"), r'(?iu)<customErrors\b[^>]*\bmode\s*=\s*"off"', "ZS-CFG-007", "aspnet", "customErrors", "Off")
+    return _line_rule(files, file_named(r"\Aweb\.config\z"), rf'(?iu)<customErrors\b[^>]*\bmode{_IS}"off"', "ZS-CFG-007", "aspnet", "customErrors", "Off")
 
 
 def aspnet_browse(files: DataFrame) -> DataFrame:
-    return _line_rule(files, file_named(r"\Aweb\.config\z"), r'(?iu)<directoryBrowse\b[^>]*\benabled\s*=\s*"true"', "ZS-CFG-008", "aspnet", "directoryBrowse", "true")
+    return _line_rule(files, file_named(r"\Aweb\.config\z"), rf'(?iu)<directoryBrowse\b[^>]*\benabled{_IS}"true"', "ZS-CFG-008", "aspnet", "directoryBrowse", "true")
 
 
 def laravel_session(files: DataFrame) -> DataFrame:
     at = _LOW_PATH().endswith("config/session.php")
-    a = _line_rule(files, at, r"(?iu)'secure'\s*=>\s*(?:env\([^)]*,\s*false\s*\)|false\b)", "ZS-CFG-009", "laravel", "secure", "false")
+    a = _line_rule(files, at, r"(?iu)'secure'\s*=>\s*(?:false\b|env\((?:[^)]*,)\s*false\s*\))", "ZS-CFG-009", "laravel", "secure", "false")
     return a.unionByName(_line_rule(files, at, r"(?iu)'http_only'\s*=>\s*false\b", "ZS-CFG-009", "laravel", "http_only", "false"))
 
 
 def csrf_except(files: DataFrame) -> DataFrame:
-    rx = r"(?isu)(protected\s+\$except\s*=\s*\[(.*?)\]\s*;)"
+    rx = rf"(?isu)(protected\s+[$]except{_IS}\[(.*?)\]\s*;)"
     use = files.where(file_named(r"\Averifycsrftoken\.php\z") & F.col("content").rlike(rx)).select("path", "content", F.regexp_extract("content", rx, 1).alias("whole"), F.regexp_extract("content", rx, 2).alias("body"))
     use = use.where(F.col("body").rlike("[\"']")).withColumn("line", F.expr(r"size(split(substring_index(content, whole, 1), '\n'))"))
     return _out(use, "ZS-CFG-010", "laravel", "high", "$except", "")

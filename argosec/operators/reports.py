@@ -36,7 +36,8 @@ def sarif(findings: DataFrame) -> str:
     rules = sarif_rules(findings)
     meta = [{"id": r.rule_id, "name": r.rule_name, "defaultConfiguration": {"level": r.level}, "properties": {"tags": r.tags}} for r in rules.orderBy("rule_index").collect()]
     results = [json.loads(r.result) for r in sarif_results(findings, rules).orderBy(*ORDER).toLocalIterator()]
-    return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": "argosec", "rules": meta}}, "results": results}]})
+    run = {"results": results, "tool": {"driver": {"rules": meta, "name": "argosec"}}}
+    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json"} | {"runs": [run]})
 
 
 def _numbers(findings: DataFrame) -> dict:
@@ -76,7 +77,7 @@ def html_report(findings: DataFrame, group_by: str | None = None) -> str:
 def accuracy_markdown(summary: dict, by_language: list[dict], by_rule: list[dict]) -> str:
     out = ["# Accuracy", "", f"TP {summary['tp']}, FP {summary['fp']}, FN {summary['fn']}, precision {summary['precision']:.2%}, recall {summary['recall']:.2%}", ""]
     for title, rows, key in (("Language", by_language, "language"), ("Rule", by_rule, "rule_id")):
-        out += [f"| {title} | TP | FP | FN |", "|---|---|---|---|", *(f"| {r[key]} | {r['tp']} | {r['fp']} | {r['fn']} |" for r in rows), ""]
+        out += [f"| {title} | TP | FP | FN |", "|---|" + "---|" * 3, *(f"| {r[key]} | {r['tp']} | {r['fp']} | {r['fn']} |" for r in rows), ""]
     return "\n".join(out)
 
 

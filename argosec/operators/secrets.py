@@ -15,7 +15,7 @@ DETECTORS = (
     ("ZS-SEC-002", "GitHub token", r"(gh[po]_[0-9A-Za-z]{36}|github_pat_\w{82})", None, "critical"),
     ("ZS-SEC-003", "Generic API key", rf"(?iu)api[-_]?key\s*[=:]\s*{_Q}?([-\w]{{20,64}}){_Q}?", 3.0, "high"),
     ("ZS-SEC-004", "Hard-coded password", rf"(?iu)(?:pwd|passw(?:or)?d)\s*[=:]\s*{_Q}([^\"']{{8,}}){_Q}", 3.0, "high"),
-    ("ZS-SEC-005", "Private key", r"(-----BEGIN (?:\w+ )?PRIVATE KEY-----)", None, "critical"),
+    ("ZS-SEC-005", "Private key", r"(-{5}BEGIN (?:\w+ )?PRIVATE KEY-{5})", None, "critical"),
 )
 
 

@@ -260,7 +260,7 @@ def deps_maven(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     size, key = F.col("p_size").cast("string"), F.col("p_partkey")
     v = F.when(key % 3 == 0, F.lit("<version>${v}</version>")).when(key % 3 == 1, F.concat(F.lit("<version>[2."), size, F.lit(",3)</version>"))).otherwise(F.lit("<version>4.0</version>"))
-    xml = F.concat(F.lit('<project xmlns="http://maven.apache.org/POM/4.0.0"><properties><v>'), size, F.lit(".1</v></properties><dependencies><dependency><groupId>g"), (key % 5).cast("string"), F.lit("</groupId><artifactId>a</artifactId>"), v, F.lit("</dependency></dependencies></project>"))
+    xml = F.concat(F.lit('<project xmlns="urn:pom"><properties><v>'), size, F.lit(".1</v></properties><dependencies><dependency><groupId>g"), (key % 5).cast("string"), F.lit("</groupId><artifactId>a</artifactId>"), v, F.lit("</dependency></dependencies></project>"))
     return lockfiles.maven(p.select(F.concat(key.cast("string"), F.lit("/pom.xml")).alias("path"), xml.alias("content")))
 
 

@@ -76,7 +76,7 @@ def git_head(root: str) -> tuple[str | None, str | None]:
         except (OSError, subprocess.SubprocessError):
             return None
 
-    return ask("rev-parse", "HEAD"), ask("rev-parse", "--abbrev-ref", "HEAD")
+    return ask("rev-parse", "HEAD"), ask("branch", "--show-current")
 
 
 def files_of_rows(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ Words are separated by ASCII white space. A passage is a maximal repeat if it ha
 2. Each hash is owned by one shard, that of the least row that holds it. A document sends
    each stretch of candidate text to the shards that own a hash of it, so every occurrence of a
    passage meets in the shard that owns the hash chosen at its beginning.
+   Of more than two equal texts only the first two are sent, the second with the number it stands for.
 3. A shard builds an enhanced suffix array (suffixes in order, with the longest common prefixes of
    neighbours) of the places where the words to the left differ, and scans it with a stack: every
    interval of the tree whose occurrences differ on the left is a maximal repeat.
@@ -80,11 +81,11 @@ def _winnow(min_words: int):
     return run
 
 
-_SEGMENT = "part int, rid long, doc_id long, start int, at_start boolean, words binary, pos binary, hashes binary, parts binary"
+_SEGMENT = "part int, rid long, doc_id long, start int, at_start boolean, weight int, words binary, pos binary, hashes binary, parts binary"
 
 
 def _segments(min_words: int):
-    """Stretches of candidate text: columns rid, doc_id, text, marks (array of pos, h, part)."""
+    """Stretches of candidate text: columns rid, doc_id, text, marks (array of pos, h, part), weight."""
     k = gram(min_words)
     w = min_words - k + 1
 
@@ -92,7 +93,7 @@ def _segments(min_words: int):
         for b in batches:
             data, off = flat(b.column(2))
             rid, doc = b.column(0).to_numpy(), b.column(1).to_numpy()
-            marks = b.column(3)
+            marks, weight = b.column(3), b.column(4).to_numpy()
             begin = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(marks).to_numpy())))
             m = marks.flatten()
             pos, hs, parts = m.field(0).to_numpy(), m.field(1).to_numpy(), m.field(2).to_numpy()
@@ -108,10 +109,10 @@ def _segments(min_words: int):
                     cut = np.flatnonzero(np.concatenate(([True], np.diff(p) > w, [True])))
                     for c, d in zip(cut[:-1], cut[1:]):
                         x, y = max(0, p[c] - w), min(hi - lo, p[d - 1] + k + w)
-                        row = (int(rid[i]), int(doc[i]), int(x), bool(x == 0), short[lo + x : lo + y].tobytes(), (p[c:d] - x).astype(np.int32).tobytes(), h[c:d].tobytes(), q[c:d].astype(np.int32).tobytes())
+                        row = (int(rid[i]), int(doc[i]), int(x), bool(x == 0), int(weight[i]), short[lo + x : lo + y].tobytes(), (p[c:d] - x).astype(np.int32).tobytes(), h[c:d].tobytes(), q[c:d].astype(np.int32).tobytes())
                         for part in np.unique(q[c:d]).tolist():
                             out.append((part, *row))
-                            size += len(row[4])
+                            size += len(row[5])
                     if size > 4 << 20:
                         yield _rows(out)
                         out, size = [], 0
@@ -122,7 +123,7 @@ def _segments(min_words: int):
 
 
 def _rows(out):
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
     names = [c.split()[0] for c in _SEGMENT.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
@@ -197,9 +198,9 @@ class Shard:
         return out_at, out_bucket
 
 
-def scan(lcp: list[int], left: list[int], rank: list[int], least: int):
+def scan(lcp: list[int], left: list[int], rank: list[int], weight: list[int], least: int):
     """Stack scan. lcp[i]: common prefix of suffixes i and i + 1 (0 at the end of a bucket); left[i]: the
-    word to the left, all different where there is none; rank: order of occurrences.
+    word to the left, all different where there is none; rank: order of occurrences; weight: documents that a suffix stands for.
 
     Returns nodes (length, occurrences, parent) and for each suffix its node (-1: none) and its drop length.
     """
@@ -211,7 +212,7 @@ def scan(lcp: list[int], left: list[int], rank: list[int], least: int):
     # an open interval: [length, left word or -1 if they differ, occurrences, open suffixes, suffixes without node, nodes without parent]
     stack: list[list] = []
     for i in range(n):
-        item = [0, left[i], 1, [i], [i], []]
+        item = [0, left[i], weight[i], [i], [i], []]
         depth = lcp[i]
         while True:
             if stack and stack[-1][0] > depth:
@@ -259,7 +260,7 @@ def shard_repeats(part: int, t: pa.Table, min_words: int) -> pa.Table:
     order = np.lexsort((start, rid))
     keep = order[np.concatenate(([True], (rid[order][1:] != rid[order][:-1]) | (start[order][1:] != start[order][:-1])))] if len(order) else order
     t = t.take(pa.array(keep))
-    rid, doc, start, at_start = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "doc_id", "start", "at_start"))
+    rid, doc, start, at_start, weight = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "doc_id", "start", "at_start", "weight"))
     words = [np.frombuffer(x, np.uint32) for x in t.column("words").to_pylist()]
     sh = Shard(words)
     # windows of min_words words, by hash; a stretch's first word has no known neighbour unless the text begins there
@@ -315,7 +316,7 @@ def shard_repeats(part: int, t: pa.Table, min_words: int) -> pa.Table:
     place = at - sh.begin[seg] + start[seg]
     rank = np.empty(len(at), np.int64)
     rank[np.lexsort((rid[seg], place, doc[seg]))] = np.arange(len(at))
-    lengths, counts, parents, node, drop = scan(lcp.tolist(), left.tolist(), rank.tolist(), min_words)
+    lengths, counts, parents, node, drop = scan(lcp.tolist(), left.tolist(), rank.tolist(), weight[seg].tolist(), min_words)
     node, drop = np.array(node, np.int64), np.array(drop, np.int32)
     has = node >= 0
     ids = mix64(np.arange(len(lengths), dtype=np.uint64) + np.uint64(part << 32), 5).view(np.int64)
@@ -359,9 +360,18 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS, shard_words: int =
     shards = max(1, -(-marks.count() * (min_words - gram(min_words)) // (2 * shard_words)))
     part = F.pmod(F.xxhash64("label"), F.lit(shards)).cast("int")
     by = marks.groupBy("rid").agg(F.collect_set(F.struct("pos", "h", part.alias("part"))).alias("marks"))
-    full = x.join(by, "rid").select("rid", "doc_id", "text", "marks")
+    # of equal texts the first two stand for all: more of them change no passage, only its count
+    same = x.groupBy(F.md5("text").alias("t")).agg(F.array_sort(F.collect_set(F.struct("doc_id", "rid"))).alias("all")).where("size(all) > 2")
+    same = stash(same.select(F.col("all")[1]["rid"].alias("second"), (F.size("all") - 1).alias("weight"), F.explode(F.slice("all", 3, F.size("all") - 2)).alias("c")), "copies")
+    rest = same.select("second", F.col("c.doc_id").alias("copy_id"), F.col("c.rid").alias("copy_rid"))
+    by = by.join(rest, F.col("rid") == F.col("copy_rid"), "left_anti")
+    by = by.join(same.select(F.col("second").alias("rid"), "weight").distinct(), "rid", "left")
+    full = x.join(by, "rid").select("rid", "doc_id", "text", "marks", F.coalesce("weight", F.lit(1)).alias("weight"))
     segments = full.mapInArrow(_segments(min_words), _SEGMENT)
-    return stash(segments.groupBy("part").applyInArrow(_shard(min_words), ROW), "repeats")
+    found = stash(segments.groupBy("part").applyInArrow(_shard(min_words), ROW), "repeats")
+    names = [c.split()[0] for c in ROW.split(", ")]
+    more = found.join(rest, F.col("rid") == F.col("second")).withColumn("doc_id", F.col("copy_id")).withColumn("rid", F.col("copy_rid"))
+    return found.unionByName(more.select(*names))
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

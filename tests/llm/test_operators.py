@@ -128,7 +128,7 @@ def test_repeats_are_all_maximal_repeats(spark, seed):
             a = rng.randrange(40)
             t += base[a : a + rng.randrange(4, 25)] + [rng.choice("xyz")]
         docs[d] = t + t[:15] if rng.random() < 0.3 else t
-    docs[20] = docs[3]
+    docs |= {20 + i: docs[3] for i in range(3)} | {30 + i: docs[5] + base[:9] for i in range(5)} | {40 + i: base[:20] for i in range(4)}
     rows = op1.occurrences(frame(spark, [(d, " ".join(t), "en", "s") for d, t in docs.items()]), 6, 150).collect()
     parent = {r.repeat_id: r.parent_id for r in rows}
     length = {r.repeat_id: (r.n_words, r.n_occurrences) for r in rows}

@@ -9,8 +9,11 @@ import sys
 from pyspark.sql import SparkSession
 
 from argosec.operators import accuracy, reports
+from argosec.operators.incremental import State
 from argosec.plans.scan import Options, scan
-from argosec.sources.inputs import load_advisories, load_allowlist, load_corpus
+from argosec.sources import http
+from argosec.sources.inputs import git_head, load_advisories, load_allowlist, load_corpus
+from argosec.sources.lockfiles import dependencies
 from argosec.sources.rules import LANGUAGES
 from argosec.sources.walk import walk
 
@@ -38,8 +41,19 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("--allow-file")
     s.add_argument("--advisories", help="Parquet or JSON lines of advisories for --enable-sca")
     s.add_argument("--workers", type=int, default=0, help="local cores; 0 for all")
+    s.add_argument("--osv", help="address of an advisory service for --enable-sca")
+    s.add_argument("--sca-on-error", choices=("warn", "fail"), default="warn")
+    s.add_argument("--state", help="folder of the incremental state; without it every file is scanned")
+    s.add_argument("--no-cache", action="store_true")
     for flag in ("secrets", "sca", "framework-checks", "graphs"):
         s.add_argument(f"--enable-{flag}", action="store_true")
+    u = sub.add_parser("upload")
+    u.add_argument("--report", required=True)
+    u.add_argument("--html")
+    for q in (s, u):
+        q.add_argument("--server")
+        q.add_argument("--token", default=os.environ.get("ARGOSEC_TOKEN", ""))
+        q.add_argument("--scan-label", default="")
     b = sub.add_parser("bench")
     b.add_argument("--corpus", required=True)
     b.add_argument("--min-recall", type=float, default=0.90)
@@ -50,21 +64,56 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
+def _text(path: str) -> str:
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+def _upload(server: str, token: str, label: str, report: str, page: str | None, commit: str | None = None, branch: str | None = None) -> int:
+    """Sends reports, the JSON one always ungrouped; 2 if that fails."""
+    try:
+        portal = http.Portal(server, token)
+        scan_id = portal.create(scan_label=label, commit_sha=commit, branch=branch)
+        portal.send_json(scan_id, report)
+        if page:
+            portal.send_html(scan_id, page)
+        return 0
+    except (http.HttpError, OSError, ValueError) as e:
+        refused = isinstance(e, http.HttpError) and e.status == 401
+        print("upload: the token is not valid" if refused else f"upload: {e}", file=sys.stderr)
+        return 2
+
+
 def main(argv: list[str] | None = None) -> int:
     a = _parser().parse_args(argv)
+    if a.command == "upload":
+        return _upload(a.server, a.token, a.scan_label, _text(a.report), _text(a.html) if a.html else None)
     spark = SparkSession.builder.appName("argosec").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate()
     adv = load_advisories(spark, a.advisories) if a.advisories else None
     if a.command == "scan":
         allow = load_allowlist(a.allow_file or os.path.join(a.path, ".zs-allow.yaml"), bool(a.allow_file))
         o = Options(_languages(a.lang), a.rules, a.enable_secrets, a.enable_sca, a.enable_framework_checks, a.enable_graphs, allow=allow)
-        found = scan(spark, walk(spark, a.path, tuple(a.exclude_dir)), o, adv).cache()
+        files = walk(spark, a.path, tuple(a.exclude_dir))
+        vulnerable = None
+        if a.enable_sca and a.osv:
+            try:
+                vulnerable = http.vulnerable(dependencies(files), a.osv).cache()
+                vulnerable.count()
+            except Exception as e:  # the service decides by --sca-on-error
+                if a.sca_on_error == "fail":
+                    raise
+                print(f"advisories not read: {str(e)[:200]}", file=sys.stderr)
+                vulnerable = None
+        state = State(spark, a.state) if a.state and not a.no_cache else None
+        found = scan(spark, files, o, adv, state=state, vulnerable_deps=vulnerable).cache()
         text = {"json": lambda: reports.json_report(found, a.group_by), "sarif": lambda: reports.sarif(found), "html": lambda: reports.html_report(found, a.group_by)}[a.format]()
         if a.output:
             with open(a.output, "w", encoding="utf-8") as f:
                 f.write(text)
         else:
             print(text)
-        return reports.exit_code(found.count())
+        failed = bool(a.server) and _upload(a.server, a.token, a.scan_label, reports.json_report(found), reports.html_report(found), *git_head(a.path)) != 0
+        return reports.exit_code(found.count(), failed)
     files, cases, expectations = load_corpus(spark, a.corpus)
     found = scan(spark, files, Options(secrets=True, sca=True, config=True), adv)
     scores = accuracy.score(found, cases, expectations).cache()

@@ -123,8 +123,9 @@ def walk_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id % 7 = 0 AS is_binary, count(*) AS n FROM events GROUP BY 1")
 def binary_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    body = F.concat(F.encode(F.concat(F.repeat(F.lit("x"), F.pmod("event_id", F.lit(600)).cast("int")), F.lit("y")), "UTF-8"), F.when(F.col("event_id") % 7 == 0, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit("30"))))
-    head = F.concat(F.when(F.col("event_id") % 7 == 0, F.unhex(F.lit("4100"))).otherwise(F.unhex(F.lit("1000".replace("00", "01")))), body)
+    odd = F.col("event_id") % 7 == 0
+    # 'A' and a zero byte, or bytes whose hex digits hold 00 across a byte border
+    head = F.concat(F.when(odd, F.unhex(F.lit("4100"))).otherwise(F.unhex(F.lit("1001"))), F.encode(F.repeat(F.lit("x"), F.pmod("event_id", F.lit(600)).cast("int")), "UTF-8"))
     return e.select(walk.is_binary(head).alias("is_binary")).groupBy("is_binary").agg(F.count("*").alias("n"))
 
 

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from argosec.operators import findings as fd
 from argosec.operators.config_checks import config_findings
 from argosec.operators.dependencies import vulnerable
+from argosec.operators.incremental import State, refresh
 from argosec.operators.matching import match
 from argosec.operators.secrets import secrets
 from argosec.operators.symbols import symbols
 from argosec.operators.taint import taint
 from argosec.parsers.front import ir_nodes
 from argosec.sources.lockfiles import dependencies
-from argosec.sources.rules import load_rules
+from argosec.sources.rules import load_rules, local_hash
 from argosec.storage import stash
 
 
@@ -39,16 +41,54 @@ def sast(files: DataFrame, rules: DataFrame, graphs: bool = False, nodes: DataFr
     return fd.sast_findings(match(n, rules, t), files, symbols(n), t)
 
 
-def scan(spark: SparkSession, files: DataFrame, options: Options | None = None, advisories: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+ENGINE, IR_SCHEMA = "1", "1"
+
+
+def meta(options: Options) -> dict:
+    """What stored findings and syntax rows depend on besides the files."""
+    rules = local_hash(options.rules) if options.rules else "shipped"
+    return {"format": "1", "engine": ENGINE, "rules": rules, "options": f"graphs={options.graphs}", "ir_schema": IR_SCHEMA}
+
+
+def incremental_sast(files: DataFrame, rules: DataFrame, options: Options, state: State) -> DataFrame:
+    """Syntax findings where only files whose content changed are matched, and only new content is parsed.
+
+    Any failure of the state leads to a full scan.
+    """
+    m = meta(options)
+    try:
+        old_nodes, old = state.table("nodes", m), state.table("findings", m)
+        known = files.select("path", "content_sha256")
+        nodes = stash(refresh(files, old_nodes, lambda f: ir_nodes(f).withColumn("page", F.col("path")).withColumn("path", F.regexp_replace("path", r"#script\d+\z", ""))), "nodes")
+        rows = nodes.drop("content_sha256").withColumn("path", F.col("page")).drop("page")
+
+        def compute(todo: DataFrame) -> DataFrame:
+            own = rows.withColumn("of", F.regexp_replace("path", r"#script\d+\z", "")).join(todo.select(F.col("path").alias("of")), "of", "left_semi").drop("of")
+            return sast(todo, rules, options.graphs, own).withColumn("path", F.col("file"))
+
+        found = stash(refresh(files, old, compute), "findings")
+        # files without findings are kept too, as rows without a rule, so that they count as seen
+        seen = known.join(found.select("path").distinct(), "path", "left_anti")
+        state.replace("nodes", nodes, m)
+        state.replace("findings", found.unionByName(seen, allowMissingColumns=True), m)
+        return found.where("rule_id is not null").drop("path", "content_sha256")
+    except (OSError, AnalysisException):
+        return sast(files, rules, options.graphs)
+
+
+def scan(spark: SparkSession, files: DataFrame, options: Options | None = None, advisories: DataFrame | None = None, nodes: DataFrame | None = None, state: State | None = None, vulnerable_deps: DataFrame | None = None) -> DataFrame:
     o = options or Options()
-    code = files.where(F.col("language").isin(*o.languages)) if o.languages else files
-    parts = [sast(code.where("not is_binary"), load_rules(spark, o.rules), o.graphs, nodes)]
+    code = (files.where(F.col("language").isin(*o.languages)) if o.languages else files).where("not is_binary")
+    rules = load_rules(spark, o.rules)
+    parts = [incremental_sast(code, rules, o, state) if state is not None else sast(code, rules, o.graphs, nodes)]
     if o.secrets:
         parts.append(fd.secret_findings(secrets(files)))
     if o.config:
         parts.append(fd.config_findings(config_findings(files.where("not is_binary"))))
-    if o.sca and advisories is not None:
-        parts.append(fd.dependency_findings(vulnerable(dependencies(files), advisories)))
+    if o.sca and vulnerable_deps is None and advisories is not None:
+        vulnerable_deps = vulnerable(dependencies(files), advisories)
+    if o.sca and vulnerable_deps is not None:
+        parts.append(fd.dependency_findings(vulnerable_deps))
     out = fd.dedup(fd.union(*parts), o.compat_dedup)
     if o.allow:
         out, _ = fd.suppressed(out, fd.allowlist(spark, o.allow))

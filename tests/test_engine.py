@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from argosec import cli
 from argosec.functions.text import entropy, glob_regex
 from argosec.operators import accuracy, dependencies, findings, incremental, reports, secrets
+from argosec.plans import scan as scan_plan
 from argosec.plans.scan import Options, scan
 from argosec.sources import config_kv, inputs, lockfiles, rules, walk
+from argosec.sources import http as http_client
 from argosec.sources.inputs import files_of_rows
 from argosec.streaming.scan import stream_secrets
 
@@ -154,6 +156,73 @@ def test_incremental_is_full(spark, tmp_path):
     assert state.table("findings", META) is None
 
 
+def test_incremental_scan(spark, tmp_path):
+    state = incremental.State(spark, str(tmp_path / "s"))
+    one = files(spark, **{"a.py": "eval(x)\n", "b.py": "y = 1\n", "c.html": "<script>eval(location.hash)</script>"})
+    two = files(spark, **{"a.py": "eval(x)\n", "b.py": "exec(y)\n", "c.html": "<script>eval(location.hash)</script>"})
+    for f in (one, one, two):
+        got = sorted((r.file, r.rule_id, r.start_line, r.fingerprint) for r in scan(spark, f, Options(), state=state).collect())
+        assert got == sorted((r.file, r.rule_id, r.start_line, r.fingerprint) for r in scan(spark, f, Options()).collect())
+    assert {r.path for r in incremental.misses(two, state.table("findings", scan_plan.meta(Options()))).collect()} == set()
+    assert state.table("findings", scan_plan.meta(Options(graphs=True))) is None
+
+
+@pytest.fixture
+def server():
+    import http.server
+    import threading
+
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def reply(self):
+            body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
+            seen.append((self.command, self.path, body, dict(self.headers)))
+            status, out = 200, {}
+            if self.path == "/v1/querybatch":
+                if sum(s[1] == self.path for s in seen) == 1:
+                    status = 503
+                out = {"results": [{"vulns": [{"id": "A-1"}, {"id": "A-2"}]} if q["package"]["name"] == "bad" else {} for q in json.loads(body)["queries"]]}
+            elif self.path == "/v1/vulns/A-1":
+                out = {"id": "A-1", "database_specific": {"severity": "MODERATE"}, "affected": [{"ranges": [{"events": [{"introduced": "0"}, {"fixed": "2.0"}]}]}]}
+            elif self.path == "/v1/vulns/A-2":
+                status = 404
+            elif self.path == "/api/v1/scans":
+                status, out = (401, {}) if "good" not in self.headers["Authorization"] else (201, {"scan_id": "7"})
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(json.dumps(out).encode())
+
+        do_GET = do_POST = do_PUT = reply
+
+        def log_message(self, *a):
+            pass
+
+    s = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_address[1]}", seen
+    s.shutdown()
+
+
+def test_advisory_service(spark, server):
+    url, seen = server
+    deps = spark.createDataFrame([("PyPI", "bad", "1.0", "r.txt", True), ("PyPI", "fine", "1.0", "r.txt", True)], lockfiles.DEPENDENCY).coalesce(1)
+    r = http_client.vulnerable(deps, url, pause=0.01).collect()
+    assert [(x.package, x.advisory_ids, x.vulnerable_range, x.severity, x.confidence) for x in r] == [("bad", ["A-1"], ">=0, <2.0", "medium", "high")]
+    assert [s[1] for s in seen][:2] == ["/v1/querybatch"] * 2
+
+
+def test_portal(server, tmp_path):
+    url, seen = server
+    p = tmp_path / "r.json"
+    p.write_text('{"findings": []}')
+    assert cli.main(["upload", "--report", str(p), "--html", str(p), "--server", url, "--token", "good"]) == 0
+    assert [s[1] for s in seen] == ["/api/v1/scans", "/api/v1/scans/7/upload/json", "/api/v1/scans/7/upload/html"] and seen[1][2] == p.read_bytes() and p.read_bytes() in seen[2][2]
+    assert cli.main(["upload", "--report", str(p), "--server", url, "--token", "bad"]) == 2
+    http_client.Portal(url, "good").set_status("7", "failed", "x")
+    assert json.loads(seen[-1][2]) == {"status": "failed", "error_message": "x"}
+
+
 def test_stream_is_batch(spark, tmp_path):
     rows = [("a", "AKIA" + "A1" * 8), ("b", "AKIA" + "B2" * 8)]
     spark.createDataFrame(rows, "path string, content string").write.json(str(tmp_path / "in"))

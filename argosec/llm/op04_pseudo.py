@@ -3,8 +3,11 @@
 A bidirectional window network in numpy predicts every word of a text from the two words on each
 side of it; the sum of the log probabilities of all words, each given the others, scores the document.
 
-Vocabulary: the VOCAB - 1 most frequent tokens (lower-cased words and runs of signs), counted over all documents, and
-one unknown token, whose probability is shared evenly by all other distinct tokens. Network:
+Vocabulary: its size is the square root of the number of tokens, VOCAB at least. Three quarters of it are the
+most frequent tokens (lower-cased words and runs of signs), counted over all documents. The rest are the most frequent
+beginnings (of up to PREFIX bytes) of all other tokens: the network predicts the beginning of such a token and sees it as context,
+and byte trigrams, counted over those tokens, give the probability of its other bytes and of its end; a token without a known beginning
+is class 0 and spelt whole. So every token has a probability of its own. Network:
 h = tanh(sum over the four places of an embedding of the word there), then a softmax over
 classes of words and a softmax over the words of the class.
 
@@ -21,6 +24,8 @@ gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,9 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from argosec.llm.shared import new_path, stash, worker_table
-from argosec.llm.textvec import HashIndex, chunks, flat, tokenize
+from argosec.llm.textvec import HashIndex, chunks, flat, mix64, tokenize
 
 VOCAB, CLASSES, DIM, SIDE = 1024, 32, 16, 2
+PREFIX, END, PRIOR = 3, 256, 4.0
 RATE, BATCH, SEED = 0.1, 8192, 3
 _KEPT: dict = {}
 
@@ -39,8 +45,9 @@ _KEPT: dict = {}
 class Net:
     """Weights as one float32 vector, with views by part."""
 
-    def __init__(self, w: np.ndarray | None = None):
-        shapes = [(2 * SIDE * (VOCAB + 1), DIM), (DIM + 1, CLASSES), (CLASSES, DIM + 1, VOCAB // CLASSES)]
+    def __init__(self, w: np.ndarray | None = None, classes: int = CLASSES):
+        self.classes, self.vocab = classes, classes * classes
+        shapes = [(2 * SIDE * (self.vocab + 1), DIM), (DIM + 1, classes), (classes, DIM + 1, classes)]
         size = [int(np.prod(s)) for s in shapes]
         if w is None:
             w = np.random.default_rng(SEED).standard_normal(sum(size)).astype(np.float32) * 0.1
@@ -48,17 +55,17 @@ class Net:
         self.emb, self.cls, self.out = (p.reshape(s) for p, s in zip(np.split(w, np.cumsum(size)[:-1]), shapes))
 
     @staticmethod
-    def context(ids: np.ndarray, row: np.ndarray) -> np.ndarray:
+    def context(ids: np.ndarray, row: np.ndarray, vocab: int = VOCAB) -> np.ndarray:
         """(tokens, 2 * SIDE): row of the embedding table for each place around each token."""
         n = len(ids)
-        out = np.full((n, 2 * SIDE), VOCAB, np.int32)
+        out = np.full((n, 2 * SIDE), vocab, np.int32)
         for j in range(SIDE):
             d = j + 1
             if n > d:
                 same = row[d:] == row[:-d]
-                out[d:, 2 * j] = np.where(same, ids[:-d], VOCAB)
-                out[:-d, 2 * j + 1] = np.where(same, ids[d:], VOCAB)
-        return out + np.arange(2 * SIDE, dtype=np.int32) * (VOCAB + 1)
+                out[d:, 2 * j] = np.where(same, ids[:-d], vocab)
+                out[:-d, 2 * j + 1] = np.where(same, ids[d:], vocab)
+        return out + np.arange(2 * SIDE, dtype=np.int32) * (vocab + 1)
 
     def hidden(self, ctx: np.ndarray) -> np.ndarray:
         h = np.ones((len(ctx), DIM + 1), np.float32)
@@ -70,14 +77,14 @@ class Net:
 
     def forward(self, ids: np.ndarray, ctx: np.ndarray):
         """Order by class, hidden layer, both softmaxes and the log probability, all in that order."""
-        c = ids // (VOCAB // CLASSES)
+        c = ids // self.classes
         order = np.argsort(c.astype(np.int16), kind="stable")
-        c, word = c[order], (ids % (VOCAB // CLASSES))[order]
+        c, word = c[order], (ids % self.classes)[order]
         h = self.hidden(ctx[order])
         p = _softmax(h @ self.cls)
-        cut = np.searchsorted(c, np.arange(CLASSES + 1))
-        z = np.empty((len(ids), VOCAB // CLASSES), np.float32)
-        for k in range(CLASSES):
+        cut = np.searchsorted(c, np.arange(self.classes + 1))
+        z = np.empty((len(ids), self.classes), np.float32)
+        for k in range(self.classes):
             a, b = cut[k], cut[k + 1]
             if b > a:
                 np.matmul(h[a:b], self.out[k], out=z[a:b])
@@ -94,23 +101,25 @@ class Net:
         p /= n
         q /= n
         back = p @ self.cls.T
-        grad = np.zeros_like(self.w)
-        g = Net(grad)
-        g.cls[:] = h.T @ p
-        for k in range(CLASSES):
+        cls, out = h.T @ p, np.zeros_like(self.out)
+        for k in range(self.classes):
             a, b = cut[k], cut[k + 1]
             if b > a:
-                np.matmul(h[a:b].T, q[a:b], out=g.out[k])
+                np.matmul(h[a:b].T, q[a:b], out=out[k])
                 back[a:b] += q[a:b] @ self.out[k].T
         d = back[:, :DIM] * (1 - h[:, :DIM] ** 2)
         ctx = ctx[order]
         for j in range(ctx.shape[1]):
-            by = np.argsort(ctx[:, j].astype(np.int16), kind="stable")
+            place = ctx[:, j] - j * (self.vocab + 1)
+            by = np.argsort(place.astype(np.uint16) if self.vocab < 65536 else place, kind="stable")
             at = ctx[by, j]
             first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            g.emb[at[first]] = np.add.reduceat(d[by], first, axis=0)
-        g2.w += grad * grad
-        self.w -= rate * grad / np.sqrt(g2.w + 1e-10)
+            at, grad = at[first], np.add.reduceat(d[by], first, axis=0)
+            g2.emb[at] += grad * grad
+            self.emb[at] -= rate * grad / np.sqrt(g2.emb[at] + 1e-10)
+        for w, sq, grad in ((self.cls, g2.cls, cls), (self.out, g2.out, out)):
+            sq += grad * grad
+            w -= rate * grad / np.sqrt(sq + 1e-10)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -121,13 +130,16 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _count(batches):
-    """Counts of token hashes, of a partition in few batches."""
+    """Counts of tokens by hash, with their bytes, of a partition in few batches."""
     held, size = [], 0
     for b in batches:
         data, off = flat(pc.utf8_lower(b.column(0)))
         for a, z in chunks(off):
-            held.append(np.unique(tokenize(data[off[a] : off[z]], off[a : z + 1] - off[a], by_space=False).hash, return_counts=True))
-            size += len(held[-1][0])
+            part = data[off[a] : off[z]]
+            t = tokenize(part, off[a : z + 1] - off[a], by_space=False)
+            u, at, n = np.unique(t.hash, return_index=True, return_counts=True)
+            held.append((u, n, _cut(part, t.starts[at], t.ends[at])))
+            size += len(u)
             if size > 1_000_000:
                 held = [_sum(held)]
                 size = len(held[0][0])
@@ -138,24 +150,110 @@ def _count(batches):
         yield _counts(*_sum(held))
 
 
+def _cut(data, starts, ends) -> pa.Array:
+    """The tokens' bytes as a binary column."""
+    n = ends - starts
+    first = np.concatenate(([0], np.cumsum(n)))
+    at = np.arange(first[-1]) + np.repeat(starts - first[:-1], n)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(first.astype(np.int32)), pa.py_buffer(data[at])])
+
+
 def _sum(held):
-    h, n = (np.concatenate(x) for x in zip(*held))
-    u, at = np.unique(h, return_inverse=True)
-    return u, np.bincount(at, n, len(u)).astype(np.int64)
+    h, n = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+    u, first, at = np.unique(h, return_index=True, return_inverse=True)
+    return u, np.bincount(at, n, len(u)).astype(np.int64), pa.concat_arrays([x[2] for x in held]).take(pa.array(first))
 
 
-def _counts(h, n):
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+def _counts(h, n, token):
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), token], ["h", "n", "token"])
 
 
-def _vocabulary(path: str) -> tuple[HashIndex, float]:
-    """Index of the vocabulary and the number of other tokens; kept in the worker."""
-    if path not in _KEPT:
-        t = worker_table(path)
-        h, rank = t.column("h").to_numpy().view(np.uint64), t.column("rank").to_numpy().astype(np.int32)
-        other = t.column("other").to_numpy()
-        _KEPT[path] = HashIndex(h, rank), float(other[0]) if len(other) else 0.0
-    return _KEPT[path]
+def _beginning(data, starts, ends) -> np.ndarray:
+    """Key of the first PREFIX bytes, or of all where there are fewer."""
+    n = np.minimum(ends - starts, PREFIX).astype(np.uint64)
+    out = n.copy()
+    for k in range(PREFIX):
+        out = (out << np.uint64(8)) | np.where(n > k, data[np.minimum(starts + k, len(data) - 1)], 0).astype(np.uint64)
+    return mix64(out)
+
+
+def _symbols(data, starts, ends):
+    """Bytes of tokens, each with END behind it: first symbol of each token, place within it, the two symbols before, the symbol."""
+    n = ends - starts + 1
+    first = np.cumsum(n) - n
+    place = np.arange(n.sum()) - np.repeat(first, n)
+    sign = data[np.minimum(np.repeat(starts, n) + place, len(data) - 1)].astype(np.int64)
+    sign[first + n - 1] = END
+    one = np.concatenate(([END], sign[:-1]))
+    one[first] = END
+    two = np.concatenate(([END], one[:-1]))
+    two[first] = END
+    return first, place, two, one, sign
+
+
+def _pieces(batches):
+    """Counts of beginnings (kind 1) and of byte trigrams (kind 0) of tokens, weighted by the tokens' counts."""
+    for b in batches:
+        token, n = b.column(0).cast(pa.large_binary()), b.column(1).to_numpy()
+        off = np.frombuffer(token.buffers()[1], np.int64)[token.offset : token.offset + len(token) + 1]
+        if not len(n):
+            continue
+        data = np.frombuffer(token.buffers()[2], np.uint8)
+        _, place, two, one, sign = _symbols(data, off[:-1], off[1:])
+        weight = np.repeat(n, off[1:] - off[:-1] + 1)
+        for kind, key, m in ((1, _beginning(data, off[:-1], off[1:]).view(np.int64), n), (0, (two << 18) | (one << 9) | sign, weight)):
+            u, at = np.unique(key, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), pa.array(u), pa.array(np.bincount(at, m, len(u)).astype(np.int64))], ["kind", "key", "n"])
+
+
+class Vocabulary:
+    """Words, beginnings and spelling, as read in a worker."""
+
+    def __init__(self, ranks: pa.Table, spelling: pa.Table):
+        kind, h, rank = (ranks.column(c).to_numpy() for c in ("kind", "h", "rank"))
+        self.words, self.beginnings = (HashIndex(h[kind == k].view(np.uint64), rank[kind == k].astype(np.int32)) for k in (0, 1))
+        key, n = spelling.column("key").to_numpy(), spelling.column("n").to_numpy()
+        two, one, sign = key >> 18, (key >> 9) & 511, key & 511
+        seen = np.unique(np.append(sign, END))
+        size = len(seen) + 1  # the last stands for each sign that no counted token has
+        self.sign = np.full(END + 1, size - 1)
+        self.sign[seen] = np.arange(len(seen))
+        c = np.zeros((size,) * 3, np.float32)
+        c[self.sign[two], self.sign[one], self.sign[sign]] = n
+        p1 = (c.sum(axis=(0, 1)) + 1) / (c.sum() + size)
+        p2 = c.sum(axis=0)
+        p2 = (p2 + PRIOR * p1) / (p2.sum(axis=1, keepdims=True) + PRIOR)
+        total = c.sum(axis=2, keepdims=True) + PRIOR
+        c += PRIOR * p2
+        c /= total
+        c[:, :, -1] /= max(1, END + 1 - len(seen))
+        self.spelling = np.log(c, out=c)
+
+    def ids(self, data, t) -> tuple[np.ndarray, np.ndarray]:
+        """Class number of each token; which tokens are no words."""
+        ids = self.words.get(t.hash, 0).astype(np.int32)
+        rest = np.flatnonzero(ids == 0)
+        if len(rest):
+            ids[rest] = self.beginnings.get(_beginning(data, t.starts[rest], t.ends[rest]), 0).astype(np.int32)
+        return ids, rest
+
+    def spell(self, data, starts, ends, known) -> np.ndarray:
+        """Log probability of what follows the beginning, or of the whole token where no beginning is known."""
+        if not len(starts):
+            return np.zeros(0)
+        first, place, two, one, sign = _symbols(data, starts, ends)
+        lp = self.spelling[self.sign[two], self.sign[one], self.sign[sign]].astype(np.float64)
+        n = ends - starts
+        skip = np.where(known, np.where(n < PREFIX, n + 1, PREFIX), 0)
+        lp[place < np.repeat(skip, n + 1)] = 0
+        return np.add.reduceat(lp, first)
+
+
+def _vocabulary(paths: tuple[str, str]) -> Vocabulary:
+    """Kept in the worker."""
+    if paths not in _KEPT:
+        _KEPT[paths] = Vocabulary(*map(worker_table, paths))
+    return _KEPT[paths]
 
 
 def _weights(path: str | None) -> np.ndarray | None:
@@ -167,26 +265,33 @@ def _weights(path: str | None) -> np.ndarray | None:
     return _KEPT[path]
 
 
-def _tokens(col: pa.Array, vocabulary: HashIndex):
-    """For chunks of rows: first row, end row, ids and row numbers."""
+def _tokens(col: pa.Array, vocabulary: Vocabulary, spelt: bool = False):
+    """For chunks of rows: first row, end row, ids, row numbers and, if asked for, log probabilities of spelling."""
     data, off = flat(pc.utf8_lower(col))
     for a, z in chunks(off):
-        t = tokenize(data[off[a] : off[z]], off[a : z + 1] - off[a], by_space=False)
-        yield a, z, vocabulary.get(t.hash, 0).astype(np.int32), t.row_of()
+        part = data[off[a] : off[z]]
+        t = tokenize(part, off[a : z + 1] - off[a], by_space=False)
+        ids, rest = vocabulary.ids(part, t)
+        spelling = np.zeros(len(ids) if spelt else 0)
+        for i in range(0, len(rest) if spelt else 0, BATCH):
+            at = rest[i : i + BATCH]
+            spelling[at] = vocabulary.spell(part, t.starts[at], t.ends[at], ids[at] > 0)
+        yield a, z, ids, t.row_of(), spelling
 
 
 _BLOCK = 4096
 
 
-def _train(vocab: str, weights: str | None, rate: float):
+def _train(vocab: tuple[str, str], classes: int, weights: str | None, rate: float):
     def run(batches):
-        vocabulary, _ = _vocabulary(vocab)
+        vocabulary = _vocabulary(vocab)
         start = _weights(weights)
-        net, g2 = Net(None if start is None else start.copy()), Net(np.zeros_like(Net().w))
+        net = Net(None if start is None else start.copy(), classes)
+        g2 = Net(np.zeros_like(net.w), classes)
         seen = 0
         for b in batches:
-            for _, _, ids, row in _tokens(b.column(0), vocabulary):
-                ctx = Net.context(ids, row)
+            for _, _, ids, row, _ in _tokens(b.column(0), vocabulary):
+                ctx = Net.context(ids, row, net.vocab)
                 for i in range(0, len(ids), BATCH):
                     net.step(ids[i : i + BATCH], ctx[i : i + BATCH], g2, rate)
                 seen += len(ids)
@@ -207,41 +312,56 @@ def _add(t):
 _SUM = "block int, lane int, seen long, w array<double>"
 
 
-def train(docs: DataFrame, rounds: int = 1, rate: float = RATE) -> tuple[str, str | None]:
-    """Folders of the vocabulary and of the weights."""
+def classes_for(n_tokens: int) -> int:
+    """Classes, and words a class: the vocabulary is as large as the square root of the number of tokens."""
+    return max(CLASSES, math.ceil(n_tokens**0.25))
+
+
+def vocabulary(text: DataFrame) -> tuple[tuple[str, str], int]:
+    """Folders of the words and beginnings with their ranks and of the byte trigrams; the number of classes."""
+    spark = text.sparkSession
+    counts = stash(text.mapInArrow(_count, "h long, n long, token binary").groupBy("h", "token").agg(F.sum("n").alias("n")), "counts")
+    classes = classes_for(counts.agg(F.sum("n")).first()[0] or 0)
+    size = classes * classes
+    words = [(r["h"], r["n"], 0) for r in counts.orderBy(F.col("n").desc(), "h").limit(size * 3 // 4).select("h", "n").collect()]
+    known = spark.createDataFrame([(h,) for h, _, _ in words], "h long")
+    tail = counts.join(F.broadcast(known), "h", "left_anti").select("token", "n")
+    pieces = stash(tail.mapInArrow(_pieces, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "pieces")
+    begin = [(r["key"], r["n"], 1) for r in pieces.where("kind = 1").orderBy(F.col("n").desc(), "key").limit(size - 1 - len(words)).collect()]
+    rows = sorted(words + begin, key=lambda r: (-r[1], r[2], r[0]))  # the vocabulary at most
+    ranks, spelling = new_path(spark, "vocabulary"), new_path(spark, "spelling")
+    spark.createDataFrame([(h, i + 1, kind) for i, (h, _, kind) in enumerate(rows)], "h long, rank int, kind int").coalesce(1).write.parquet(ranks)
+    pieces.where("kind = 0").select("key", "n").coalesce(1).write.parquet(spelling)
+    return (ranks, spelling), classes
+
+
+def train(docs: DataFrame, rounds: int = 1, rate: float = RATE) -> tuple[tuple[str, str], int, str | None]:
+    """Folders of the vocabulary, the number of classes and the folder of the weights."""
     spark = docs.sparkSession
     text = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
-    counts = stash(text.mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
-    top = counts.orderBy(F.col("n").desc(), "h").limit(VOCAB - 1)
-    rows = [r["h"] for r in top.collect()]  # VOCAB - 1 at most
-    other = counts.count() - len(rows)
-    vocab = new_path(spark, "vocabulary")
-    spark.createDataFrame([(h, i + 1, float(other)) for i, h in enumerate(rows)], "h long, rank int, other double").coalesce(1).write.parquet(vocab)
+    vocab, classes = vocabulary(text)
     weights = None
     for _ in range(rounds):
-        sums = text.mapInArrow(_train(vocab, weights, rate), _SUM)
+        sums = text.mapInArrow(_train(vocab, classes, weights, rate), _SUM)
         sums = sums.groupBy("block", "lane").applyInArrow(_add, _SUM).groupBy("block").applyInArrow(_add, _SUM)
         path = new_path(spark, "weights")
         sums.select("block", F.transform("w", lambda x: (x / F.col("seen")).cast("float")).alias("w")).write.parquet(path)
         weights = path
-    return vocab, weights
+    return vocab, classes, weights
 
 
-def _score(vocab: str, weights: str | None):
+def _score(vocab: tuple[str, str], classes: int, weights: str | None):
     def run(batches):
-        vocabulary, other = _vocabulary(vocab)
+        vocabulary = _vocabulary(vocab)
         w = _weights(weights)
-        net = Net(w if w is not None and len(w) else None)
-        share = np.log(max(1.0, other))
+        net = Net(w if w is not None and len(w) else None, classes)
         for b in batches:
             n, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            for a, z, ids, row in _tokens(b.column(1), vocabulary):
-                ctx = Net.context(ids, row)
-                lp = np.empty(len(ids))
+            for a, z, ids, row, lp in _tokens(b.column(1), vocabulary, spelt=True):
+                ctx = Net.context(ids, row, net.vocab)
                 for i in range(0, len(ids), BATCH):
                     order, *_, got = net.forward(ids[i : i + BATCH], ctx[i : i + BATCH])
-                    lp[i + order] = got
-                lp -= share * (ids == 0)
+                    lp[i + order] += got
                 total[a:z] = np.bincount(row, lp, minlength=z - a)
                 n[a:z] = np.bincount(row, minlength=z - a)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
@@ -250,6 +370,6 @@ def _score(vocab: str, weights: str | None):
 
 
 def score(docs: DataFrame, rounds: int = 1, rate: float = RATE) -> DataFrame:
-    vocab, weights = train(docs, rounds, rate)
+    vocab, classes, weights = train(docs, rounds, rate)
     use = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return use.mapInArrow(_score(vocab, weights), "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+    return use.mapInArrow(_score(vocab, classes, weights), "doc_id long, n_tokens long, log_prob double, mean_log_prob double")

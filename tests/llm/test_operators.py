@@ -324,6 +324,23 @@ def test_model_beats_unigrams_on_ordered_text(spark):
     assert good > -math.log(12) + 0.5 and good > bad + 0.5
 
 
+def test_every_token_has_a_probability_of_its_own(spark):
+    rng = random.Random(8)
+    common = [a + b for a in WORDS for b in WORDS][:1200]
+    rare = ["zu" + w + w for w in WORDS] + ["qqqq", "zz"]
+    rows = [" ".join(rng.choice(common) for _ in range(400)) for _ in range(20)] + [" ".join([*common[:5], w, *common[5:10]]) for w in rare]
+    r = {x.doc_id: x.log_prob for x in op4.score(frame(spark, [(i, t, "en", "s") for i, t in enumerate(rows)])).collect()}
+    assert len({round(r[20 + i], 6) for i in range(len(rare))}) > 0.9 * len(rare)
+    assert op4.classes_for(0) == op4.CLASSES and op4.classes_for(10**9) ** 2 > 16 * op4.VOCAB
+    token = pa.array([b"ab", b"abc", b"b", b"cab"], pa.binary())
+    pieces = pa.Table.from_batches(op4._pieces([pa.RecordBatch.from_arrays([token, pa.array([3, 2, 2, 1])], ["token", "n"])])).to_pandas()
+    v = op4.Vocabulary(pa.table({"kind": [0], "h": [1], "rank": [1]}), pa.Table.from_pandas(pieces[pieces.kind == 0][["key", "n"]].groupby("key", as_index=False).sum()))
+    text = [bytes(x) for n in range(1, 4) for x in itertools.product(b"abc", repeat=n)]
+    off = np.concatenate(([0], np.cumsum([len(x) for x in text])))
+    p = np.exp(v.spell(np.frombuffer(b"".join(text), np.uint8), off[:-1], off[1:], np.zeros(len(text), bool)))
+    assert 0.4 < p.sum() < 1 and p[text.index(b"ab")] > p[text.index(b"bb")]
+
+
 def test_score_awkward(spark, awkward):
     r = op4.score(awkward).collect()
     assert len(r) == len(AWKWARD)

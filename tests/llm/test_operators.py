@@ -375,6 +375,17 @@ def test_near_vectors_against_brute_force(spark):
     assert all(root[v] == root[g] for v, g in got.items())
 
 
+def test_near_vectors_in_a_dense_cloud(spark):
+    rng = np.random.default_rng(5)
+    n, dim, cos = 4000, 64, 0.88
+    unit = lambda e: e / np.linalg.norm(e, axis=1, keepdims=True)
+    x = unit(unit(rng.standard_normal((1, dim))) * cos**0.5 + rng.standard_normal((n, dim)) * ((1 - cos) / dim) ** 0.5)
+    side = rng.standard_normal((200, dim))
+    side = unit(side - (side * x[:200]).sum(axis=1, keepdims=True) * x[:200])
+    got = {r.vec_id: r.group_id for r in op5.near_vectors(vectors(spark, np.concatenate([x, x[:200] * 0.955 + side * (1 - 0.955**2) ** 0.5]))).collect()}
+    assert sum(got.get(i, -1) == got.get(n + i, -2) for i in range(200)) >= 190
+
+
 def test_top_k_against_sql(spark):
     rng = np.random.default_rng(9)
     x = rng.standard_normal((160, 8)).astype(np.float32)

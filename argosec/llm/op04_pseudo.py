@@ -11,10 +11,10 @@ is class 0 and spelt whole. So every token has a probability of its own. Network
 h = tanh(sum over the four places of an embedding of the word there), then a softmax over
 classes of words and a softmax over the words of the class.
 
-Training covers all documents: each partition runs one epoch of AdaGrad over its own text from
-common initial weights; the weights are averaged, weighted by tokens, in `rounds` rounds. Sums are
-made by Spark in two levels, so what reaches one task doesn't grow with the number of partitions; the driver
-only sees the path of the weights.
+Training covers all documents: LANES nets at most train side by side by AdaGrad, each on its share of the documents, and in each of
+`rounds` passes over the corpus they are averaged, weighted by tokens, several times, more often the larger the corpus. Weights and the
+sums of squares go on from the average. The number of nets is fixed, so a larger corpus trains each of them longer; documents are
+dealt and ordered by hash, so scores don't depend on how the input is split. The driver only sees the path of the weights.
 
 Defined results: (doc_id, n_tokens, log_prob, mean_log_prob) for every row with natural
 logarithms; null, empty or token-less texts have n_tokens 0, log_prob 0 and a null mean; places beyond
@@ -39,6 +39,7 @@ from argosec.llm.textvec import HashIndex, chunks, flat, mix64, tokenize
 VOCAB, CLASSES, DIM, SIDE = 1024, 32, 16, 2
 PREFIX, END, PRIOR = 3, 256, 4.0
 RATE, BATCH, SEED = 0.1, 8192, 3
+LANES, LANE_TOKENS, PARTS = 12, 131_072, 4
 _KEPT: dict = {}
 
 
@@ -257,12 +258,14 @@ def _vocabulary(paths: tuple[str, str]) -> Vocabulary:
 
 
 def _weights(path: str | None) -> np.ndarray | None:
+    """Weights and sums of squares; the worker keeps the last ones."""
     if path is None:
         return None
-    if path not in _KEPT:
+    if _KEPT.get("at") != path:
         t = worker_table(path).sort_by("block")
-        _KEPT[path] = np.concatenate([np.asarray(x, np.float32) for x in t.column("w").to_pylist()])
-    return _KEPT[path]
+        _KEPT["w"] = np.concatenate([np.zeros(0, np.float32), *(c.flatten().to_numpy() for c in t.column("w").chunks)])
+        _KEPT["at"] = path
+    return _KEPT["w"]
 
 
 def _tokens(col: pa.Array, vocabulary: Vocabulary, spelt: bool = False):
@@ -286,8 +289,8 @@ def _train(vocab: tuple[str, str], classes: int, weights: str | None, rate: floa
     def run(batches):
         vocabulary = _vocabulary(vocab)
         start = _weights(weights)
-        net = Net(None if start is None else start.copy(), classes)
-        g2 = Net(np.zeros_like(net.w), classes)
+        net = Net(None if start is None else start[: len(start) // 2].copy(), classes)
+        g2 = Net(np.zeros_like(net.w) if start is None else start[len(start) // 2 :].copy(), classes)
         seen = 0
         for b in batches:
             for _, _, ids, row, _ in _tokens(b.column(0), vocabulary):
@@ -296,20 +299,17 @@ def _train(vocab: tuple[str, str], classes: int, weights: str | None, rate: floa
                     net.step(ids[i : i + BATCH], ctx[i : i + BATCH], g2, rate)
                 seen += len(ids)
         if seen:
-            blocks = [net.w[i : i + _BLOCK] * np.float64(seen) for i in range(0, len(net.w), _BLOCK)]
-            part = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([part % 64] * len(blocks), pa.int32()), pa.array([seen] * len(blocks), pa.int64()), pa.array([b.astype(np.float64) for b in blocks], pa.list_(pa.float64()))], ["block", "lane", "seen", "w"])
+            both = np.concatenate([net.w, g2.w])
+            blocks = [both[i : i + _BLOCK] for i in range(0, len(both), _BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([seen] * len(blocks), pa.int64()), pa.array(blocks, pa.list_(pa.float32()))], ["block", "seen", "w"])
 
     return run
 
 
-def _add(t):
-    w = t.column("w").combine_chunks()
-    total = w.flatten().to_numpy().reshape(len(w), -1).sum(axis=0)
-    return pa.table({"block": t.column("block").slice(0, 1), "lane": t.column("lane").slice(0, 1), "seen": pa.array([pc.sum(t.column("seen")).as_py()], pa.int64()), "w": pa.array([total], pa.list_(pa.float64()))})
-
-
-_SUM = "block int, lane int, seen long, w array<double>"
+def _average(t):
+    seen = t.column("seen").to_numpy().astype(np.float64)
+    w = t.column("w").combine_chunks().flatten().to_numpy().reshape(len(seen), -1)
+    return pa.table({"block": t.column("block").slice(0, 1), "w": pa.array([(seen @ w / seen.sum()).astype(np.float32)], pa.list_(pa.float32()))})
 
 
 def classes_for(n_tokens: int) -> int:
@@ -317,11 +317,12 @@ def classes_for(n_tokens: int) -> int:
     return max(CLASSES, math.ceil(n_tokens**0.25))
 
 
-def vocabulary(text: DataFrame) -> tuple[tuple[str, str], int]:
-    """Folders of the words and beginnings with their ranks and of the byte trigrams; the number of classes."""
+def vocabulary(text: DataFrame) -> tuple[tuple[str, str], int, int]:
+    """Folders of the words and beginnings with their ranks and of the byte trigrams; the numbers of classes and tokens."""
     spark = text.sparkSession
     counts = stash(text.mapInArrow(_count, "h long, n long, token binary").groupBy("h", "token").agg(F.sum("n").alias("n")), "counts")
-    classes = classes_for(counts.agg(F.sum("n")).first()[0] or 0)
+    n_tokens = counts.agg(F.sum("n")).first()[0] or 0
+    classes = classes_for(n_tokens)
     size = classes * classes
     words = [(r["h"], r["n"], 0) for r in counts.orderBy(F.col("n").desc(), "h").limit(size * 3 // 4).select("h", "n").collect()]
     known = spark.createDataFrame([(h,) for h, _, _ in words], "h long")
@@ -332,21 +333,27 @@ def vocabulary(text: DataFrame) -> tuple[tuple[str, str], int]:
     ranks, spelling = new_path(spark, "vocabulary"), new_path(spark, "spelling")
     spark.createDataFrame([(h, i + 1, kind) for i, (h, _, kind) in enumerate(rows)], "h long, rank int, kind int").coalesce(1).write.parquet(ranks)
     pieces.where("kind = 0").select("key", "n").coalesce(1).write.parquet(spelling)
-    return (ranks, spelling), classes
+    return (ranks, spelling), classes, n_tokens
 
 
 def train(docs: DataFrame, rounds: int = 1, rate: float = RATE) -> tuple[tuple[str, str], int, str | None]:
     """Folders of the vocabulary, the number of classes and the folder of the weights."""
     spark = docs.sparkSession
     text = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
-    vocab, classes = vocabulary(text)
+    vocab, classes, n_tokens = vocabulary(text)
+    lanes = min(LANES, max(1, n_tokens // LANE_TOKENS))
+    parts = max(PARTS, math.ceil(math.log2(max(1, n_tokens / lanes / BATCH))))
+    dealt = new_path(spark, "dealt")
+    h = F.xxhash64("text")
+    text.select("text", h.alias("h"), F.pmod(F.xxhash64(h), F.lit(lanes)).cast("int").alias("lane"), F.pmod(h, F.lit(parts)).cast("int").alias("part")).write.partitionBy("part").parquet(dealt)
+    text = spark.read.schema("text string, h long, lane int, part int").parquet(dealt)
     weights = None
-    for _ in range(rounds):
-        sums = text.mapInArrow(_train(vocab, classes, weights, rate), _SUM)
-        sums = sums.groupBy("block", "lane").applyInArrow(_add, _SUM).groupBy("block").applyInArrow(_add, _SUM)
+    for k in range(rounds * parts):
+        part = text.where(F.col("part") == k % parts).repartitionById(lanes, F.col("lane")).sortWithinPartitions("h", "text").select("text")
         path = new_path(spark, "weights")
-        sums.select("block", F.transform("w", lambda x: (x / F.col("seen")).cast("float")).alias("w")).write.parquet(path)
-        weights = path
+        part.mapInArrow(_train(vocab, classes, weights, rate), "block int, seen long, w array<float>").groupBy("block").applyInArrow(_average, "block int, w array<float>").write.parquet(path)
+        if not spark.read.schema("block int, w array<float>").parquet(path).isEmpty():  # else no token in this part
+            weights = path
     return vocab, classes, weights
 
 
@@ -354,7 +361,7 @@ def _score(vocab: tuple[str, str], classes: int, weights: str | None):
     def run(batches):
         vocabulary = _vocabulary(vocab)
         w = _weights(weights)
-        net = Net(w if w is not None and len(w) else None, classes)
+        net = Net(None if w is None else w[: len(w) // 2], classes)
         for b in batches:
             n, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
             for a, z, ids, row, lp in _tokens(b.column(1), vocabulary, spelt=True):

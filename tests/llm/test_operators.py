@@ -324,6 +324,17 @@ def test_model_beats_unigrams_on_ordered_text(spark):
     assert good > -math.log(12) + 0.5 and good > bad + 0.5
 
 
+def test_default_training_does_not_depend_on_the_split(spark):
+    rng = random.Random(3)
+    cycle = words(rng, 12)
+    text = [" ".join(cycle[(i + k) % 12] for k in range(400)) for i in range(300)] + [" ".join(rng.choice(cycle) for _ in range(400)) for _ in range(3)]
+    df = frame(spark, [(i, t, "en", "s") for i, t in enumerate(text)])
+    few, many = ({x.doc_id: x.mean_log_prob for x in op4.score(df.repartition(n)).collect()} for n in (1, 16))
+    assert all(abs(few[i] - many[i]) < 1e-3 for i in few)
+    good, bad = np.mean([many[i] for i in range(300)]), np.mean([many[i] for i in range(300, 303)])
+    assert good > -math.log(12) + 0.5 and good > bad + 0.5
+
+
 def test_every_token_has_a_probability_of_its_own(spark):
     rng = random.Random(8)
     common = [a + b for a in WORDS for b in WORDS][:1200]

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+
 import pyarrow.dataset as pads
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argosec.storage import new_path, shared_dir, stash
+from argosec.storage import new_path, shared_dir, spread, stash, worker_fs
 
-__all__ = ["components", "drop_path", "drop_stash", "new_path", "shared_dir", "stash", "table", "worker_fs", "worker_table"]
+__all__ = ["components", "drop_path", "drop_stash", "keep", "new_path", "shared_dir", "spread", "stash", "table", "worker_fs", "worker_table"]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -24,11 +25,19 @@ def drop_stash(df: DataFrame) -> None:
         drop_path(df.sparkSession, files[0].rsplit("/", 1)[0])
 
 
-def worker_fs(path: str):
-    """File system and bare path, for use inside a Python worker."""
-    if path.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+def keep(group: str, name: str, key, make):
+    """make(), or what it gave for the same key before, in a Python worker that outlives its tasks. Only one group's objects are kept at a time.
+
+    Functions of this package reach the workers by value, with globals of their own for each task; the module sys is the worker's.
+    """
+    kept = sys.__dict__.setdefault("_argosec_kept", {})
+    if kept.get("group") != group:
+        kept.clear()
+        kept["group"] = group
+    if name not in kept or kept[name][0] != key:
+        kept.pop(name, None)
+        kept[name] = (key, make())
+    return kept[name][1]
 
 
 def worker_table(path: str, columns=None):
@@ -67,4 +76,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a folder, over as many tasks as there are cores at least."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))

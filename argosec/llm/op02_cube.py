@@ -5,17 +5,18 @@ the target weights of tokens and the budget is the largest for which no probabil
 (times `fraction`). The flight phase moves the probabilities of three undecided documents at a
 time along the null space of the two balancing constraints of their source, documents
 (pi) and tokens (tokens), until a document is decided: the totals of decided and undecided
-documents never move. Flights run in the partitions first, then over what is left of each
-source (at most two documents of each partition). Two documents a source are left at the end;
+documents never move. Flights run in shards of a source first, of about FLIGHT_ROWS documents each, whose number follows from the
+count of the largest source, then over what is left (at most two documents of each shard), in fewer shards at each
+level, until one flight a source is left: no task ever holds more than about FLIGHT_ROWS documents of a source. Two documents a source are left at the end;
 they land by a random draw that keeps the expected number, so each source misses its totals by less than
 two units.
 
 Weights: `weights` (source -> weight), or tokens_s ** `temperature` where it is None.
 
 Defined results: a null source is a source of its own, a null or empty text has 0 tokens and
-is balanced on documents alone; sources of weight 0 or without tokens are dropped; equal rows
-(doc_id, text, source) are drawn together, as one unit of several documents; extra columns stay; an empty table gives an empty one. The draw depends on `seed`, not on
-the layout of the input: rows are ordered by a hash of doc_id, text, source and seed.
+is balanced on documents alone; texts of any length count whole; sources of weight 0 or without tokens are dropped; equal rows
+(doc_id, text, source, of any type) are drawn together, as one unit of several documents; extra columns stay; an empty table gives an empty one. The draw depends on `seed`, not on
+the layout of the input: rows are ordered by a null-safe hash of doc_id, text, source and seed, so ties cannot occur.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from argosec.llm.shared import stash
 from argosec.llm.textvec import chunks, count_words, flat
 
-TEMPERATURE, FRACTION, SEED, SHARDS = 0.7, 1.0, 17, 64
+TEMPERATURE, FRACTION, SEED, FLIGHT_ROWS = 0.7, 1.0, 17, 4096
 _EPS = 1e-9
 
 
@@ -78,7 +79,7 @@ def _fly(final: bool):
         if final:
             left = (p > 0) & (p < 1)
             if left.any():
-                p[left] = land(p[left], float(pdf["draw"].to_numpy()[left][0]))
+                p[left] = land(p[left], float(pdf["draw"].to_numpy()[left][0] * (1 << 26) % 1))  # the lower digits, which no flight has used
         return pdf.assign(pi=p)
 
     return run
@@ -93,9 +94,9 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n)], ["source", "row", "tokens"])
 
 
-def _row(docs: DataFrame, seed: int):
-    """Identity of a row that no layout of the input changes; equal rows share it."""
-    return F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"), F.col("source").cast("string"), F.lit(seed))
+def _row(seed: int):
+    """Identity of a row that no layout of the input changes; equal rows share it, and null differs from every value."""
+    return F.xxhash64(F.to_json(F.struct(F.col("doc_id").cast("string").alias("d"), F.col("source").cast("string").alias("s"), F.col("text").isNull().alias("n"))), F.col("text").cast("string"), F.lit(seed))
 
 
 def inclusion(units: DataFrame, weights: dict | None, temperature: float, fraction: float) -> DataFrame:
@@ -111,23 +112,40 @@ def inclusion(units: DataFrame, weights: dict | None, temperature: float, fracti
     return totals.crossJoin(F.broadcast(budget)).select(F.col("source").alias("s"), F.least(F.lit(1.0), F.col("b") * fraction * F.col("w") / F.col("total")).alias("pi"))
 
 
-def draw(docs: DataFrame, weights: dict | None = None, temperature: float = TEMPERATURE, fraction: float = FRACTION, seed: int = SEED, shards: int = SHARDS) -> DataFrame:
-    """(row): hashes of the drawn rows of docs. `shards` flights run side by side in each source."""
-    use = docs.select(F.col("source").cast("string").alias("source"), _row(docs, seed).alias("row"), F.col("text").cast("string").alias("text"))
+def _redraw(units: DataFrame, seed: int, level: int) -> DataFrame:
+    """units with a random number of their own at each level."""
+    return units.withColumn("draw", F.shiftrightunsigned(F.xxhash64("row", F.lit(seed), F.lit(level)), 11).cast("double") / float(1 << 53))
+
+
+def draw(docs: DataFrame, weights: dict | None = None, temperature: float = TEMPERATURE, fraction: float = FRACTION, seed: int = SEED, flight_rows: int = FLIGHT_ROWS) -> DataFrame:
+    """(row): hashes of the drawn rows of docs."""
+    use = docs.select(F.col("source").cast("string").alias("source"), _row(seed).alias("row"), F.col("text").cast("string").alias("text"))
     counted = use.mapInArrow(_count, "source string, row long, tokens long")
     units = stash(counted.groupBy("source", "row").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens")), "units")
     pi = inclusion(units, weights, temperature, fraction)
     drawn = units.join(F.broadcast(pi), F.col("source").eqNullSafe(F.col("s"))).drop("s")  # a row a source: see README for sources without number
-    drawn = drawn.withColumn("key", F.xxhash64("row", F.lit(seed)))
-    drawn = drawn.select("source", "row", "docs", "tokens", "pi", (F.shiftrightunsigned("key", 11).cast("double") / float(1 << 53)).alias("draw"), F.pmod("key", F.lit(shards)).cast("int").alias("shard"))
-    schema = "source string, row long, docs long, tokens long, pi double, draw double, shard int"
-    sure = drawn.where(F.col("pi") >= 1 - _EPS).select("row")
-    flown = stash(drawn.where(F.col("pi") < 1 - _EPS).groupBy("source", "shard").applyInPandas(_fly(False), schema), "flown")
-    left = flown.where("pi > 0 and pi < 1").groupBy("source").applyInPandas(_fly(True), schema)
-    return sure.union(flown.where("pi = 1").select("row")).union(left.where("pi = 1").select("row"))
+    drawn = _redraw(drawn.withColumn("deal", F.xxhash64("row", F.lit(seed))), seed, 0).select("source", "row", "docs", "tokens", "pi", "draw", "deal")
+    schema = "source string, row long, docs long, tokens long, pi double, draw double, deal long"
+    taken = [drawn.where(F.col("pi") >= 1 - _EPS).select("row")]
+    left = drawn.where(F.col("pi") < 1 - _EPS)
+    most = left.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+    level = 0
+    while most > flight_rows:
+        level += 1
+        shards = -(-most // flight_rows)  # at most two documents of each flight are left
+        flown = stash(left.groupBy("source", F.pmod("deal", F.lit(shards)).alias("shard")).applyInPandas(_fly(False), schema), "flown")
+        taken.append(flown.where("pi = 1").select("row"))
+        left, most = _redraw(flown.where("pi > 0 and pi < 1").drop("draw"), seed, level).select(*(c.split()[0] for c in schema.split(", "))), 2 * shards
+    final = stash(left.groupBy("source").applyInPandas(_fly(True), schema), "flown")
+    out = final.where("pi = 1").select("row")
+    for t in taken:
+        out = out.union(t)
+    return out
 
 
-def mix(docs: DataFrame, **kw) -> DataFrame:
-    """The drawn rows of docs, with all their columns as they were."""
+def mix(docs: DataFrame, columns: list[str] | None = None, **kw) -> DataFrame:
+    """The drawn rows of docs, with all their columns as they were, or only those named."""
     kept = draw(docs, **kw).select(F.col("row").alias("__row")).distinct()
-    return docs.join(kept, _row(docs, kw.get("seed", SEED)) == kept["__row"], "left_semi")
+    names = columns or docs.columns
+    own = docs.select(*(F.col(f"`{c}`") for c in names), _row(kw.get("seed", SEED)).alias("__own"))  # the hash is a column, so texts that are not asked for stay out of the join
+    return own.join(kept, own["__own"] == kept["__row"], "left_semi").drop("__own")

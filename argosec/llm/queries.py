@@ -24,7 +24,7 @@ def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents drawn so that sources meet their target weights in tokens and documents."""
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "n_chars")
+    return mix(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars"])
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,6 +54,7 @@ def _parser() -> argparse.ArgumentParser:
         q.add_argument("--server")
         q.add_argument("--token", default=os.environ.get("ARGOSEC_TOKEN", ""))
         q.add_argument("--scan-label", default="")
+        q.add_argument("--project-id", default="", help="accepted and not used: the token alone names the project")
     b = sub.add_parser("bench")
     b.add_argument("--corpus", required=True)
     b.add_argument("--min-recall", type=float, default=0.90)
@@ -61,6 +62,7 @@ def _parser() -> argparse.ArgumentParser:
     b.add_argument("--json-out")
     b.add_argument("--md-out")
     b.add_argument("--advisories")
+    b.add_argument("--enable-graphs", action="store_true")
     return p
 
 
@@ -86,9 +88,14 @@ def _upload(server: str, token: str, label: str, report: str, page: str | None,
 
 def main(argv: list[str] | None = None) -> int:
     a = _parser().parse_args(argv)
+    if getattr(a, "project_id", ""):
+        print("--project-id is not used: the token alone names the project", file=sys.stderr)
     if a.command == "upload":
         return _upload(a.server, a.token, a.scan_label, _text(a.report), _text(a.html) if a.html else None)
-    spark = SparkSession.builder.appName("argosec").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate()
+    build = SparkSession.builder.appName("argosec").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
+    if getattr(a, "workers", 0) > 0:
+        build = build.master(f"local[{a.workers}]")
+    spark = build.getOrCreate()
     adv = load_advisories(spark, a.advisories) if a.advisories else None
     if a.command == "scan":
         allow = load_allowlist(a.allow_file or os.path.join(a.path, ".zs-allow.yaml"), bool(a.allow_file))
@@ -106,16 +113,17 @@ def main(argv: list[str] | None = None) -> int:
                 vulnerable = None
         state = State(spark, a.state) if a.state and not a.no_cache else None
         found = scan(spark, files, o, adv, state=state, vulnerable_deps=vulnerable).cache()
-        text = {"json": lambda: reports.json_report(found, a.group_by), "sarif": lambda: reports.sarif(found), "html": lambda: reports.html_report(found, a.group_by)}[a.format]()
+        pieces = {"json": lambda: reports.json_pieces(found, a.group_by), "sarif": lambda: [reports.sarif(found)], "html": lambda: reports.html_pieces(found, a.group_by)}[a.format]()
         if a.output:
             with open(a.output, "w", encoding="utf-8") as f:
-                f.write(text)
+                f.writelines(pieces)
         else:
-            print(text)
+            sys.stdout.writelines(pieces)
+            print()
         failed = bool(a.server) and _upload(a.server, a.token, a.scan_label, reports.json_report(found), reports.html_report(found), *git_head(a.path)) != 0
         return reports.exit_code(found.count(), failed)
     files, cases, expectations = load_corpus(spark, a.corpus)
-    found = scan(spark, files, Options(secrets=True, sca=True, config=True), adv)
+    found = scan(spark, files, Options(secrets=True, sca=True, config=True, graphs=a.enable_graphs), adv)
     scores = accuracy.score(found, cases, expectations).cache()
     total = accuracy.gate(scores, a.min_recall, a.max_fp).first().asDict()
     rows = [[r.asDict() for r in accuracy.by(scores, c).orderBy(c).collect()] for c in ("language", "rule_id", "modality")]

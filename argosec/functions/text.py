@@ -70,7 +70,7 @@ def glob_regex(pattern: str, double_star: bool = False) -> str:
         elif c == "[" and "]" in pattern[i + 2 :]:
             j = pattern.index("]", i + 2)
             body = pattern[i + 1 : j]
-            out.append("[" + ("^" + body[1:] if body[0] in "!^" else body).replace("\\", "\\\\") + "]")
+            out.append("[" + re.sub(r"([\\\[&])", r"\\\1", "^" + body[1:] if body[0] in "!^" else body) + "]")
             i = j
         elif double_star and c == "{" and "}" in pattern[i:]:
             out.append("(?:")

@@ -10,7 +10,7 @@ from argosec.functions.text import digest, glob_regex, severity_rank, squeeze
 FINDING = (
     "rule_id string, rule_name string, category string, severity string, confidence string, message string, kind string, language string, file string, "
     "start_line int, start_col int, end_line int, end_col int, fingerprint string, evidence array<struct<snippet:string,start_line:int,end_line:int>>, "
-    "cwe array<string>, metadata map<string,string>, secret struct<redacted:string,entropy:double>, "
+    "cwe array<string>, owasp array<string>, rationale string, remediation string, references array<string>, tags array<string>, metadata map<string,string>, secret struct<redacted:string,entropy:double>, "
     "dependency struct<ecosystem:string,package:string,version:string,vulnerable_range:string,fixed_version:string,advisory_ids:array<string>,direct:boolean>, "
     "config struct<framework:string,key:string>, taint struct<source_var:string,source_expr:string,sink:string,path:array<struct<line:int,col:int>>>"
 )
@@ -26,33 +26,43 @@ def _shape(df: DataFrame, kind: str) -> DataFrame:
     return df.select(*((F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in fields))
 
 
-def sast_findings(matches: DataFrame, files: DataFrame, symbols: DataFrame, taint: DataFrame | None = None) -> DataFrame:
-    """Findings of matched nodes; the fingerprint is stable when lines move: rule, enclosing symbol, squeezed snippet."""
-    from argosec.operators.symbols import enclosing_symbol
+def sast_findings(matches: DataFrame, files: DataFrame | None = None, symbols: DataFrame | None = None, taint: DataFrame | None = None) -> DataFrame:
+    """Findings of matched nodes; the fingerprint is stable when lines move: rule, enclosing symbol, squeezed snippet.
 
+    Nodes that bring their facts (symbol, snippet, taints) need no join; for others files, symbols and taint are joined.
+    """
     m = matches.withColumn("page", F.regexp_replace("path", r"#script\d+\z", ""))
-    src = files.select(F.col("path").alias("page"), F.split("content", "\n").alias("src"))
-    m = m.join(src, "page", "left")
-    at = F.col("start_line")
-    body = F.array_join(F.slice("src", F.greatest(at, F.lit(1)), F.greatest(F.col("end_line") - at + 1, F.lit(1))), "\n")
-    m = m.withColumn("snippet", F.when(F.col("text") != "", F.col("text")).when((at >= 1) & (at <= F.size("src")), body).otherwise(""))
-    enc = enclosing_symbol(m.select("path", at.alias("line")).distinct(), symbols)
-    m = m.join(enc.withColumnRenamed("line", "start_line"), ["path", "start_line"], "left")
-    if taint is not None:
-        t = taint.where("tainted").select("path", F.col("var").alias("tainted_var"), "reason", "path_locs")
-        m = m.join(t, ["path", "tainted_var"], "left")
+    if "snippet" in m.columns:
+        t = F.try_element_at(F.filter(F.coalesce("taints", F.array()), lambda t: t["var"] == F.col("tainted_var")), F.lit(1))
+        m = m.withColumn("reason", t["reason"]).withColumn("path_locs", t["path_locs"])
     else:
-        m = m.withColumn("reason", F.lit(None).cast("string")).withColumn("path_locs", F.lit(None).cast("array<struct<line:int,col:int>>"))
+        m = _join_facts(m, files, symbols, taint)
     sink = F.when(F.coalesce("rule.callee", F.lit("")) != "", F.col("rule.callee")).otherwise(F.col("lhs"))
     r = m.select(
-        F.col("rule.id").alias("rule_id"), F.col("rule.name").alias("rule_name"), "rule.category", "rule.severity", "rule.confidence", "rule.message", "language", F.col("page").alias("file"),
+        F.col("rule.id").alias("rule_id"), F.col("rule.name").alias("rule_name"), "rule.category", "rule.severity", "rule.confidence", "rule.message", "rule.rationale", F.col("rule.fix_suggestion").alias("remediation"), "rule.references", "rule.tags", "language", F.col("page").alias("file"),
         "start_line", "start_col", "end_line", "end_col", digest(F.col("rule.id"), F.col("symbol"), squeeze(F.col("snippet"))).alias("fingerprint"),
-        F.when(F.col("snippet") != "", F.array(F.struct("snippet", "start_line", "end_line"))).alias("evidence"), "rule.cwe",
+        F.when(F.col("snippet") != "", F.array(F.struct("snippet", "start_line", "end_line"))).alias("evidence"), "rule.cwe", "rule.owasp",
         F.when(F.coalesce("tainted_var", F.lit("")) != "", F.struct(F.col("tainted_var").alias("source_var"), F.col("reason").alias("source_expr"), sink.alias("sink"), F.col("path_locs").alias("path"))).alias("taint"),
     )
     return _shape(r, "sast")
 
 
+def _join_facts(m: DataFrame, files: DataFrame, symbols: DataFrame, taint: DataFrame | None) -> DataFrame:
+    from argosec.operators.symbols import enclosing_symbol
+
+    src = files.select(F.col("path").alias("page"), F.split("content", "\n").alias("src"))
+    m = m.join(src, "page", "left")
+    at = F.col("start_line")
+    body = F.array_join(F.slice("src", F.greatest(at, F.lit(1)), F.greatest(F.col("end_line") - at + 1, F.lit(1))), "\n")
+    m = m.withColumn("snippet", F.when(F.col("text") != "", F.col("text")).when((at >= 1) & (at <= F.size("src")), body).otherwise(""))
+    enc = enclosing_symbol(m.select("path", at.alias("line")).distinct(), symbols)
+    m = m.join(enc.withColumnRenamed("line", "start_line"), ["path", "start_line"], "left")
+    if taint is None:
+        return m.withColumn("reason", F.lit(None).cast("string")).withColumn("path_locs", F.lit(None).cast("array<struct<line:int,col:int>>"))
+    t = taint.where("tainted").select("path", F.col("var").alias("tainted_var"), "reason", "path_locs")
+    return m.join(t, ["path", "tainted_var"], "left")
+
+
 def secret_findings(secrets: DataFrame) -> DataFrame:
     s = secrets.select("rule_id", "rule_name", F.lit("secrets").alias("category"), "severity", F.lit("high").alias("confidence"), F.concat("rule_name", F.lit(" found")).alias("message"), F.lit("unknown").alias("language"), F.col("path").alias("file"), F.col("line_no").alias("start_line"), F.lit(0).alias("start_col"), F.col("line_no").alias("end_line"), F.lit(0).alias("end_col"), "fingerprint", F.struct("redacted", "entropy").alias("secret"))
     return _shape(s, "secret")
@@ -123,10 +133,19 @@ def stats(findings: DataFrame) -> DataFrame:
     return g.where("value is not null and value <> '' and not (dimension = 'language' and value = 'unknown')")
 
 
-def grouped(findings: DataFrame, by: str) -> DataFrame:
-    """(key, n, findings) by file, rule, severity or language; severities by rank, others by first appearance (file, line, column, rule)."""
-    col = F.col({"file": "file", "rule": "rule_id", "severity": "severity", "language": "language"}[by])
+KEYS = {"file": "file", "rule": "rule_id", "severity": "severity", "language": "language"}
+
+
+def groups(findings: DataFrame, by: str) -> DataFrame:
+    """(key, n, first) by file, rule, severity or language; severities by rank, others by first appearance (file, line, column, rule). A row a group, pre-aggregated."""
     first = F.struct("file", "start_line", "start_col", "rule_id", "fingerprint")
-    g = findings.groupBy(col.alias("key")).agg(F.count("*").alias("n"), F.min(first).alias("first"), F.sort_array(F.collect_list(first)).alias("findings"))
-    order = severity_rank(F.col("key")) if by == "severity" else F.col("first")
-    return g.orderBy(order).select("key", "n", "findings")
+    g = findings.groupBy(F.col(KEYS[by]).alias("key")).agg(F.count("*").alias("n"), F.min(first).alias("first"))
+    return g.orderBy(severity_rank(F.col("key")) if by == "severity" else F.col("first"), "key")
+
+
+def grouped(findings: DataFrame, by: str) -> DataFrame:
+    """Findings in the order of their groups and of their places, with key and n of the group; rows, so that a group may be of any size."""
+    g = groups(findings, by).select("key", "n", F.col("first").alias("group_first"))
+    order = severity_rank(F.col("key")) if by == "severity" else F.col("group_first")
+    joined = findings.join(g, F.col(KEYS[by]).eqNullSafe(F.col("key")))
+    return joined.orderBy(order, "key", "file", "start_line", "start_col", "rule_id", "fingerprint").drop("group_first")

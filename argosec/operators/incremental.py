@@ -6,9 +6,12 @@ import json
 import os
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from argosec.storage import read_text, remove, write_text
+
 # the first field that differs decides what is dropped
 MATRIX = (("format", ("findings", "nodes")), ("engine", ("findings", "nodes")), ("rules", ("findings",)), ("options", ("findings",)), ("ir_schema", ("nodes",)))
 
@@ -31,40 +34,44 @@ def hits(files: DataFrame, state: DataFrame) -> DataFrame:
 
 
 class State:
-    """Versions of a table in a folder; a small pointer file names the current one and is replaced at once."""
+    """Versions of tables in a folder of any file system that Spark knows; a small pointer file names the current ones and is replaced at once.
+
+    The versions before the current ones stay for readers that began with them; those before these are removed.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+        self.spark, self.root = spark, (root if "://" in root else os.path.abspath(root)).rstrip("/")
 
     def _pointer(self) -> str:
-        return os.path.join(self.root, "current.json")
+        return f"{self.root}/current.json"
 
     def read(self) -> dict:
         try:
-            with open(self._pointer(), encoding="utf-8") as f:
-                got = json.load(f)
-            return got if isinstance(got, dict) else {}
-        except (OSError, ValueError):
+            got = json.loads(read_text(self.spark, self._pointer()) or "{}")
+        except (ValueError, Py4JError):  # a pointer that is damaged or cannot be read is none
             return {}
+        return got if isinstance(got, dict) else {}
 
     def table(self, name: str, meta: dict) -> DataFrame | None:
         """The current version, or None if there is none or meta makes it useless."""
         got = self.read()
-        if name in invalid(got.get("meta"), meta) or not got.get(name):
+        if name in invalid(got.get("meta"), meta) or not isinstance(got.get(name), str):
             return None
-        return self.spark.read.parquet(os.path.join(self.root, got[name]))
-
-    def replace(self, name: str, df: DataFrame, meta: dict) -> None:
-        os.makedirs(self.root, exist_ok=True)
-        version = f"{name}-{uuid.uuid4().hex[:12]}"
-        df.write.parquet(os.path.join(self.root, version))
+        return self.spark.read.parquet(f"{self.root}/{got[name]}")
+
+    def replace(self, tables: dict[str, DataFrame], meta: dict) -> None:
+        """Write the tables, then let one pointer name them all."""
+        new = {}
+        for name, df in tables.items():
+            new[name] = f"{name}-{uuid.uuid4().hex[:12]}"
+            df.write.parquet(f"{self.root}/{new[name]}")
         got = self.read()
-        for gone in invalid(got.get("meta"), meta):
-            got.pop(gone, None)
-        temp = os.path.join(self.root, f"{uuid.uuid4().hex}.tmp")
-        with open(temp, "w", encoding="utf-8") as f:
-            json.dump(got | {name: version, "meta": meta}, f)
-        os.replace(temp, self._pointer())
+        dropped = invalid(got.get("meta"), meta)
+        before = [got[n] for n in ("findings", "nodes") if isinstance(got.get(n), str) and (n in new or n in dropped)]
+        kept = {n: got[n] for n in ("findings", "nodes") if n in got and n not in dropped}
+        write_text(self.spark, self._pointer(), json.dumps(kept | new | {"meta": meta, "before": before}))
+        for old in got.get("before") or []:
+            remove(self.spark, f"{self.root}/{old}")
 
 
 def refresh(files: DataFrame, state: DataFrame | None, compute, key=("path", "content_sha256")) -> DataFrame:

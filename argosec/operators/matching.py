@@ -1,4 +1,4 @@
-"""The rule matcher: three broadcast equi-joins of nodes with rules, then the filters as array predicates."""
+"""The rule matcher: one broadcast equi-join of nodes with rules by key, then the filters as array predicates."""
 
 from __future__ import annotations
 
@@ -8,21 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from argosec.operators.taint import patterns
-from argosec.sources.rules import with_index
+from argosec.sources.rules import NESTING, with_index
 
 _ARGS = "array<struct<kind:string,text:string,source:string,kwarg_name:string,kwarg_value:string>>"
 
 
 def candidates(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """Node and rule side by side (columns of nodes, and rule): by callee, by last segment of the callee, by kind."""
-    r = F.broadcast(with_index(rules).select(F.col("language").alias("r_lang"), "idx_class", F.col("kind").alias("r_kind"), F.col("callee").alias("r_callee"), F.col("callee_last").alias("r_last"), F.struct(*rules.columns).alias("rule")))
-    same = F.col("language") == F.col("r_lang")
+    """Node and rule side by side (columns of nodes, and rule): by callee, by last segment of the callee, by kind.
+
+    A node has a key for each of the three classes of rules, a rule has one; one pass over the nodes and one broadcast equi-join (a few hundred rules).
+    """
+    key = F.concat_ws("\0", F.substring("idx_class", 1, 1), F.when(F.col("idx_class") == "callee", F.col("callee")).when(F.col("idx_class") == "suffix", F.col("callee_last")).otherwise(F.col("kind")))
+    r = with_index(rules).select(F.col("language").alias("r_lang"), key.alias("r_key"), F.col("idx_class").alias("r_class"), F.col("callee").alias("r_callee"), F.struct(*rules.columns).alias("rule"))
     call = F.col("kind") == "call"
-    exact = nodes.where(call).join(r.where("idx_class = 'callee'"), same & (F.col("callee_text") == F.col("r_callee")))
+    keys = F.array(F.concat(F.lit("k\0"), "kind"), F.when(call, F.concat(F.lit("c\0"), "callee_text")), F.when(call, F.concat(F.lit("s\0"), "callee_last")))
+    x = nodes.withColumn("n_key", F.explode(F.array_compact(keys)))
+    x = x.join(F.broadcast(r), (F.col("language") == F.col("r_lang")) & (F.col("n_key") == F.col("r_key")))
     tail = (F.col("callee_text") == F.col("r_callee")) | F.endswith(F.col("callee_text"), F.concat(F.lit("."), F.col("r_callee")))
-    suffix = nodes.where(call).join(r.where("idx_class = 'suffix'"), same & (F.col("callee_last") == F.col("r_last")) & tail)
-    kind = nodes.join(r.where("idx_class = 'kind'"), same & (F.col("kind") == F.col("r_kind")))
-    return reduce(DataFrame.unionByName, (x.select(*nodes.columns, "rule") for x in (exact, suffix, kind)))
+    return x.where((F.col("r_class") != "suffix") | tail).select(*nodes.columns, "rule")
 
 
 def _rlike(text: Column, rx: Column) -> Column:
@@ -41,8 +44,16 @@ def _tainted(args: Column) -> Column:
     return F.exists(args, lambda a: (a["kind"] == "identifier") & F.array_contains(F.col("tainted_vars"), a["text"])) | F.exists(args, lambda a: a["source"].isNotNull() & F.rlike(a["source"], F.col("source_rx")))
 
 
-def filter_holds(f: Column) -> Column:
-    """All that is set within one filter must hold."""
+def _pattern_holds(p: Column) -> Column:
+    """What a pattern asks of a node besides its kind, callee and filters."""
+    unset = lambda x: F.coalesce(x, F.lit("")) == ""
+    tests = [unset(p["identifier"]) | (F.col("text") == p["identifier"])]
+    tests += [unset(p[field]) | _rlike(F.col(on), p[field]) for field, on in (("literal", "text"), ("lhs_identifier", "lhs"), ("rhs_literal", "rhs"))]
+    return reduce(Column.__and__, tests)
+
+
+def filter_holds(f: Column, nesting: int = NESTING) -> Column:
+    """All that is set within one filter must hold; a negated pattern must not hold for the same node."""
     args = F.coalesce(F.col("args"), F.array().cast(_ARGS))
     call = F.col("kind") == "call"
     handlers = F.coalesce(F.col("except_handlers"), F.array().cast("array<struct<is_bare:boolean,types:array<string>,is_empty_body:boolean>>"))
@@ -53,7 +64,6 @@ def filter_holds(f: Column) -> Column:
     def text(field: str, kind: str) -> Column:
         return when(F.coalesce(f[field], F.lit("")) != "", call & F.exists(args, lambda a: (a["kind"] == kind) & F.rlike(a["text"], f[field])))
 
-    inner = F.when(f["not"]["kind"] == F.col("kind"), F.when(f["not"]["kwarg"].isNull(), F.lit(True)).otherwise(call & _kwarg(args, f["not"]["kwarg"]))).otherwise(F.lit(False))
     tests = [
         when(f["argument_count"].isNotNull(), F.coalesce(F.col("argument_count"), F.lit(0)) == f["argument_count"]),
         when(F.coalesce(f["has_attribute"], F.lit("")) != "", F.exists(F.coalesce("attribute_texts", F.array().cast("array<string>")), lambda t: F.contains(t, f["has_attribute"]))),
@@ -64,8 +74,11 @@ def filter_holds(f: Column) -> Column:
         when(f["has_empty_except_handler"], F.exists(handlers, lambda h: h["is_empty_body"])),
         when(f["tainted_argument"], call & _tainted(args)),
         when(f["tainted_rhs"], (F.col("kind") == "assignment") & _tainted(args)),
-        when(f["not"].isNotNull(), ~inner),
     ]
+    if nesting:
+        p = f["not"]
+        below = F.forall(F.coalesce(p["filters"], F.array()), lambda g: filter_holds(g, nesting - 1))
+        tests.append(when(p.isNotNull(), ~F.coalesce((p["kind"] == F.col("kind")) & _pattern_holds(p) & below, F.lit(False))))
     return reduce(Column.__and__, tests)
 
 
@@ -79,19 +92,21 @@ def tainted_var() -> Column:
 
 
 def match(nodes: DataFrame, rules: DataFrame, taint: DataFrame | None = None) -> DataFrame:
-    """Rows of nodes with rule (a struct), tainted_vars and tainted_var, one for each rule that a node satisfies."""
+    """Rows of nodes with rule (a struct), tainted_vars and tainted_var, one for each rule that a node satisfies.
+
+    Tainted variables come with the nodes (column taints) or from a table of them.
+    """
     spark = nodes.sparkSession
     c = candidates(nodes, rules)
     r = F.col("rule")
-    unset = lambda x: F.coalesce(x, F.lit("")) == ""
-    c = c.where(unset(r["identifier"]) | (F.col("text") == r["identifier"]))
-    for field, on in (("literal", "text"), ("lhs_identifier", "lhs"), ("rhs_literal", "rhs")):
-        c = c.where(unset(r[field]) | _rlike(F.col(on), r[field]))
-    if taint is None:
+    c = c.where(_pattern_holds(r))
+    if "taints" in nodes.columns:
+        c = c.withColumn("tainted_vars", F.coalesce(F.transform("taints", lambda t: t["var"]), F.array().cast("array<string>")))
+    elif taint is None:
         c = c.withColumn("tainted_vars", F.array().cast("array<string>"))
     else:
         held = taint.where("tainted").groupBy("path").agg(F.collect_set("var").alias("tainted_vars"))
         c = c.join(held, "path", "left").withColumn("tainted_vars", F.coalesce("tainted_vars", F.array().cast("array<string>")))
     c = c.join(F.broadcast(patterns(spark).select("language", F.when(F.col("source_rx") == "", F.lit(r"(?!)")).otherwise(F.col("source_rx")).alias("source_rx"))), "language", "left")
-    c = c.where(F.forall(F.coalesce(r["filters"], F.array()), filter_holds))
+    c = c.where(F.forall(F.coalesce(r["filters"], F.array()), lambda f: filter_holds(f)))
     return c.withColumn("tainted_var", tainted_var()).drop("source_rx")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as _html
 import json
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,11 +16,32 @@ ORDER = ("file", "start_line", "start_col", "rule_id", "fingerprint")
 
 
 def sarif_rules(findings: DataFrame) -> DataFrame:
-    """(rule_index, rule_id, rule_name, level, tags): each rule once, in order of first appearance."""
-    seen = findings.groupBy("rule_id").agg(F.min(F.struct(*ORDER)).alias("first"), F.min_by("rule_name", F.struct(*ORDER)).alias("rule_name"), F.min_by("severity", F.struct(*ORDER)).alias("severity"), F.min_by("cwe", F.struct(*ORDER)).alias("cwe"))
+    """(rule_index, rule_id, rule_name, level, tags, rationale, remediation, references): each rule once, in order of first appearance."""
+    at = F.struct(*ORDER)
+    have = set(findings.columns)
+    text = [c for c in ("cwe", "owasp", "references", "rationale", "remediation") if c in have]
+    seen = findings.groupBy("rule_id").agg(F.min(at).alias("first"), F.min_by("rule_name", at).alias("rule_name"), F.min_by("severity", at).alias("severity"), *(F.min_by(c, at).alias(c) for c in text))
+    for c in ("cwe", "owasp", "references", "rationale", "remediation"):
+        if c not in have:
+            seen = seen.withColumn(c, F.lit(None).cast("string" if c in ("rationale", "remediation") else "array<string>"))
     ix = F.row_number().over(Window.orderBy("first")) - 1  # a row a rule
-    tags = F.transform(F.coalesce("cwe", F.array().cast("array<string>")), classification_tag)
-    return seen.select(ix.alias("rule_index"), "rule_id", "rule_name", sarif_level(F.col("severity")).alias("level"), tags.alias("tags"))
+    none = F.array().cast("array<string>")
+    tags = F.transform(F.concat(F.coalesce("cwe", none), F.coalesce("owasp", none)), classification_tag)
+    return seen.select(ix.alias("rule_index"), "rule_id", "rule_name", sarif_level(F.col("severity")).alias("level"), tags.alias("tags"), "rationale", "remediation", "references")
+
+
+def _sarif_rule(r) -> dict:
+    out = {"id": r.rule_id, "name": r.rule_name, "shortDescription": {"text": r.rule_name}, "defaultConfiguration": {"level": r.level}}
+    if r.rationale:
+        out["fullDescription"] = {"text": r.rationale}
+    help_ = "\n\n".join(x for x in (r.rationale, f"Remediation: {r.remediation}" if r.rationale and r.remediation else r.remediation) if x)
+    if len(r.references or []) > 1:
+        help_ += "".join(["\n\nReferences:", *(f"\n- {x}" for x in r.references)])
+    if help_:
+        out["help"] = {"text": help_}
+    if r.references:
+        out["helpUri"] = r.references[0]
+    return out | ({"properties": {"tags": list(r.tags)}} if r.tags else {})
 
 
 def sarif_results(findings: DataFrame, rules: DataFrame) -> DataFrame:
@@ -34,7 +56,7 @@ def sarif_results(findings: DataFrame, rules: DataFrame) -> DataFrame:
 def sarif(findings: DataFrame) -> str:
     """The whole document, for reports that fit the driver; sarif_results() writes larger ones."""
     rules = sarif_rules(findings)
-    meta = [{"id": r.rule_id, "name": r.rule_name, "defaultConfiguration": {"level": r.level}, "properties": {"tags": r.tags}} for r in rules.orderBy("rule_index").collect()]
+    meta = [_sarif_rule(r) for r in rules.orderBy("rule_index").collect()]  # a row a rule
     results = [json.loads(r.result) for r in sarif_results(findings, rules).orderBy(*ORDER).toLocalIterator()]
     run = {"results": results, "tool": {"driver": {"rules": meta, "name": "argosec"}}}
     return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json"} | {"runs": [run]})
@@ -47,15 +69,28 @@ def _numbers(findings: DataFrame) -> dict:
     return out
 
 
-def json_report(findings: DataFrame, group_by: str | None = None, extra: dict | None = None) -> str:
-    head = {"stats": _numbers(findings), **(extra or {})}
-    rows = findings.orderBy(*ORDER).select(F.to_json(F.struct("*")).alias("j"))
-    every = [json.loads(r.j) for r in rows.toLocalIterator()]
+def json_pieces(findings: DataFrame, group_by: str | None = None, extra: dict | None = None):
+    """The JSON document piece by piece; rows come a partition at a time, so neither the driver nor a task holds all of them."""
+    head = json.dumps({"stats": _numbers(findings), **(extra or {})})[:-1]
     if not group_by:
-        return json.dumps(head | {"findings": every})
-    field = {"file": "file", "rule": "rule_id", "severity": "severity", "language": "language"}[group_by]
-    keys = [r.key for r in grouped(findings, group_by).select("key").collect()]
-    return json.dumps(head | {"groups": [{"key": k, "findings": [f for f in every if f.get(field) == k]} for k in keys]})
+        yield head + ', "findings": ['
+        for i, r in enumerate(findings.orderBy(*ORDER).select(F.to_json(F.struct("*")).alias("j")).toLocalIterator()):
+            yield (", " if i else "") + r.j
+        yield "]}"
+        return
+    yield head + ', "groups": ['
+    last: tuple | None = None
+    for r in grouped(findings, group_by).select("key", F.to_json(F.struct(*findings.columns)).alias("j")).toLocalIterator():
+        if last != (r.key,):
+            yield ("]}, " if last else "") + f'{{"key": {json.dumps(r.key)}, "findings": [' + r.j
+        else:
+            yield ", " + r.j
+        last = (r.key,)
+    yield ("]}" if last else "") + "]}"
+
+
+def json_report(findings: DataFrame, group_by: str | None = None, extra: dict | None = None) -> str:
+    return "".join(json_pieces(findings, group_by, extra))
 
 
 def write_json(findings: DataFrame, path: str) -> None:
@@ -63,15 +98,23 @@ def write_json(findings: DataFrame, path: str) -> None:
     findings.write.mode("overwrite").json(path)
 
 
-def html_report(findings: DataFrame, group_by: str | None = None) -> str:
-    by = group_by or "severity"
-    field = {"file": "file", "rule": "rule_id", "severity": "severity", "language": "language"}[by]
-    parts = []
-    rows = findings.orderBy(*ORDER).select("rule_id", "rule_name", "severity", "file", "start_line", "message", "language").collect()
-    for g in grouped(findings, by).select("key", "n").collect():
-        items = "".join(f"<tr><td>{_html.escape(r.severity)}</td><td>{_html.escape(r.rule_id)}</td><td>{_html.escape(r.file)}:{r.start_line}</td><td>{_html.escape(r.message or '')}</td></tr>" for r in rows if r[field] == g.key)
-        parts.append(f"<h2>{_html.escape(str(g.key))} ({g.n})</h2><table>{items}</table>")
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>Scan report</title></head><body><h1>{len(rows)} findings</h1>{''.join(parts)}</body></html>"
+def html_pieces(findings: DataFrame, group_by: str | None = None, generated: datetime | None = None):
+    """The page piece by piece, in one pass over the grouped rows."""
+    e = lambda x: _html.escape(str(x if x is not None else ""))
+    when = (generated or datetime.now(timezone.utc)).strftime("%Y-%m-%d %H:%M:%S UTC")
+    total = findings.count()
+    yield f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>Scan report</title></head><body><h1>{total} findings</h1><p>Generated {e(when)}</p>"
+    last: tuple | None = None
+    for r in grouped(findings, group_by or "severity").select("key", "n", "rule_id", "severity", "file", "start_line", "message").toLocalIterator():
+        if last != (r.key,):
+            yield ("</table>" if last else "") + f"<h2>{e(r.key)} ({r.n})</h2><table>"
+        yield f"<tr><td>{e(r.severity)}</td><td>{e(r.rule_id)}</td><td>{e(r.file)}:{r.start_line}</td><td>{e(r.message)}</td></tr>"
+        last = (r.key,)
+    yield ("</table>" if last else "") + "</body></html>"
+
+
+def html_report(findings: DataFrame, group_by: str | None = None, generated: datetime | None = None) -> str:
+    return "".join(html_pieces(findings, group_by, generated))
 
 
 def accuracy_markdown(summary: dict, by_language: list[dict], by_rule: list[dict]) -> str:

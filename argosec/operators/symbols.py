@@ -41,11 +41,11 @@ def scope_at(lines: DataFrame, scopes_: DataFrame) -> DataFrame:
     return j.groupBy("path", "line").agg(F.coalesce(F.min(span)["scope_ix"], F.lit(0)).alias("scope_ix"))
 
 
-def scope_chains(scopes_: DataFrame, depth: int = 64) -> DataFrame:
-    """(path, scope_ix, up_ix, distance): each scope and those around it; recursive in SQL."""
+def scope_chains(scopes_: DataFrame) -> DataFrame:
+    """(path, scope_ix, up_ix, distance): each scope and those around it; recursive in SQL, as deep as the scopes are nested."""
     spark = scopes_.sparkSession
     return spark.sql(
-        """WITH RECURSIVE chain(path, scope_ix, up_ix, distance) MAX RECURSION LEVEL 200 AS (
+        """WITH RECURSIVE chain(path, scope_ix, up_ix, distance) MAX RECURSION LEVEL 100000 AS (
              SELECT path, scope_ix, scope_ix, 0 FROM {s}
              UNION ALL
              SELECT c.path, c.scope_ix, s.parent_ix, c.distance + 1 FROM chain c JOIN {s} s

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,24 +103,36 @@ _OUT = "path string, language string, var string, tainted boolean, reason string
 
 
 def _fold(patterns_: dict, graphs: bool):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        from argosec.operators.graph import reaching_definitions
-
-        path, language = key
-        pdf = pdf.sort_values("ix")
-        recs = [dict(r, names=list(r["names"]) if r["names"] is not None else [], call_names=list(r["call_names"]) if r["call_names"] is not None else []) for r in pdf[pdf["row"] == "assign"].to_dict("records")]
-        for r in recs:
-            r["rhs"] = r["rhs"] if isinstance(r["rhs"], str) else ""
-            r["call"] = r["call"] if isinstance(r["call"], str) else None
-        sums = {r["lhs"]: (bool(r["always"]), bool(r["pass"])) for r in pdf[pdf["row"] == "summary"].to_dict("records")}
-        src, san = patterns_.get(language, ("", ""))
+    """Input is sorted by path and language; a file may span batches, and a batch holds many files."""
+    from argosec.operators.graph import reaching_definitions
+
+    kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.list_(pa.struct([("line", pa.int32()), ("col", pa.int32())])))
+    names = [c.split()[0] for c in _OUT.split(", ", 5)]
+
+    def verdicts(path: str, language: str, rows: list[dict]) -> list[tuple]:
+        recs = [r | {"names": r["names"] or [], "call_names": r["call_names"] or []} for r in rows if r["row"] == "assign"]
+        sums = {r["lhs"]: (bool(r["always"]), bool(r["pass"])) for r in rows if r["row"] == "summary"}
         reaches = None
         if graphs and language == "python":
-            nodes = pdf[pdf["row"] == "node"].sort_values("ix")
-            ins = reaching_definitions(nodes[["ix", "parent_ix", "end_ix", "kind", "lhs"]].to_dict("records"))
+            ins = reaching_definitions([r for r in rows if r["row"] == "node"])
             reaches = lambda ix, name: bool(ins.get(ix, {}).get(name))
-        out = fold_file(recs, src, san, sums, reaches)
-        return pd.DataFrame([(path, language, o["var"], o["tainted"], o["reason"], o["path_locs"]) for o in out], columns=[c.split()[0] for c in _OUT.split(", ", 5)])
+        out = fold_file(recs, *patterns_.get(language, ("", "")), sums, reaches)
+        return [(path, language, o["var"], o["tainted"], o["reason"], o["path_locs"]) for o in out]
+
+    def run(batches):
+        key, held, out = None, [], []
+        for b in batches:
+            for r in b.to_pylist():
+                if (r["path"], r["language"]) != key:
+                    out += verdicts(*key, held) if held else []
+                    key, held = (r["path"], r["language"]), []
+                held.append(r)
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                out = []
+        out += verdicts(*key, held) if held else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     return run
 
@@ -143,4 +155,4 @@ def taint(nodes: DataFrame, graphs: bool = False) -> DataFrame:
         n = nodes.where("language = 'python'").select("path", "language", "ix", "parent_ix", "end_ix", "kind", "lhs", F.lit("node").alias("row"))
         rows = rows.unionByName(n, allowMissingColumns=True)
     pats = {k: (source_regex(k), sanitizer_regex(k)) for k in TEXTS}
-    return rows.groupBy("path", "language").applyInPandas(_fold(pats, graphs), _OUT)
+    return rows.repartition("path", "language").sortWithinPartitions("path", "language", "ix").mapInArrow(_fold(pats, graphs), _OUT)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from argosec.parsers import clike_front, html_front, python_front
 from argosec.parsers.tree import COLUMNS, NODE_SCHEMA, Node, rows
+from argosec.storage import spread
 
 PARSERS = {
     "python": python_front.parse,
@@ -49,4 +50,4 @@ def _parse(pdfs):
 def ir_nodes(files: DataFrame) -> DataFrame:
     """Syntax rows of files (path, language, content); other languages and null contents give none."""
     use = files.where(F.col("language").isin(*PARSERS) & F.col("content").isNotNull())
-    return use.select("path", "language", F.col("content").cast("string").alias("content")).mapInPandas(_parse, NODE_SCHEMA)
+    return spread(use.select("path", "language", F.col("content").cast("string").alias("content"))).mapInPandas(_parse, NODE_SCHEMA)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,10 +13,11 @@ from argosec.operators import incremental, secrets as sec
 from argosec.operators import taint as tt
 from argosec.operators.graph import cfg_edges, reaching
 from argosec.parsers.front import ir_nodes
-from argosec.plans.derived import cte, derived
-from argosec.plans.scan import Options, sast, scan
+from argosec.plans.derived import PLANTED, cte, derived
+from argosec.plans.scan import Options, incremental_sast, meta, sast, scan
 from argosec.sources import config_kv, lockfiles, rules, walk
-from argosec.sources.inputs import files_of_rows
+from argosec.sources.inputs import files_of_rows, load_allowlist
+from argosec.storage import new_path
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -70,11 +74,13 @@ def secrets_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _secrets_in(table: str, key: str, text: str):
-    src = f"WITH t AS (SELECT CAST({key} AS VARCHAR) AS path, {text} AS content FROM {table} WHERE {text} IS NOT NULL),\n" + _lines("t") + ",\n" + _secret_hits("t_lines")
+    """The texts of a table, each with a line that holds a secret of one of the five kinds, a weak one or none."""
+    planted = PLANTED.replace("{k}", key)
+    src = f"WITH t AS (SELECT CAST({key} AS VARCHAR) AS path, {text} || chr(10) || {planted} AS content FROM {table} WHERE {text} IS NOT NULL AND {key} IS NOT NULL),\n" + _lines("t") + ",\n" + _secret_hits("t_lines")
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).cast("string").alias("path"), F.col(text).alias("content")).where("content is not null")
-        return _bigints(sec.secrets(rows))
+        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").where(F.col(text).isNotNull() & F.col(key).isNotNull())
+        return _bigints(sec.secrets(rows.select(F.col(key).cast("string").alias("path"), F.concat(text, F.lit("\n"), F.expr(planted)).alias("content"))))
 
     QUERIES[f"secrets_in_{table}"] = run
     ORACLE[f"secrets_in_{table}"] = src + " SELECT * FROM secret_rows"
@@ -102,7 +108,7 @@ def lang_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("language").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
-_IGNORE = [r for r, _ in walk.ignore_patterns([("", p) for p in (*walk.IGNORED, "docs/", "*.htm")])]
+_IGNORE = walk.ignore_patterns([("", p) for p in (*walk.IGNORED, "docs/", "*.htm")] + [("pkg", "f1*"), ("src", "*.go")])
 
 
 @query(
@@ -111,13 +117,49 @@ _IGNORE = [r for r, _ in walk.ignore_patterns([("", p) for p in (*walk.IGNORED,
     + ", ".join(f"'{d}'" for d in walk.PRUNED)
     + f"]) AND {_EXT} NOT IN ("
     + ", ".join(f"'{e}'" for e in walk.BINARY_EXTENSIONS)
-    + ") AND NOT (" + " OR ".join(f"regexp_matches(rel_path, '{r}')" for r in _IGNORE) + ")"
+    + ") AND NOT (" + " OR ".join(f"(starts_with(rel_path, '{o + '/' * bool(o)}') AND regexp_matches(rel_path, '{r}'))" for o, r in _IGNORE) + ")"
 )
 def walk_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = derived(spark, sf_dir, "src_paths").where(F.col("size") <= walk.MAX_BYTES)
     p = p.where(walk.keep_directories(F.col("rel_path")) & walk.keep_extension(F.col("rel_path")))
-    rx = spark.createDataFrame([(r,) for r in _IGNORE], "regex string")
-    return walk.not_ignored(p, rx).select("event_id", "rel_path")
+    return walk.not_ignored(p, spark.createDataFrame(_IGNORE, "owner string, regex string")).select("event_id", "rel_path")
+
+
+_TREE_FILES = """SELECT s_suppkey AS k, CASE s_suppkey % 8 WHEN 0 THEN 'src/s' WHEN 1 THEN 'node_modules/m' WHEN 2 THEN 'sub/s' WHEN 3 THEN 'sub/s' WHEN 4 THEN 'lat/l' WHEN 5 THEN 'gone/g' WHEN 6 THEN '.cfg/_h' ELSE 'raw/b' END || CAST(s_suppkey AS STRING)
+  || CASE s_suppkey % 8 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.py' WHEN 3 THEN '.go' WHEN 4 THEN '.php' WHEN 5 THEN '.java' WHEN 6 THEN '.env' ELSE '.dat' END AS rel_path FROM {supplier}"""
+_TREE_IGNORES = {".gitignore": "gone/\n", "sub/.gitignore": "*.py\n", "node_modules/x/.gitignore": "*.go\n"}
+_BODIES = {4: (b"caf\xe9 ", 5), 7: (b"A\x00 ", 3)}  # Latin-1, and a zero byte: bytes and characters before the key; else 'x = '
+
+
+def _plant(root: str):
+    def run(batches):
+        import pyarrow as pa
+
+        from argosec.storage import worker_fs
+
+        fs, bare = worker_fs(root)
+        for b in batches:
+            for k, rel in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                fs.create_dir(f"{bare}/{rel}".rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(f"{bare}/{rel}", compression=None) as f:
+                    f.write(_TREE_IGNORES[rel].encode() if k is None else _BODIES.get(k % 8, (b"x = ", 4))[0] + str(k).encode())
+            yield pa.RecordBatch.from_arrays([b.column(1)], ["rel_path"])
+
+    return run
+
+
+@query(
+    "WITH t AS (" + _TREE_FILES.replace("{supplier}", "supplier") + ") SELECT rel_path, CAST(length(CAST(k AS VARCHAR)) + CASE k % 8 WHEN 4 THEN 5 WHEN 7 THEN 3 ELSE 4 END AS BIGINT) AS size, k % 8 = 7 AS is_binary, CASE k % 8 WHEN 0 THEN 'python' WHEN 3 THEN 'go' WHEN 4 THEN 'php' ELSE 'unknown' END AS language, "
+    "CAST(length(CAST(k AS VARCHAR)) + CASE k % 8 WHEN 4 THEN 5 WHEN 7 THEN 3 ELSE 4 END AS BIGINT) AS n_chars, sha256(CASE k % 8 WHEN 4 THEN unhex('636166E920') WHEN 7 THEN unhex('410020') ELSE unhex('78203D20') END || encode(CAST(k AS VARCHAR))) AS content_sha256 FROM t WHERE k % 8 NOT IN (1, 2, 5) "
+    + "".join(f"UNION ALL SELECT '{p}', {len(c)}, false, 'unknown', {len(c)}, '{__import__('hashlib').sha256(c.encode()).hexdigest()}' " for p, c in _TREE_IGNORES.items() if "node_modules" not in p)
+)
+def walk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A written tree with nested ignore files, a pruned folder, hidden files and a file that is no UTF-8, walked."""
+    root = new_path(spark, "tree")
+    files = spark.sql(_TREE_FILES.replace("{supplier}", f"parquet.`{sf_dir}/supplier.parquet`"))
+    more = spark.createDataFrame([(None, p) for p in _TREE_IGNORES], "k long, rel_path string")
+    files.select(F.col("k").cast("long").alias("k"), "rel_path").unionByName(more).mapInArrow(_plant(root), "rel_path string").count()
+    return walk.walk(spark, root).select("rel_path", "size", "is_binary", "language", F.length("content").cast("long").alias("n_chars"), "content_sha256")
 
 
 @query("SELECT event_id % 7 = 0 AS is_binary, count(*) AS n FROM events GROUP BY 1")
@@ -161,6 +203,15 @@ def cfg_cors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cfg(config_checks.wildcard_cors(derived(spark, sf_dir, "env_files")))
 
 
+@query("""SELECT 'ZS-CFG-003' AS rule_id, 'medium' AS severity, CASE s_suppkey % 3 WHEN 0 THEN 'c' || s_suppkey || '.yml' ELSE 'c' || s_suppkey || '.go' END AS path, CAST(CASE s_suppkey % 3 WHEN 0 THEN 3 ELSE 2 END AS BIGINT) AS line FROM supplier WHERE s_suppkey % 3 <> 2""")
+def cfg_cors_yaml_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wildcard origins in YAML lists and in sources; every third source names its origin."""
+    k = F.col("s_suppkey")
+    text = F.when(k % 3 == 0, F.lit("cors:\n  allowed_origins:\n    - '*'\n")).when(k % 3 == 1, F.lit("package main\nw.Header().Set(\"Access-Control-Allow-Origin\", \"*\")\n")).otherwise(F.lit("package main\nw.Header().Set(\"Access-Control-Allow-Origin\", \"https://a.example\")\n"))
+    f = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("c"), k.cast("string"), F.when(k % 3 == 0, ".yml").otherwise(".go")).alias("path"), text.alias("content"))
+    return _bigints(config_checks.wildcard_cors(files_of_rows(f)).select("rule_id", "severity", "path", "line"))
+
+
 _INI = cte("ini_files") + ",\n" + _lines("ini_files")
 
 
@@ -285,7 +336,10 @@ def deps_advisory_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # rules
-@query()
+@query(
+    "SELECT language, severity, CASE WHEN kind <> 'call' OR coalesce(callee, '') = '' THEN 'kind' WHEN coalesce(suffix, false) AND contains(callee, '.') THEN 'suffix' ELSE 'callee' END AS idx_class, count(*) AS n "
+    f"FROM read_json('{rules.CATALOGUE}', format = 'newline_delimited', columns = {{language: 'VARCHAR', severity: 'VARCHAR', kind: 'VARCHAR', callee: 'VARCHAR', suffix: 'BOOLEAN'}}) GROUP BY 1, 2, 3"
+)
 def rules_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rules.with_index(rules.load_rules(spark))
     return r.groupBy("language", "severity", "idx_class").agg(F.count("*").alias("n"))
@@ -354,9 +408,11 @@ _RULE_SQL = {
 
 
 def _rule_rows(spark: SparkSession, ids: tuple[str, ...]) -> DataFrame:
-    import json
+    return _as_rules(spark, [r for r in _RULES if r["id"] in ids])
+
 
-    rows = [(json.dumps(rules._flat(r)),) for r in _RULES if r["id"] in ids]
+def _as_rules(spark: SparkSession, given: list[dict]) -> DataFrame:
+    rows = [(json.dumps(rules._flat(r)),) for r in given]
     return spark.createDataFrame(rows, "j string").select(F.from_json("j", rules.RULE_SCHEMA).alias("r")).select("r.*")
 
 
@@ -380,6 +436,49 @@ _rule_query("rule_not_filter", "R6")
 _rule_query("rule_match_all", *_RULE_SQL)
 
 
+# each filter and pattern field on nodes of other kinds than calls
+_FILTER_RULES = [
+    {"id": "F1", "name": "lhs", "language": "python", "kind": "assignment", "lhs_identifier": "^pass"},
+    {"id": "F2", "name": "rhs", "language": "python", "kind": "assignment", "rhs_literal": '^"x'},
+    {"id": "F3", "name": "identifier", "language": "python", "kind": "identifier", "identifier": "Bad"},
+    {"id": "F4", "name": "literal", "language": "python", "kind": "literal", "literal": "^[0-9]+$"},
+    {"id": "F5", "name": "bare", "language": "python", "kind": "try", "filters": [{"has_bare_except": True}]},
+    {"id": "F6", "name": "empty", "language": "python", "kind": "try", "filters": [{"has_empty_except_handler": True}]},
+    {"id": "F7", "name": "attribute", "language": "python", "kind": "call", "filters": [{"has_attribute": "os.sys"}]},
+    {"id": "F8", "name": "argument", "language": "python", "kind": "call", "filters": [{"argument_literal_matches": "^md5$"}]},
+    {"id": "F9", "name": "tainted", "language": "python", "kind": "assignment", "filters": [{"tainted_rhs": True}]},
+    {"id": "F10", "name": "not", "language": "python", "kind": "call", "filters": [{"not": {"kind": "call", "filters": [{"argument_count": 1}]}}]},
+    {"id": "F11", "name": "not rhs", "language": "python", "kind": "assignment", "filters": [{"not": {"kind": "assignment", "rhs_literal": '^"x'}}]},
+    {"id": "F12", "name": "not not", "language": "python", "kind": "call", "filters": [{"not": {"kind": "call", "filters": [{"not": {"kind": "call", "filters": [{"argument_count": 2}]}}]}}]},
+    {"id": "F13", "name": "direct source", "language": "python", "kind": "call", "filters": [{"tainted_argument": True}]},
+]
+_FILTER_SQL = {
+    "F1": "kind = 'assignment' AND lhs = 'password'", "F2": "kind = 'assignment' AND rhs = '\"x1\"'", "F3": "kind = 'identifier' AND text = 'Bad'", "F4": "kind = 'literal' AND text NOT IN ('Bad', 'md5')",
+    "F5": "kind = 'try' AND bare", "F6": "kind = 'try' AND bare_body", "F7": "kind = 'call' AND argument_count = 0", "F8": "kind = 'call' AND text = 'md5'", "F9": "kind = 'assignment' AND arg = 'v1'",
+    "F10": "kind = 'call' AND argument_count <> 1", "F11": "kind = 'assignment' AND rhs <> '\"x1\"'", "F12": "kind = 'call' AND argument_count = 2", "F13": "kind = 'call' AND (arg = 'v1' OR lhs = 'password')",
+}
+
+
+@query(cte("filter_nodes") + " " + " UNION ALL ".join(f"SELECT path, ix, '{i}' AS rule_id, {tv} AS tainted_var FROM filter_nodes WHERE {w}" for i, w in _FILTER_SQL.items() for tv in ["CASE WHEN arg = 'v1' THEN 'v1' ELSE 'request.args' END" if i == "F13" else "'v1'" if i == "F9" else "NULL"]))
+def rule_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern fields, except handlers, attributes, literals, taint of a right-hand side and negations, nested ones too."""
+    none = F.lit(None).cast("string")
+
+    def arg(kind: str, text, source=none):
+        return F.struct(F.lit(kind).alias("kind"), text.alias("text"), source.alias("source"), none.alias("kwarg_name"), none.alias("kwarg_value"))
+
+    direct = F.when(F.col("lhs") == "password", F.lit("request.args"))
+    args = F.array(arg("identifier", F.col("arg"), F.col("arg")), arg("literal", F.col("text")), arg("attribute", F.lit(""), direct)).cast(matching._ARGS)
+    call, handlers = F.col("kind") == "call", F.array(F.struct(F.col("bare").alias("is_bare"), F.array().cast("array<string>").alias("types"), F.col("bare_body").alias("is_empty_body")))
+    n = derived(spark, sf_dir, "filter_nodes")
+    n = n.select(
+        "path", F.lit("python").alias("language"), "ix", "kind", F.when(call, "").otherwise(F.col("text")).alias("text"), F.when(call, "f").alias("callee_text"), F.when(call, "f").alias("callee_last"), "argument_count", "lhs", "rhs",
+        F.when(call | ((F.col("kind") == "assignment")), F.when(F.col("kind") == "assignment", F.slice(args, 1, 1)).otherwise(args)).alias("args"), F.when(F.col("argument_count") == 0, F.array(F.lit("x.os.system"))).alias("attribute_texts"), F.when(F.col("kind") == "try", handlers).alias("except_handlers"),
+    )
+    tainted = n.select("path").distinct().select("path", F.lit("v1").alias("var"), F.lit(True).alias("tainted"))
+    return matching.match(n, _as_rules(spark, _FILTER_RULES), tainted).select("path", "ix", F.col("rule.id").alias("rule_id"), "tainted_var")
+
+
 # taint
 _ASSIGN_NODES = ["path", "language", "ix", "end_ix", "lhs", "rhs", "augmented"]
 _STEP = """CASE WHEN contains(l.rhs, 'html.escape(') THEN false WHEN l.rhs = 'request.args' THEN true WHEN l.name <> '' AND coalesce(list_contains(f.vars, l.name), false) THEN true
@@ -456,7 +555,12 @@ _ALLOWED = "(rule_id = 'ZS-X-1' OR (rule_id = 'ZS-X-2' AND file LIKE 'src/d1/%')
 
 @query(_F + f" SELECT rule_id, file, count(*) AS n FROM findings_raw WHERE NOT {_ALLOWED} GROUP BY 1, 2")
 def allowlist_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept, _ = findings.suppressed(_raw(spark, sf_dir), findings.allowlist(spark, _ALLOW))
+    with tempfile.TemporaryDirectory() as folder:  # a driver-side input, like a user's file
+        path = f"{folder}/allow.yaml"
+        with open(path, "w", encoding="utf-8") as f:
+            f.write("version: 1\nsuppressions:\n" + "".join(f"  - {json.dumps(e)}\n" for e in _ALLOW))
+        allow = findings.allowlist(spark, load_allowlist(path))
+    kept, _ = findings.suppressed(_raw(spark, sf_dir), allow)
     return kept.groupBy("rule_id", "file").agg(F.count("*").alias("n"))
 
 
@@ -484,14 +588,14 @@ def stats_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def group_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from argosec.functions.text import severity_rank
 
-    g = findings.grouped(findings.dedup(_raw(spark, sf_dir)), "severity")
-    return g.select("key", "n", severity_rank(F.col("key")).alias("rank"), F.col("findings")[0]["file"].alias("first_file"))
+    g = findings.groups(findings.dedup(_raw(spark, sf_dir)), "severity")
+    return g.select("key", "n", severity_rank(F.col("key")).alias("rank"), F.col("first.file").alias("first_file"))
 
 
 @query(_F + ", " + _DEDUP + " SELECT file AS key, count(*) AS n, min(start_line) AS first_line FROM d GROUP BY file")
 def group_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = findings.grouped(findings.dedup(_raw(spark, sf_dir)), "file")
-    return g.select("key", "n", F.col("findings")[0]["start_line"].alias("first_line"))
+    g = findings.groups(findings.dedup(_raw(spark, sf_dir)), "file")
+    return g.select("key", "n", F.col("first.start_line").alias("first_line"))
 
 
 @query(_F + """, r AS (SELECT rule_id, min(file || lpad(CAST(start_line AS VARCHAR), 5, '0')) AS f, min_by(severity, file || lpad(CAST(start_line AS VARCHAR), 5, '0')) AS severity FROM findings_raw GROUP BY rule_id)
@@ -500,23 +604,30 @@ def sarif_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.sarif_rules(_raw(spark, sf_dir)).select("rule_index", "rule_id", "level", F.col("tags")[0].alias("tag"))
 
 
-@query()
+@query(
+    _F + ", " + _DEDUP + """, r AS (SELECT rule_id, min(file || lpad(CAST(start_line AS VARCHAR), 5, '0') || lpad(CAST(start_col AS VARCHAR), 5, '0')) AS f FROM d GROUP BY rule_id),
+i AS (SELECT rule_id, row_number() OVER (ORDER BY f, rule_id) - 1 AS k FROM r)
+SELECT rule_id, file, start_line, d.fingerprint, '{"ruleId":"' || rule_id || '","ruleIndex":' || i.k || ',"level":"' || CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END || '","message":{"text":"' || message
+  || '"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"' || file || '"},"region":{"startLine":' || greatest(start_line, 1) || CASE WHEN end_line > greatest(start_line, 1) THEN ',"endLine":' || end_line ELSE '' END || '}}}],"partialFingerprints":{"primary":"' || fingerprint || '"}}' AS result
+FROM d JOIN i USING (rule_id)"""
+)
 def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = findings.dedup(_raw(spark, sf_dir))
-    return reports.sarif_results(f, reports.sarif_rules(f))
+    return reports.sarif_results(f, reports.sarif_rules(f)).select("rule_id", "file", "start_line", "fingerprint", "result")
 
 
 _SCORE = cte("findings_raw", "labels_x") + """, cases AS (SELECT DISTINCT file, language FROM labels_x),
-f AS (SELECT r.file, r.rule_id AS key, r.kind, c.language FROM findings_raw AS r JOIN cases AS c USING (file) WHERE r.kind <> 'sca'),
-got AS (SELECT file, key, count(*) AS n FROM f GROUP BY 1, 2), e AS (SELECT file, language, modality, rule_id AS key, max(greatest(min_count, 1)) AS need FROM labels_x GROUP BY 1, 2, 3, 4),
+f AS (SELECT r.file, CASE WHEN r.kind = 'sca' THEN 'dep:npm:' || replace(r.rule_id, 'ZS-X-', 'pkg') ELSE r.rule_id END AS key, r.kind, c.language FROM findings_raw AS r JOIN cases AS c USING (file)),
+got AS (SELECT file, key, count(*) AS n FROM f GROUP BY 1, 2), e AS (SELECT file, language, modality, CASE WHEN package IS NOT NULL THEN 'dep:' || ecosystem || ':' || package ELSE rule_id END AS key, max(greatest(min_count, 1)) AS need FROM labels_x GROUP BY 1, 2, 3, 4),
 s AS (SELECT e.file, e.language, e.modality, e.key AS rule_id, CASE WHEN coalesce(n, 0) >= need THEN 'TP' ELSE 'FN' END AS outcome, 1 AS n FROM e LEFT JOIN got USING (file, key)
   UNION ALL SELECT f.file, f.language, f.kind, f.key, 'FP', count(*) FROM f WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.file = f.file AND e.key = f.key) GROUP BY 1, 2, 3, 4)"""
 _TFF = "CAST(coalesce(sum(CASE WHEN outcome = 'TP' THEN n END), 0) AS BIGINT) AS tp, CAST(coalesce(sum(CASE WHEN outcome = 'FP' THEN n END), 0) AS BIGINT) AS fp, CAST(coalesce(sum(CASE WHEN outcome = 'FN' THEN n END), 0) AS BIGINT) AS fn"
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = derived(spark, sf_dir, "labels_x").withColumn("package", F.lit(None).cast("string")).withColumn("ecosystem", F.lit(None).cast("string"))
-    f = _raw(spark, sf_dir).where("kind <> 'sca'").withColumn("dependency", F.lit(None).cast("struct<ecosystem:string,package:string>"))
+    e = derived(spark, sf_dir, "labels_x")
+    package = F.struct(F.lit("npm").alias("ecosystem"), F.replace("rule_id", F.lit("ZS-X-"), F.lit("pkg")).alias("package"))
+    f = _raw(spark, sf_dir).withColumn("dependency", F.when(F.col("kind") == "sca", package))
     return accuracy.score(f, e.select("file", "language"), e)
 
 
@@ -545,6 +656,23 @@ def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.refresh(f, old, lambda x: x.select("path", F.lit("new").alias("origin"))).groupBy("origin").agg(F.count("*").alias("n"))
 
 
+_CHANGED = "CASE WHEN s_suppkey % 4 = 0 THEN 'exec(y)' ELSE 'eval(x)' END"
+
+
+@query(f"SELECT 's' || s_suppkey || '.py' AS file, CASE {_CHANGED} WHEN 'eval(x)' THEN 'ZS-PY-001' ELSE 'ZS-PY-033' END AS rule_id, s_suppkey % 4 = 0 AS computed FROM supplier")
+def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scans with a state in the shared folder; the second matches only the files whose content changed."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    path = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".py")).alias("path")
+    one, two = files_of_rows(s.select(path, F.lit("eval(x)\n").alias("content"))), files_of_rows(s.select(path, F.concat(F.expr(_CHANGED), F.lit("\n")).alias("content")))
+    state = incremental.State(spark, new_path(spark, "state"))
+    r, o = rules.load_rules(spark), Options()
+    incremental_sast(one, r, o, state)
+    missed = incremental.misses(two, state.table("findings", meta(o))).select(F.col("path").alias("missed"))
+    found = incremental_sast(two, r, o, state)
+    return found.join(missed, F.col("file") == F.col("missed"), "left").select("file", "rule_id", F.col("missed").isNotNull().alias("computed"))
+
+
 # front ends over pages and generated sources
 @query(r"SELECT page_id, len(regexp_extract_all(html, '(?is)<script>')) AS n_scripts, len(regexp_extract_all(html, '(?i)<a ')) AS n_links FROM pages")
 def html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -554,38 +682,114 @@ def html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy(page).agg(F.count_if((F.col("kind") == "module") & (F.col("language") == "javascript")).alias("n_scripts"), F.count_if((F.col("kind") == "call") & (F.col("language") == "html") & (F.col("callee_text") == "a")).alias("n_links"))
 
 
+# language: extension, source, findings as (rule, line, enclosing symbol, snippet, variable or expression that is tainted)
 _TEMPLATES = {
-    "python": ("x = request.args.get('q')\n\ndef f(a):\n    return a\n\ny = f(x)\ncursor.execute(y)\neval(y)\n", [("ZS-PY-001", 8), ("ZS-PY-004", 7)]),
-    "javascript": ("const q = req.query.q;\neval(q);\nel.innerHTML = q;\n", [("ZS-JS-001", 2), ("ZS-JS-002", 3)]),
-    "html": ('<a href="x" target="_blank">l</a>\n<iframe src="https://a"></iframe>\n', [("ZS-HTML-001", 1), ("ZS-HTML-004", 2)]),
-    "go": ('package main\nimport "math/rand"\nfunc t() int {\n\treturn rand.Int()\n}\n', [("ZS-GO-010", 4)]),
-}
+    "python": (
+        "py",
+        "x = request.args.get('q')\n\ndef f(a):\n    return a\n\ny = f(x)\ncursor.execute(y)\neval(y)\n\nclass K:\n    def m(self, q):\n        try:\n            hashlib.new('md5')\n        except:\n            pass\n        assert q\n\nDEBUG = True\nresp['Access-Control-Allow-Origin'] = request.headers\n",
+        [
+            ("ZS-PY-001", 8, "", "eval(y)", None), ("ZS-PY-004", 7, "", "cursor.execute(y)", "y"), ("ZS-PY-023", 12, "K", "        try:\n            hashlib.new('md5')\n        except:\n            pass", None),
+            ("ZS-PY-024", 12, "K", "        try:\n            hashlib.new('md5')\n        except:\n            pass", None), ("ZS-PY-056", 13, "K", "            hashlib.new('md5')", None), ("ZS-PY-009", 16, "K", "        assert q", None),
+            ("ZS-PY-017", 18, "", "DEBUG = True", None), ("ZS-PY-030", 19, "", "resp['Access-Control-Allow-Origin'] = request.headers", "request.headers"),
+        ],
+    ),
+    "javascript": ("js", "const q = req.query.q;\neval(q);\nel.innerHTML = q;\n", [("ZS-JS-001", 2, "", "eval(q);", "q"), ("ZS-JS-002", 3, "", "el.innerHTML = q;", "q")]),
+    "typescript": (
+        "ts",
+        "const q: string = req.query.q as string;\nclass A {\n  run(v: string) {\n    try { exec(q); } catch (e) { }\n    const n = Math.random();\n  }\n}\nconst apiToken = 'abcdefgh12345678';\n",
+        [("ZS-TS-005", 4, "A", "    try { exec(q); } catch (e) { }", None), ("ZS-TS-016", 4, "A", "    try { exec(q); } catch (e) { }", "q"), ("ZS-TS-021", 5, "A", "    const n = Math.random();", None), ("ZS-TS-012", 8, "", "const apiToken = 'abcdefgh12345678';", None)],
+    ),
+    "go": (
+        "go",
+        'package main\nimport "math/rand"\nfunc t(r *http.Request) int {\n\tc := tls.Config{InsecureSkipVerify: true}\n\tq := r.FormValue("q")\n\texec.Command(q)\n\treturn rand.Int()\n}\n',
+        [("ZS-GO-021", 4, "t", "InsecureSkipVerify", None), ("ZS-GO-001", 6, "t", "\texec.Command(q)", "q"), ("ZS-GO-010", 7, "t", "\treturn rand.Int()", None)],
+    ),
+    "java": (
+        "java",
+        'class A {\n  void m(HttpServletRequest request) {\n    String q = request.getParameter("q");\n    stmt.executeQuery(q);\n    String password = "hunter2hunter2";\n    new File(q);\n    NoOpPasswordEncoder.getInstance();\n  }\n}\n',
+        [("ZS-JAVA-001", 4, "A", "    stmt.executeQuery(q);", "q"), ("ZS-JAVA-005", 5, "A", '    String password = "hunter2hunter2";', None), ("ZS-JAVA-006", 6, "A", "    new File(q);", "q"), ("ZS-JAVA-007", 7, "A", "    NoOpPasswordEncoder.getInstance();", None)],
+    ),
+    "csharp": (
+        "cs",
+        'class A {\n  void M() {\n    var q = Request.QueryString["q"];\n    var c = new SqlCommand(q);\n    context.Response.Write(q);\n    MD5.Create();\n    string apiKey = "abcdef123456";\n    cmd.CommandText = q;\n  }\n}\n',
+        [("ZS-CS-002", 4, "A", "    var c = new SqlCommand(q);", "q"), ("ZS-CS-004", 5, "A", "    context.Response.Write(q);", "q"), ("ZS-CS-005", 6, "A", "    MD5.Create();", None), ("ZS-CS-006", 7, "A", '    string apiKey = "abcdef123456";', None), ("ZS-CS-012", 8, "A", "    cmd.CommandText = q;", "q")],
+    ),
+    "php": (
+        "php",
+        "<?php\n$q = $_GET['q'];\nsystem($q);\necho $q;\n$safe = htmlspecialchars($q);\necho $safe;\nunserialize($safe);\n$password = 'hunter2hunter2';\n",
+        [("ZS-PHP-001", 3, "", "system($q);", "$q"), ("ZS-PHP-004", 4, "", "echo $q;", "$q"), ("ZS-PHP-003", 7, "", "unserialize($safe);", None), ("ZS-PHP-005", 8, "", "$password = 'hunter2hunter2';", None)],
+    ),
+    "html": (
+        "html",
+        '<a href="x" target="_blank">l</a>\n<iframe src="https://a"></iframe>\n<script>\nvar q = location.hash;\neval(q);\n</script>\n',
+        [("ZS-HTML-001", 1, "", '<a href="x" target="_blank">l</a>', None), ("ZS-HTML-004", 2, "", '<iframe src="https://a"></iframe>', None), ("ZS-JS-001", 5, "", "eval(q);", "q")],
+    ),
+}
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ext = {"python": "py", "javascript": "js", "html": "html", "go": "go"}
-    k = F.col("s_suppkey") % 4
+    k = F.col("s_suppkey") % len(_TEMPLATES)
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    text = F.coalesce(*(F.when(k == i, F.lit(_TEMPLATES[lang][0])) for i, lang in enumerate(ext)))
-    suffix = F.coalesce(*(F.when(k == i, F.lit(e)) for i, e in enumerate(ext.values())))
+    text = F.coalesce(*(F.when(k == i, F.lit(t[1])) for i, t in enumerate(_TEMPLATES.values())))
+    suffix = F.coalesce(*(F.when(k == i, F.lit(t[0])) for i, t in enumerate(_TEMPLATES.values())))
     return files_of_rows(s.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit("."), suffix).alias("path"), text.alias("content")))
 
 
-def _expected(i: int, lang: str) -> str:
-    ext = {"python": "py", "javascript": "js", "html": "html", "go": "go"}[lang]
-    return " UNION ALL ".join(f"SELECT 's' || s_suppkey || '.{ext}' AS file, '{r}' AS rule_id, CAST({n} AS INT) AS start_line FROM supplier WHERE s_suppkey % 4 = {i}" for r, n in _TEMPLATES[lang][1])
+def _q(x) -> str:
+    return "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
+
 
+def _values(*rows: tuple) -> str:
+    return ", ".join("(" + ", ".join(str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else _q(x) for x in r) + ")" for r in rows)
 
-@query("SELECT * FROM (" + " UNION ALL ".join(_expected(i, lang) for i, lang in enumerate(_TEMPLATES)) + ") AS x")
+
+_EXPECTED = (
+    "expected AS (SELECT 's' || s_suppkey || '.' || ext AS file, rule_id, CAST(start_line AS INT) AS start_line, symbol, snippet, CAST(source_var AS VARCHAR) AS source_var FROM supplier JOIN (VALUES "
+    + _values(*((i, t[0], *e) for i, t in enumerate(_TEMPLATES.values()) for e in t[2]))
+    + f") AS v(k, ext, rule_id, start_line, symbol, snippet, source_var) ON s_suppkey % {len(_TEMPLATES)} = k)"
+)
+
+
+@query("WITH " + _EXPECTED + r" SELECT file, rule_id, start_line, snippet, source_var, substr(sha256(rule_id || '|' || symbol || '|' || trim(regexp_replace(snippet, '\s+', ' ', 'g'))), 1, 16) AS fingerprint FROM expected")
 def sast_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parse, taint, match and build findings for generated sources of four languages."""
-    return sast(_sources(spark, sf_dir), rules.load_rules(spark)).select("file", "rule_id", "start_line")
+    """Parse, taint, match and build findings for generated sources of all eight languages."""
+    f = sast(_sources(spark, sf_dir), rules.load_rules(spark))
+    return f.select("file", "rule_id", "start_line", F.col("evidence")[0]["snippet"].alias("snippet"), F.col("taint.source_var").alias("source_var"), "fingerprint")
+
+
+# path suffix: symbols as (seq, name, kind, first line, last line, class or function around), scopes as (type, first line, last line)
+_SYMBOLS = {
+    "java": [(1, "A", "class", 1, 9), (2, "m", "function", 2, 8), (3, "request", "parameter", 2, 8), (4, "q", "variable", 3, 3), (5, "password", "variable", 5, 5)],
+    "ts": [(1, "q", "variable", 1, 1), (2, "A", "class", 2, 7), (3, "run", "function", 3, 6), (4, "v", "parameter", 3, 6), (5, "n", "variable", 5, 5), (6, "apiToken", "variable", 8, 8)],
+    "cs": [(1, "A", "class", 1, 10), (2, "M", "function", 2, 9), (3, "q", "variable", 3, 3), (4, "c", "variable", 4, 4), (5, "apiKey", "variable", 7, 7)],
+}
+_SCOPES = {"java": [("global", 1, 10), ("class", 1, 9), ("function", 2, 8)], "ts": [("global", 1, 9), ("class", 2, 7), ("function", 3, 6)], "cs": [("global", 1, 11), ("class", 1, 10), ("function", 2, 9)]}
+
 
+def _of_suffix(found: dict, columns: str) -> str:
+    rows = _values(*(([t[0] for t in _TEMPLATES.values()].index(e), e, *r) for e, v in found.items() for r in v))
+    return f"SELECT 's' || s_suppkey || '.' || ext AS path, {columns} FROM supplier JOIN (VALUES {rows}) AS v(k, ext, {columns}) ON s_suppkey % {len(_TEMPLATES)} = k"
 
-@query("SELECT 's' || s_suppkey || '.py' AS path, v.var, true AS tainted, CASE v.var WHEN 'x' THEN 'request.args.get(''q'')' ELSE 'propagated from x' END AS reason FROM supplier, (VALUES ('x'), ('y')) AS v(var) WHERE s_suppkey % 4 = 0")
+
+def _some_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ir_nodes(_sources(spark, sf_dir).where(F.col("language").isin("java", "typescript", "csharp")))
+
+
+@query(_of_suffix(_SYMBOLS, "seq, name, kind, start_line, end_line"))
+def symbols_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbol tables of parsed sources."""
+    return symbols.symbols(_some_nodes(spark, sf_dir)).select("path", "seq", "name", "kind", "start_line", "end_line")
+
+
+@query(_of_suffix(_SCOPES, "type, start_line, end_line"))
+def scopes_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbols.scopes(_some_nodes(spark, sf_dir)).select("path", "type", "start_line", "end_line")
+
+
+@query("SELECT 's' || s_suppkey || '.py' AS path, v.var, true AS tainted, CASE v.var WHEN 'x' THEN 'request.args.get(''q'')' WHEN 'y' THEN 'propagated from x' ELSE 'request.headers' END AS reason FROM supplier, (VALUES ('x'), ('y'), ('resp[''Access-Control-Allow-Origin'']')) AS v(var) WHERE s_suppkey % 8 = 0")
 def python_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _sources(spark, sf_dir).where("language = 'python'")
-    return tt.taint(ir_nodes(f)).select("path", "var", "tainted", "reason")
+    return tt.taint(ir_nodes(f)).where("tainted").select("path", "var", "tainted", "reason")
 
 
 _FLOW = "def f(a):\n    x = 1\n    if a:\n        x = 2\n    y = x\n    return y\n"
@@ -609,13 +813,27 @@ def control_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cfg_edges(ir_nodes(_flow_files(spark, sf_dir))).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'g' || s_suppkey || '.py' AS path, 'f' AS fn, false AS always, false AS pass FROM supplier UNION ALL SELECT 's' || s_suppkey || '.py', 'f', false, true FROM supplier WHERE s_suppkey % 4 = 0")
+@query("SELECT 'g' || s_suppkey || '.py' AS path, 'f' AS fn, false AS always, false AS pass FROM supplier UNION ALL SELECT 's' || s_suppkey || '.py', v.fn, false, v.fn = 'f' FROM supplier, (VALUES ('f'), ('m')) AS v(fn) WHERE s_suppkey % 8 = 0")
 def function_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _flow_files(spark, sf_dir).unionByName(_sources(spark, sf_dir).where("language = 'python'").select("path", "language", "content"))
     return tt.function_summaries(ir_nodes(f)).select("path", "fn", "always", "pass")
 
 
-@query()
+_BY_RULE = {r["id"]: r["severity"] for r in rules.shipped()}
+
+
+def _cfg_part(oracle: str) -> str:
+    """The rows of a configuration query as findings."""
+    return f"SELECT 'config' AS kind, rule_id, severity, path AS file, line AS start_line FROM ({oracle})"
+
+
+@query(
+    "WITH " + _EXPECTED + f", severities AS (SELECT * FROM (VALUES {_values(*sorted((i, v) for i, v in _BY_RULE.items() if any(i == e[0] for t in _TEMPLATES.values() for e in t[2])))}) AS v(rule_id, severity)), "
+    "found AS (SELECT 'sast' AS kind, rule_id, severity, file, start_line FROM expected JOIN severities USING (rule_id) UNION ALL "
+    + " UNION ALL ".join(_cfg_part(ORACLE[n]) for n in ("cfg_django_debug", "cfg_laravel_debug", "cfg_php_ini", "cfg_aspnet", "cfg_spring", "cfg_express", "cfg_laravel_files"))
+    + f" UNION ALL SELECT 'sca', 'ZS-SCA-001', severity, manifest, row_number() OVER () FROM ({ORACLE['deps_advisory_join']})), once AS (SELECT DISTINCT * FROM found) "
+    "SELECT kind, rule_id, severity, count(*) AS n, count(DISTINCT file) AS n_files FROM once GROUP BY 1, 2, 3"
+)
 def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All modalities over generated sources, configuration and manifests."""
     parts = [_sources(spark, sf_dir).select("path", "content")]

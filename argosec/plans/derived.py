@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from argosec.storage import spread
+
 # name -> (tables it reads, SQL); tables stand in braces
 SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "src_files": (
@@ -67,10 +69,10 @@ FROM {part}""",
     "advisories": (
         ("part",),
         """SELECT concat('ADV-', CAST(p_partkey AS STRING)) AS id, CASE p_partkey % 3 WHEN 0 THEN 'PyPI' WHEN 1 THEN 'npm' ELSE 'Go' END AS ecosystem,
-  CASE p_partkey % 3 WHEN 2 THEN concat('two.example/y', CAST(p_partkey % 50 AS STRING)) ELSE concat('lib', CAST(p_partkey % 50 AS STRING)) END AS package,
+  CASE WHEN p_partkey % 7 <> 0 THEN concat('elsewhere', CAST(p_partkey % 50 AS STRING)) WHEN p_partkey % 3 = 2 THEN concat('two.example/y', CAST(p_partkey % 50 AS STRING)) ELSE concat('lib', CAST(p_partkey % 50 AS STRING)) END AS package,
   concat(CAST(p_size % 4 AS STRING), '.0') AS introduced, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE concat(CAST(p_size % 4 + 2 AS STRING), '.0') END AS fixed,
   CASE p_partkey % 4 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'MODERATE' WHEN 2 THEN 'Low' ELSE NULL END AS severity
-FROM {part} WHERE p_partkey % 7 = 0""",
+FROM {part}""",
     ),
     "ir_tree": (
         ("region", "nation", "customer"),
@@ -116,8 +118,19 @@ FROM {customer}""",
     ),
     "labels_x": (
         ("lineitem",),
-        """SELECT DISTINCT concat('src/d', CAST(l_suppkey % 7 AS STRING), '/f', CAST(l_partkey % 40 AS STRING), '.py') AS file, CASE l_suppkey % 7 % 2 WHEN 0 THEN 'python' ELSE 'go' END AS language, 'sast' AS modality, concat('ZS-X-', CAST(l_linenumber AS STRING)) AS rule_id, CAST(l_linenumber % 3 * 40 AS INT) AS min_count
-FROM {lineitem} WHERE l_partkey % 40 < 20 AND l_linenumber < 5""",
+        """SELECT DISTINCT concat('src/d', CAST(l_suppkey % 7 AS STRING), '/f', CAST(l_partkey % 40 AS STRING), '.py') AS file, CASE l_suppkey % 7 % 2 WHEN 0 THEN 'python' ELSE 'go' END AS language,
+  CASE WHEN l_linenumber = 2 THEN 'sca' ELSE 'sast' END AS modality,
+  CASE WHEN l_linenumber = 2 THEN NULL WHEN l_partkey % 40 < 20 AND l_linenumber < 5 THEN concat('ZS-X-', CAST(l_linenumber AS STRING)) ELSE concat('ZS-Y-', CAST(l_linenumber AS STRING)) END AS rule_id,
+  CASE WHEN l_linenumber = 2 THEN concat('pkg', CAST(l_partkey % 40 % 4 AS STRING)) END AS package, CASE WHEN l_linenumber = 2 THEN 'npm' END AS ecosystem, CAST(l_linenumber % 3 * 40 AS INT) AS min_count
+FROM {lineitem}""",
+    ),
+    "filter_nodes": (
+        ("part",),
+        """SELECT concat('n', CAST(p_partkey % 90 AS STRING), '.py') AS path, CAST(p_partkey AS INT) AS ix,
+  CASE p_partkey % 5 WHEN 0 THEN 'assignment' WHEN 1 THEN 'identifier' WHEN 2 THEN 'literal' WHEN 3 THEN 'try' ELSE 'call' END AS kind,
+  CASE p_size % 3 WHEN 0 THEN 'Bad' WHEN 1 THEN CAST(p_size AS STRING) ELSE 'md5' END AS text, CASE p_size % 4 WHEN 0 THEN 'password' WHEN 1 THEN 'my_pass' ELSE 'other' END AS lhs,
+  CASE p_size % 6 WHEN 0 THEN '"x1"' WHEN 1 THEN 'x1' ELSE '"y"' END AS rhs, concat('v', CAST(p_size % 5 AS STRING)) AS arg, p_size % 7 = 0 AS bare, p_size % 8 = 0 AS bare_body, CAST(p_size % 3 AS INT) AS argument_count
+FROM {part}""",
     ),
     "file_versions": (
         ("orders",),
@@ -134,9 +147,14 @@ def _fill(name: str, where) -> str:
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.sql(_fill(name, lambda t: f"parquet.`{sf_dir}/{t}.parquet`"))
+    return spread(spark.sql(_fill(name, lambda t: f"parquet.`{sf_dir}/{t}.parquet`")))
 
 
 def cte(*names: str) -> str:
     """The same tables as WITH clauses for DuckDB."""
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({_fill(n, str)})" for n in names)
+
+
+# a line with a secret of one of five kinds, or none, by a whole-number key; Spark and DuckDB read it alike
+PLANTED = """CASE {k} % 7 WHEN 0 THEN concat('id AKIA', upper(substr(md5(CAST({k} AS STRING)), 1, 16)), ' end') WHEN 1 THEN concat('t=ghp_', md5(CAST({k} AS STRING)), substr(md5(CAST({k} AS STRING)), 1, 4))
+  WHEN 2 THEN concat('api_key: ', md5(CAST({k} AS STRING))) WHEN 3 THEN concat('password = "', substr(md5(CAST({k} AS STRING)), 1, 12), '"') WHEN 4 THEN '-----BEGIN EC PRIVATE KEY-----' WHEN 5 THEN 'password = "aaaaaaaaaaaa"' ELSE 'nothing here' END"""

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,7 @@ from argosec.operators.matching import match
 from argosec.operators.secrets import secrets
 from argosec.operators.symbols import symbols
 from argosec.operators.taint import taint
+from argosec.parsers.facts import ir_facts
 from argosec.parsers.front import ir_nodes
 from argosec.sources.lockfiles import dependencies
 from argosec.sources.rules import load_rules, local_hash
@@ -35,10 +39,16 @@ class Options:
 
 
 def sast(files: DataFrame, rules: DataFrame, graphs: bool = False, nodes: DataFrame | None = None) -> DataFrame:
-    """Syntax findings. Files are parsed once: syntax rows and taint are written to the shared folder for the branches that read them."""
-    n = stash(ir_nodes(files), "nodes") if nodes is None else nodes
-    t = stash(taint(n, graphs), "taint")
-    return fd.sast_findings(match(n, rules, t), files, symbols(n), t)
+    """Syntax findings.
+
+    Files are parsed in one stage that also works out taint, symbols and snippets of each file, and matched in the same one by a broadcast join; nothing
+    is shuffled. Stored syntax rows (nodes) are joined with their facts instead.
+    """
+    if nodes is None:
+        kinds = tuple(r["kind"] for r in rules.select("kind").distinct().collect())  # of KINDS
+        return fd.sast_findings(match(ir_facts(files, kinds, graphs), rules))
+    t = stash(taint(nodes, graphs), "taint")
+    return fd.sast_findings(match(nodes, rules, t), files, symbols(nodes), t)
 
 
 ENGINE, IR_SCHEMA = "1", "1"
@@ -53,7 +63,7 @@ def meta(options: Options) -> dict:
 def incremental_sast(files: DataFrame, rules: DataFrame, options: Options, state: State) -> DataFrame:
     """Syntax findings where only files whose content changed are matched, and only new content is parsed.
 
-    Any failure of the state leads to a full scan.
+    Any failure of the state, when it is planned or read, leads to a full scan.
     """
     m = meta(options)
     try:
@@ -69,26 +79,50 @@ def incremental_sast(files: DataFrame, rules: DataFrame, options: Options, state
         found = stash(refresh(files, old, compute), "findings")
         # files without findings are kept too, as rows without a rule, so that they count as seen
         seen = known.join(found.select("path").distinct(), "path", "left_anti")
-        state.replace("nodes", nodes, m)
-        state.replace("findings", found.unionByName(seen, allowMissingColumns=True), m)
+        state.replace({"nodes": nodes, "findings": found.unionByName(seen, allowMissingColumns=True)}, m)
         return found.where("rule_id is not null").drop("path", "content_sha256")
-    except (OSError, AnalysisException):
+    except (OSError, PySparkException, Py4JError) as e:
+        warnings.warn(f"the state cannot be used, every file is scanned: {str(e)[:200]}", stacklevel=2)
         return sast(files, rules, options.graphs)
 
 
+@dataclass
+class Inputs:
+    files: DataFrame
+    advisories: DataFrame | None = None
+    vulnerable_deps: DataFrame | None = None
+
+
+def _secrets(i: Inputs) -> DataFrame:
+    return fd.secret_findings(secrets(i.files))
+
+
+def _config(i: Inputs) -> DataFrame:
+    return fd.config_findings(config_findings(i.files.where("not is_binary")))
+
+
+def _dependencies(i: Inputs) -> DataFrame | None:
+    if i.vulnerable_deps is not None:
+        return fd.dependency_findings(i.vulnerable_deps)
+    return None if i.advisories is None else fd.dependency_findings(vulnerable(dependencies(i.files), i.advisories))
+
+
+# what runs beside the syntax rules: (whether the options want it, Inputs -> findings or None)
+SCANNERS: list[tuple[Callable[[Options], bool], Callable[[Inputs], DataFrame | None]]] = [(lambda o: o.secrets, _secrets), (lambda o: o.config, _config), (lambda o: o.sca, _dependencies)]
+
+
+def register(wanted: Callable[[Options], bool], scanner: Callable[[Inputs], DataFrame | None]) -> None:
+    """Add a scanner of one's own; its rows are made of the columns of findings.FINDING, missing ones are null."""
+    SCANNERS.append((wanted, scanner))
+
+
 def scan(spark: SparkSession, files: DataFrame, options: Options | None = None, advisories: DataFrame | None = None, nodes: DataFrame | None = None, state: State | None = None, vulnerable_deps: DataFrame | None = None) -> DataFrame:
     o = options or Options()
     code = (files.where(F.col("language").isin(*o.languages)) if o.languages else files).where("not is_binary")
     rules = load_rules(spark, o.rules)
     parts = [incremental_sast(code, rules, o, state) if state is not None else sast(code, rules, o.graphs, nodes)]
-    if o.secrets:
-        parts.append(fd.secret_findings(secrets(files)))
-    if o.config:
-        parts.append(fd.config_findings(config_findings(files.where("not is_binary"))))
-    if o.sca and vulnerable_deps is None and advisories is not None:
-        vulnerable_deps = vulnerable(dependencies(files), advisories)
-    if o.sca and vulnerable_deps is not None:
-        parts.append(fd.dependency_findings(vulnerable_deps))
+    given = Inputs(files, advisories, vulnerable_deps)
+    parts += [found for wanted, scanner in SCANNERS if wanted(o) and (found := scanner(given)) is not None]
     out = fd.dedup(fd.union(*parts), o.compat_dedup)
     if o.allow:
         out, _ = fd.suppressed(out, fd.allowlist(spark, o.allow))

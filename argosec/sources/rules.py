@@ -11,38 +11,63 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from argosec.sources.rule_texts import complete
+
 KINDS = ("module", "function_def", "class_def", "call", "assignment", "import", "literal", "identifier", "block", "return", "if", "for", "while", "try", "attribute", "binary_op", "assert_statement")
 LANGUAGES = ("python", "javascript", "typescript", "go", "java", "csharp", "php", "html")
 _KWARG = "struct<name:string,name_pattern:string,value_pattern:string>"
 _FILTER = f"argument_count:int,has_attribute:string,tainted_argument:boolean,tainted_rhs:boolean,kwarg:{_KWARG},argument_identifier_matches:string,argument_literal_matches:string,has_bare_except:boolean,has_empty_except_handler:boolean"
+NESTING = 2  # negations within negations
+
+
+def filter_type(nesting: int = NESTING) -> str:
+    """A filter; its negated pattern is a pattern again, without a callee, down to the given nesting."""
+    inner = f",not:struct<kind:string,identifier:string,literal:string,lhs_identifier:string,rhs_literal:string,filters:array<{filter_type(nesting - 1)}>>" if nesting else ""
+    return f"struct<{_FILTER}{inner}>"
+
+
 RULE_SCHEMA = (
     "id string, name string, version string, language string, category string, severity string, confidence string, lifecycle string, message string, "
     "description string, rationale string, fix_suggestion string, tags array<string>, cwe array<string>, owasp array<string>, references array<string>, "
     "kind string, callee string, suffix boolean, identifier string, literal string, lhs_identifier string, rhs_literal string, "
-    f"filters array<struct<{_FILTER},not:struct<kind:string,kwarg:{_KWARG}>>>"
+    f"filters array<{filter_type()}>"
 )
+_FIELDS = {x.split(":")[0] for x in _FILTER.replace(_KWARG, "kwarg").split(",")} | {"not"}
+_INNER = {"kind", "callee", "callee_suffix", "identifier", "literal", "lhs_identifier", "rhs_literal", "filters"}
+
+
+CATALOGUE = os.path.join(os.path.dirname(os.path.abspath(__file__)), "rules.jsonl")
 
 
 class RuleError(ValueError):
     """A rule set that does not load as a whole."""
 
 
+def _filters(rule_id, filters, nesting: int = NESTING) -> list[dict] | None:
+    """Filters as rows. Nothing that is written is passed over: what a row cannot hold is an error."""
+    out = []
+    for f in filters or []:
+        f = {k: v for k, v in f.items() if v is not None}
+        if set(f) - _FIELDS:
+            raise RuleError(f"{rule_id}: unknown filter {', '.join(sorted(set(f) - _FIELDS))}")
+        if "not" in f:
+            inner = f["not"]
+            if not nesting:
+                raise RuleError(f"{rule_id}: negations nested too deep")
+            if not isinstance(inner, dict) or not inner.get("kind") or set(inner) - _INNER:
+                raise RuleError(f"{rule_id}: a negated pattern needs a kind and takes {', '.join(sorted(_INNER - {'kind'}))}")
+            # as in a pattern below the index, a callee says nothing here: the node is the same one
+            f["not"] = {k: v for k, v in inner.items() if k not in ("callee", "callee_suffix", "filters")} | {"filters": _filters(rule_id, inner.get("filters"), nesting - 1)}
+        out.append(f)
+    return out or None
+
+
 def _flat(rule: dict) -> dict:
     """A rule as a row; a user's YAML holds what is matched in a mapping `match`."""
     r = dict(rule)
     r |= r.pop("match", None) or {}
     r["suffix"] = bool(r.pop("callee_suffix", r.get("suffix", False)))
-    filters = []
-    for f in r.get("filters") or []:
-        f = dict(f)
-        if f.get("not"):
-            inner = f["not"]
-            below = inner.get("filters") or []
-            if any("not" in x or set(x) - {"kwarg"} for x in below) or len(below) > 1:
-                raise RuleError(f"{r.get('id')}: a negated pattern takes one kwarg filter")
-            f["not"] = {"kind": inner.get("kind"), "kwarg": below[0]["kwarg"] if below else None}
-        filters.append(f)
-    r["filters"] = filters or None
+    r["filters"] = _filters(r.get("id"), r.get("filters"))
     r.setdefault("message", r.get("name"))
     r.setdefault("lifecycle", "released")
     return r
@@ -64,8 +89,8 @@ def validate(rule: dict) -> list[str]:
 
 
 def shipped() -> list[dict]:
-    with open(os.path.join(os.path.dirname(__file__), "rules.jsonl"), encoding="utf-8") as f:
-        return [_flat(json.loads(line)) for line in f]
+    with open(CATALOGUE, encoding="utf-8") as f:
+        return [_flat(complete(json.loads(line))) for line in f]
 
 
 def read_yaml(folder: str) -> list[dict]:

@@ -2,6 +2,7 @@
 
 import json
 import os
+from datetime import datetime
 
 import pytest
 from hypothesis import given, settings
@@ -52,6 +53,50 @@ def test_walk(spark, tmp_path):
     assert got == {"a.py": ("python", False), "sub/c.JS": ("javascript", False), "big.py": ("python", False), "bin.dat": ("unknown", True), "tool": ("javascript", False)}
 
 
+def test_walk_survives_any_bytes_and_scopes_ignore_files(spark, tmp_path):
+    tree = {"a/keep.py": b"x = '\xe9'\n", "a/wide.py": "x = 1".encode("utf-16"), "a/__init__.py": b"", "a/.env": b"DEBUG=true\n", "a/sub/t.py": b"x", "a/sub/t.go": b"x", "a/sub/deep/u.py": b"x", "b/sub2/t.py": b"x", "node_modules/x/.gitignore": b"*.go\n", "node_modules/x/y.go": b"x", "c/t.go": b"x", "_under/z.py": b"x", "a/[b].py": b"x"}
+    tree |= {"a/sub/.gitignore": b"*.py\n!keep\n# c\n[z-a]\n", ".zsignore": b"gone/\nb/sub2/*.js\n", "gone/w.py": b"x", "b/gone/w.py": b"x", "b/sub2/v.js": b"x"}
+    for name, body in tree.items():
+        p = tmp_path / name
+        p.parent.mkdir(exist_ok=True, parents=True)
+        p.write_bytes(body)
+    (tmp_path / "loop").symlink_to(tmp_path)
+    got = {r.rel_path: r for r in walk.walk(spark, str(tmp_path)).collect()}
+    assert set(got) == set(tree) - {"a/sub/t.py", "a/sub/deep/u.py", "node_modules/x/.gitignore", "node_modules/x/y.go", "gone/w.py", "b/sub2/v.js"}
+    assert got["a/keep.py"].content == "x = '\ufffd'\n" and got["a/keep.py"].language == "python" and got["a/wide.py"].is_binary and got["a/__init__.py"].size == 0
+    assert {r.rule_id for r in scan(spark, walk.walk(spark, str(tmp_path)), Options(config=True)).collect()} == {"ZS-CFG-001"}
+
+
+def test_large_trees_are_listed_in_rounds(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(walk, "LIST_STEP", 3)
+    for i in range(6):
+        for j in range(3):
+            (tmp_path / f"d{i}" / f"e{j}").mkdir(parents=True)
+            (tmp_path / f"d{i}" / f"e{j}" / "f.py").write_text("x")
+    found = walk.listing(spark, str(tmp_path)).where("kind = 'file'").collect()
+    assert len(found) == 18 and len({r.rel_path for r in found}) == 18
+
+
+def test_state_falls_back_when_its_files_are_gone(spark, tmp_path):
+    state = incremental.State(spark, str(tmp_path / "s"))
+    f = files(spark, **{"a.py": "eval(x)\n"})
+    want = [(r.file, r.rule_id) for r in scan(spark, f, Options(), state=state).collect()]
+    names = state.read()
+    for p in (tmp_path / "s" / names["findings"]).glob("*.parquet"):
+        p.unlink()
+    with pytest.warns(UserWarning, match="every file is scanned"):
+        assert [(r.file, r.rule_id) for r in scan(spark, f, Options(), state=state).collect()] == want
+    for k in range(3):
+        state.replace({"findings": f}, scan_plan.meta(Options()))
+    assert len(list((tmp_path / "s").glob("findings-*"))) == 2
+
+
+def test_own_scanner(spark, monkeypatch):
+    monkeypatch.setattr(scan_plan, "SCANNERS", list(scan_plan.SCANNERS))
+    scan_plan.register(lambda o: True, lambda i: i.files.where("path = 'a.py'").select(F.lit("U-1").alias("rule_id"), F.col("path").alias("file"), F.lit("own").alias("kind"), F.lit(1).alias("start_line"), F.lit(0).alias("start_col")))
+    assert {r.rule_id for r in scan(spark, files(spark, **{"a.py": "x = 1\n", "b.py": "x = 2\n"}), Options()).collect()} == {"U-1"}
+
+
 def test_secrets(spark):
     f = files(spark, a="id AKIA" + "A1" * 8 + "\npassword = 'aaaaaaaaaaaa'\npassword = 'p4x-Zq91!k'\n-----BEGIN PRIVATE KEY-----\nAKIA" + "A1" * 8 + " AKIA" + "B2" * 8)
     rows = secrets.secrets(f).collect()
@@ -95,7 +140,15 @@ def test_reports(spark):
     assert len(run["results"]) == found.count()
     assert all(run["tool"]["driver"]["rules"][r["ruleIndex"]]["id"] == r["ruleId"] for r in run["results"])
     assert all(r["locations"][0]["physicalLocation"]["region"]["startLine"] >= 1 for r in run["results"])
-    assert "ZS-PY-001" in reports.html_report(found)
+    page = reports.html_report(found, "rule", datetime(2024, 5, 6, 7, 8, 9))
+    assert "ZS-PY-001" in page and "Generated 2024-05-06 07:08:09 UTC" in page and page.count("<tr>") == found.count()
+    rule = next(r for r in run["tool"]["driver"]["rules"] if r["id"] == "ZS-PY-001")
+    assert rule["fullDescription"]["text"] and "Remediation: " in rule["help"]["text"] and rule["helpUri"] == "https://cwe.mitre.org/data/definitions/95.html" and rule["properties"]["tags"] == ["external/cwe/cwe-95", "external/owasp/a03-2021"]
+    for by in ("file", "rule", "severity", "language"):
+        doc = json.loads(reports.json_report(found, by))
+        field = {"file": "file", "rule": "rule_id"}.get(by, by)
+        assert sum(len(g["findings"]) for g in doc["groups"]) == found.count() and all(f[field] == g["key"] for g in doc["groups"] for f in g["findings"])
+    assert json.loads(reports.json_report(found.limit(0), "rule"))["groups"] == [] and json.loads(reports.json_report(found.limit(0)))["findings"] == []
     chains = [r.metadata for r in found.collect() if r.metadata]
     assert len(chains) == 2 and chains[0]["chain_size"] == "2"
     found.unpersist()
@@ -147,7 +200,7 @@ def test_incremental_is_full(spark, tmp_path):
         seen.append(sorted(r.path for r in f.collect()))
         return secrets.secrets(f)
 
-    state.replace("findings", incremental.refresh(one, state.table("findings", META), compute), META)
+    state.replace({"findings": incremental.refresh(one, state.table("findings", META), compute)}, META)
     got = incremental.refresh(two, state.table("findings", META), compute)
     assert {(r.path, r.rule_id) for r in got.collect()} == {(r.path, r.rule_id) for r in secrets.secrets(two).collect()}
     assert seen[0] == ["a", "b"] and "a" not in seen[1]

@@ -95,6 +95,18 @@ def test_rules_match_and_clean_sources_do_not(spark):
     assert ("ZS-HTML-001", 1) in found["e.html"] and ("ZS-JS-001", 1) in found["e.html"]
 
 
+@pytest.mark.parametrize("graphs", [False, True])
+def test_facts_of_one_stage_are_those_of_the_joins(spark, graphs):
+    from argosec.parsers.front import ir_nodes
+    from argosec.plans import catalogue
+
+    data = [(f"t{i}.{t[0]}", t[1]) for i, t in enumerate(catalogue._TEMPLATES.values())] + [("g.py", "def g(p):\n  def h():\n    return request.args\n  return p\nw = h()\nz = g(w)\nos.popen(z)\nz += 1\n"), ("e.html", "<p>\n<script>\nfunction f(){ return location.hash }\nvar s = f();\neval(s)</script>")]
+    f = files_of_rows(spark.createDataFrame(data, "path string, content string"))
+    r = rules.load_rules(spark)
+    one, joined = (sorted(map(str, sast(f, r, graphs, n).collect())) for n in (None, ir_nodes(f)))
+    assert len(one) > 30 and one == joined
+
+
 def test_fingerprint_survives_moved_lines(spark):
     text = "def f(a):\n    eval(a)\n"
     f = files_of_rows(spark.createDataFrame([("a.py", text), ("b.py", "\n\n# more\n" + text)], "path string, content string"))
@@ -144,6 +156,25 @@ def test_validation():
     assert rules.validate({"id": "a", "name": "b", "language": "cobol", "kind": "defer"}) == ["unknown kind defer", "unknown language cobol"]
 
 
+def test_negated_patterns(spark, tmp_path):
+    head = "name: n\nlanguage: python\nseverity: low\nconfidence: low\ncategory: c\nmatch:\n  kind: {k}\n  callee: run\n  filters:\n"
+    (tmp_path / "a.yaml").write_text("id: U-1\n" + head.format(k="call") + "    - not: {kind: call, filters: [{argument_count: 2}]}\n")
+    (tmp_path / "b.yaml").write_text("id: U-2\n" + head.format(k="call") + "    - not: {kind: call, filters: [{not: {kind: call, filters: [{argument_literal_matches: '^x'}]}}]}\n")
+    (tmp_path / "c.yaml").write_text("id: U-3\nname: n\nlanguage: python\nmatch:\n  kind: assignment\n  filters:\n    - not: {kind: assignment, lhs_identifier: '^_'}\n")
+    f = files_of_rows(spark.createDataFrame([("a.py", "run('x')\nrun('y', 1)\nrun('x', 2)\n_a = 1\nb = 2\n")], "path string, content string"))
+    assert sorted((r.rule_id, r.start_line) for r in sast(f, rules.load_rules(spark, str(tmp_path))).collect()) == [("U-1", 1), ("U-2", 1), ("U-2", 3), ("U-3", 5)]
+    for bad in ("{kind: call, filters: [{nonsense: 1}]}", "{callee: run}", "{kind: call, other: 1}", "{kind: call, filters: [{not: {kind: call, filters: [{not: {kind: call}}]}}]}"):
+        (tmp_path / "a.yaml").write_text("id: U-1\n" + head.format(k="call") + f"    - not: {bad}\n")
+        with pytest.raises(rules.RuleError):
+            rules.load_rules(spark, str(tmp_path))
+
+
+def test_texts_of_the_catalogue(spark):
+    every = rules.shipped()
+    assert all(r["message"] and r["rationale"] and r["fix_suggestion"] and r["owasp"] and r["tags"] and (r["references"] if r.get("cwe") else True) for r in every)
+    assert rules.by_tag(rules.load_rules(spark), "ssrf").count() == 19
+
+
 def test_user_rules(spark, tmp_path):
     (tmp_path / "r.yaml").write_text("id: U-1\nname: mine\nlanguage: python\nseverity: low\nconfidence: low\ncategory: c\nmatch:\n  kind: call\n  callee: conn.run\n  callee_suffix: true\n  filters:\n    - argument_literal_matches: '^drop'\n")
     f = files_of_rows(spark.createDataFrame([("a.py", "db.conn.run('drop t')\nXconn.run('drop t')\nconn.run('keep')\n")], "path string, content string"))

@@ -6,7 +6,10 @@ import os
 import duckdb
 import pytest
 
+from argosec.operators.dependencies import ADVISORY
 from argosec.plans import catalogue
+from argosec.plans.scan import Options, scan
+from argosec.sources.inputs import files_of_rows
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -37,15 +40,18 @@ def test_same_as_sql(spark, duck, name):
     assert canon([tuple(r) for r in df.collect()], df.columns) == canon(cur.fetchall(), columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE) - {"full_scan"}))
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE)))
 def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, DATA).count() > 0
 
 
 def test_full_scan_has_every_modality(spark):
-    rows = catalogue.QUERIES["full_scan"](spark, DATA).collect()
-    assert {r.kind for r in rows} == {"sast", "secret", "config", "sca"} - ({"secret"} if not any(r.kind == "secret" for r in rows) else set())
-    assert not [r for r in rows if r.rule_id == "ZS-CFG-003"]
+    text = [("a.py", "eval(x)\npassword = 'p4x-Zq91!k'\n"), (".env", "DEBUG=true\nCORS_ORIGIN=*\n"), ("requirements.txt", "lib==1.0\n")]
+    files = files_of_rows(spark.createDataFrame(text, "path string, content string"))
+    advisories = spark.createDataFrame([("A-1", "PyPI", "lib", "0", "2.0", "HIGH", None, None)], ADVISORY)
+    rows = scan(spark, files, Options(secrets=True, sca=True, config=True, allow=[{"id": "ZS-CFG-003"}]), advisories).collect()
+    assert {r.kind for r in rows} == {"sast", "secret", "config", "sca"}
+    assert not [r for r in rows if r.rule_id == "ZS-CFG-003"] and [r for r in rows if r.rule_id == "ZS-SEC-004"]
 
 
 def test_entry(spark):

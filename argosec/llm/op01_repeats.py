@@ -22,8 +22,9 @@ drop_words is the length of the longest repeat from there on that already occurs
 
 Words are compared by 32-bit hashes inside a shard and by 64-bit hashes in step 1.
 
-Defined results: null or empty texts, and texts of fewer words than min_words, have no repeat;
-rows with a null doc_id are left out; repeated rows (doc_id and text) count once; passages repeated
+Defined results: null or empty texts, and texts of fewer words than min_words, have no repeat; texts of any length are taken whole;
+rows with a null doc_id (or one that is no integer) are left out, and stay as they are where passages are removed; repeated rows (doc_id and text) count once;
+rows that share a doc_id but not the text are told apart by a hash of the text; passages repeated
 within a document count as well; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -344,7 +345,7 @@ def _shard(min_words: int):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    x = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     return x.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text")
 
 
@@ -361,11 +362,14 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS, shard_words: int =
     part = F.pmod(F.xxhash64("label"), F.lit(shards)).cast("int")
     by = marks.groupBy("rid").agg(F.collect_set(F.struct("pos", "h", part.alias("part"))).alias("marks"))
     # of equal texts the first two stand for all: more of them change no passage, only its count
-    same = x.groupBy(F.md5("text").alias("t")).agg(F.array_sort(F.collect_set(F.struct("doc_id", "rid"))).alias("all")).where("size(all) > 2")
-    same = stash(same.select(F.col("all")[1]["rid"].alias("second"), (F.size("all") - 1).alias("weight"), F.explode(F.slice("all", 3, F.size("all") - 2)).alias("c")), "copies")
-    rest = same.select("second", F.col("c.doc_id").alias("copy_id"), F.col("c.rid").alias("copy_rid"))
+    texts = x.select("rid", "doc_id", F.md5("text").alias("t")).join(by.select("rid"), "rid").distinct()
+    order = F.struct("doc_id", "rid")
+    first = texts.groupBy("t").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 2")
+    later = stash(texts.join(first, "t").where(order != F.col("first")).select("t", "doc_id", "rid", "n"), "copies")
+    second = later.groupBy("t").agg(F.min(order)["rid"].alias("second"), (F.first("n") - 1).cast("int").alias("weight"))
+    rest = stash(later.join(second, "t").where("rid <> second").select("second", F.col("doc_id").alias("copy_id"), F.col("rid").alias("copy_rid")), "copies")
     by = by.join(rest, F.col("rid") == F.col("copy_rid"), "left_anti")
-    by = by.join(same.select(F.col("second").alias("rid"), "weight").distinct(), "rid", "left")
+    by = by.join(second.select(F.col("second").alias("rid"), "weight"), "rid", "left")
     full = x.join(by, "rid").select("rid", "doc_id", "text", "marks", F.coalesce("weight", F.lit(1)).alias("weight"))
     segments = full.mapInArrow(_segments(min_words), _SEGMENT)
     found = stash(segments.groupBy("part").applyInArrow(_shard(min_words), ROW), "repeats")
@@ -409,7 +413,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     drop = occurrences(docs, min_words).where("drop_words > 0").groupBy(F.col("rid").alias("__rid")).agg(F.collect_set(F.struct(F.col("start_word").alias("s"), F.col("drop_words").alias("n"))).alias("__cut"))
     names = [c for c in docs.columns if c != "text"]
-    rid = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rid = F.when(F.col("doc_id").try_cast("long").isNotNull(), F.xxhash64(F.col("doc_id").try_cast("long"), F.col("text").cast("string")))
     x = docs.withColumn("__rid", rid).join(drop, "__rid", "left").select(*(F.col(f"`{c}`") for c in names), F.col("text").cast("string").alias("__text"), F.col("__cut"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     x = x.withColumn("__was", F.col("__cut").isNotNull())

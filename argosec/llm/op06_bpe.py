@@ -6,9 +6,11 @@ linked list of bytes, and an index maps each mergeable pair to all its positions
 occur are applied in ascending order from a heap: all positions of the rank merge at once, and
 only the lists of the pairs next to them are updated. A piece's ids then go to each of its places.
 
-Defined results: a null text gives null ids, an empty text an empty array; invalid UTF-8 cannot
+Defined results: a null text gives null ids, an empty text an empty array; texts of any length are encoded whole; invalid UTF-8 cannot
 occur in a string column; special tokens' strings are ordinary text; repeated rows are encoded
-each; extra columns stay, and a column named as an output is replaced by the output.
+each; of equal pairs the leftmost merges first; extra columns stay, and a column named as an output is replaced by the output; an empty table
+gives an empty result. Decoding: null ids give a null text, no ids an empty one; an id that is null, negative or not in the vocabulary
+gives the replacement character U+FFFD, as do bytes that are no UTF-8.
 """
 
 from __future__ import annotations
@@ -24,13 +26,13 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from argosec.llm.shared import keep
 from argosec.llm.textvec import flat
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 BATCH_BYTES = 1 << 22
 KEPT_PIECES = 300_000
-_BPE: dict = {}
 
 
 class Bpe:
@@ -58,7 +60,8 @@ class Bpe:
         self.pair_key, self.pair_rank = np.array(keys, np.int64)[order], np.array(ranks, np.int64)[order]
         lens = np.array([len(b) for b in self.bytes], np.int64)
         self.start, self.len = np.cumsum(lens) - lens, lens
-        self.pool = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.pool = np.frombuffer(b"".join([*self.bytes, "\ufffd".encode()]), np.uint8)
+        self.start, self.len = np.append(self.start, len(self.pool) - 3), np.append(lens, 3)  # number `size`: no token
         self.forget()
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -161,6 +164,10 @@ class Bpe:
         total = np.concatenate(([0], np.cumsum(count, dtype=np.int64)))[np.cumsum(size)]
         return out, np.diff(total, prepend=0)
 
+    def known(self, ids: np.ndarray) -> np.ndarray:
+        """ids with the number of U+FFFD for those that are not in the vocabulary."""
+        return np.where((ids >= 0) & (ids < self.size), np.where(self.len[np.clip(ids, 0, self.size - 1)] > 0, ids, self.size), self.size)
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of a run of ids."""
         return gather(self.pool, self.start[ids], self.len[ids])
@@ -177,9 +184,7 @@ def gather(pool: np.ndarray, first: np.ndarray, count: np.ndarray, step: int = 1
 
 
 def bpe(path: str) -> Bpe:
-    if path not in _BPE:
-        _BPE[path] = Bpe(path)
-    return _BPE[path]
+    return keep("bpe", "bpe", path, lambda: Bpe(path))
 
 
 def _pieces_of(batch, limit: int = BATCH_BYTES):
@@ -220,15 +225,20 @@ def _encode(path: str, names: list[str], verify: bool):
 def _decode(path: str, names: list[str]):
     def run(batches):
         model = bpe(path)
-        for b in batches:
-            t = b.column(b.num_columns - 1)
-            ids = t.flatten().to_numpy(zero_copy_only=False)
-            n = pa.compute.fill_null(pa.compute.list_value_length(t), 0).to_numpy(zero_copy_only=False)
-            size = np.concatenate(([0], np.cumsum(model.len[ids])))[np.concatenate(([0], np.cumsum(n)))]
-            raw = model.decode(ids).tobytes()
-            null = np.asarray(t.is_null())
-            text = [None if z else raw[a:b].decode("utf-8", "replace") for a, b, z in zip(size[:-1].tolist(), size[1:].tolist(), null.tolist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(text, pa.string())], [*names, "decoded"])
+        for batch in batches:
+            many = pa.compute.fill_null(pa.compute.list_value_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+            ends, a = np.cumsum(many.astype(np.int64)), 0
+            while a < batch.num_rows:  # a slice of some ids at a time, or one longer row
+                z = min(batch.num_rows, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (BATCH_BYTES >> 2))) + 1)
+                b = batch.slice(a, z - a)
+                t = b.column(b.num_columns - 1)
+                ids = model.known(pa.compute.fill_null(t.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64))
+                size = np.concatenate(([0], np.cumsum(model.len[ids])))[np.concatenate(([0], np.cumsum(many[a:z])))]
+                raw = model.decode(ids).tobytes()
+                null = np.asarray(t.is_null())
+                text = [None if n else raw[i:j].decode("utf-8", "replace") for i, j, n in zip(size[:-1].tolist(), size[1:].tolist(), null.tolist())]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(text, pa.string())], [*names, "decoded"])
+                a = z
 
     return run
 

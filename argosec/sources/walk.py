@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from argosec.functions.text import base_name, glob_regex
-from argosec.storage import spread, stash, worker_fs
+from argosec.storage import stash, worker_fs
 
 PRUNED = tuple(
     ".argosec .git .mypy_cache .pytest_cache .ruff_cache .tox .venv __pycache__ assets bin build coverage dist htmlcov media migrations node_modules obj public static vendor venv".split()
@@ -164,7 +164,7 @@ def walk(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), max_byte
     f = found.where("kind = 'file'").where(F.col("size") <= max_bytes).where(keep_extension(F.col("rel_path"))).select("rel_path", "size")
     shipped = spark.createDataFrame(ignore_patterns([("", p) for p in IGNORED]), "owner string, regex string")
     f = not_ignored(f, shipped.unionByName(found.where("kind = 'pattern'").select(F.col("rel_path").alias("owner"), "regex")))
-    f = spread(f).mapInArrow(_contents(root), "rel_path string, size long, content binary").where("content is not null")
+    f = f.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(_contents(root), "rel_path string, size long, content binary").where("content is not null")
     path = F.concat(F.lit(root.rstrip("/") + "/"), "rel_path")
     text = F.make_valid_utf8(F.col("content").cast("string"))
     return f.select(path.alias("path"), "rel_path", "size", is_binary(F.col("content")).alias("is_binary"), language(path, text).alias("language"), text.alias("content"), F.sha2("content", 256).alias("content_sha256"))

@@ -42,7 +42,12 @@ def worker_fs(path: str):
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many tasks as there are cores; an input of fewer splits (small files of one row group) would keep most of them idle."""
+    """df over at least as many tasks as there are cores; an input of fewer splits (small files of one row group) would keep most of them idle.
+
+    A plan with exchanges is left alone: to ask it for its partitions would run it, and its last exchange decides.
+    """
+    if str(df._jdf.queryExecution().executedPlan().toString()).startswith("AdaptiveSparkPlan"):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 

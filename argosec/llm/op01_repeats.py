@@ -40,7 +40,7 @@ from argosec.llm.shared import stash
 from argosec.llm.textvec import chunks, flat, grams, mix64, powers, sliding, tokenize
 
 MIN_WORDS = 50
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 500_000
 _MUL = 0xC2B2AE3D27D4EB4F | 1
 ROW = "repeat_id long, parent_id long, n_words int, n_occurrences int, doc_id long, start_word int, drop_words int, rid long"
 

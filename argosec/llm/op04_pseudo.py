@@ -9,7 +9,7 @@ beginnings (of up to PREFIX bytes) of all other tokens: the network predicts the
 and byte trigrams, counted over those tokens, give the probability of its other bytes and of its end; a token without a known beginning
 is class 0 and spelt whole. So every token has a probability of its own. Network:
 h = tanh(sum over the four places of an embedding of the word there), then a softmax over
-classes of words and a softmax over the words of the class.
+classes of words, one over the groups of the class and one over the words of the group (by rank; WIDTH times as many words as groups or classes).
 
 Training covers all documents: LANES nets at most train side by side by AdaGrad, each on its share of the documents, and in each of
 `rounds` passes over the corpus they are averaged, weighted by tokens, several times, more often the larger the corpus. Weights and the
@@ -18,7 +18,8 @@ dealt and ordered by hash, so scores don't depend on how the input is split. The
 
 Defined results: (doc_id, n_tokens, log_prob, mean_log_prob) for every row with natural
 logarithms; null, empty or token-less texts have n_tokens 0, log_prob 0 and a null mean; places beyond
-the ends of a text hold a border sign; repeated rows are scored each; extra columns are ignored; an empty table
+the ends of a text hold a border sign; texts of any length are scored whole; repeated rows are trained on and scored each; tokens of equal count
+are ranked by their hash; a doc_id, which is carried along only, is an integer (what cannot be read as one counts as null); extra columns are ignored; an empty table
 gives an empty result.
 """
 
@@ -29,98 +30,105 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from argosec.llm.shared import new_path, stash, worker_table
+from argosec.llm.shared import keep, new_path, stash, worker_table
 from argosec.llm.textvec import HashIndex, chunks, flat, mix64, tokenize
 
-VOCAB, CLASSES, DIM, SIDE = 1024, 32, 16, 2
+CLASSES, WIDTH, DIM, SIDE = 7, 4, 16, 2
+VOCAB = WIDTH * CLASSES**3
 PREFIX, END, PRIOR = 3, 256, 4.0
 RATE, BATCH, SEED = 0.1, 8192, 3
 LANES, LANE_TOKENS, PARTS = 12, 131_072, 4
-_KEPT: dict = {}
 
 
 class Net:
-    """Weights as one float32 vector, with views by part."""
+    """Weights as one float32 vector, with views by part: embeddings, and softmaxes over classes, over the groups of a class and over the words of a group."""
 
     def __init__(self, w: np.ndarray | None = None, classes: int = CLASSES):
-        self.classes, self.vocab = classes, classes * classes
-        shapes = [(2 * SIDE * (self.vocab + 1), DIM), (DIM + 1, classes), (classes, DIM + 1, classes)]
+        self.classes, self.words, self.vocab = classes, WIDTH * classes, WIDTH * classes**3
+        shapes = [(2 * SIDE * (self.vocab + 1), DIM), (DIM + 1, classes), (classes, DIM + 1, classes), (classes * classes, DIM + 1, self.words)]
         size = [int(np.prod(s)) for s in shapes]
         if w is None:
             w = np.random.default_rng(SEED).standard_normal(sum(size)).astype(np.float32) * 0.1
         self.w = w
-        self.emb, self.cls, self.out = (p.reshape(s) for p, s in zip(np.split(w, np.cumsum(size)[:-1]), shapes))
+        self.emb, self.cls, self.mid, self.out = (p.reshape(s) for p, s in zip(np.split(w, np.cumsum(size)[:-1]), shapes))
 
     @staticmethod
     def context(ids: np.ndarray, row: np.ndarray, vocab: int = VOCAB) -> np.ndarray:
-        """(tokens, 2 * SIDE): row of the embedding table for each place around each token."""
+        """(2 * SIDE, tokens): row of the embedding table for each place around each token."""
         n = len(ids)
-        out = np.full((n, 2 * SIDE), vocab, np.int32)
+        out = np.full((2 * SIDE, n), vocab, np.int64)
         for j in range(SIDE):
             d = j + 1
             if n > d:
                 same = row[d:] == row[:-d]
-                out[d:, 2 * j] = np.where(same, ids[:-d], vocab)
-                out[:-d, 2 * j + 1] = np.where(same, ids[d:], vocab)
-        return out + np.arange(2 * SIDE, dtype=np.int32) * (vocab + 1)
+                out[2 * j, d:] = np.where(same, ids[:-d], vocab)
+                out[2 * j + 1, :-d] = np.where(same, ids[d:], vocab)
+        return out + np.arange(2 * SIDE)[:, None] * (vocab + 1)
 
     def hidden(self, ctx: np.ndarray) -> np.ndarray:
-        h = np.ones((len(ctx), DIM + 1), np.float32)
-        x = self.emb[ctx[:, 0]]
-        for j in range(1, ctx.shape[1]):
-            x += self.emb[ctx[:, j]]
+        h = np.ones((ctx.shape[1], DIM + 1), np.float32)
+        x = self.emb.take(ctx[0], axis=0)
+        for at in ctx[1:]:
+            x += self.emb.take(at, axis=0)
         np.tanh(x, out=h[:, :DIM])
         return h
 
     def forward(self, ids: np.ndarray, ctx: np.ndarray):
-        """Order by class, hidden layer, both softmaxes and the log probability, all in that order."""
-        c = ids // self.classes
-        order = np.argsort(c.astype(np.int16), kind="stable")
-        c, word = c[order], (ids % self.classes)[order]
-        h = self.hidden(ctx[order])
-        p = _softmax(h @ self.cls)
-        cut = np.searchsorted(c, np.arange(self.classes + 1))
-        z = np.empty((len(ids), self.classes), np.float32)
-        for k in range(self.classes):
-            a, b = cut[k], cut[k + 1]
-            if b > a:
-                np.matmul(h[a:b], self.out[k], out=z[a:b])
-        q = _softmax(z)
+        """Order by group, hidden layer, for each level (choice of each token, probabilities, nodes, their borders) and the log probability, all in that order."""
+        order = np.argsort(ids // self.words, kind="stable")
+        x = ids[order]
+        group = x // self.words
+        h = self.hidden(ctx[:, order])
         i = np.arange(len(ids))
-        return order, c, word, h, p, q, cut, np.log(p[i, c] * q[i, word] + 1e-30)
+        levels, total = [], np.zeros(len(ids), np.float32)
+        for node, choice, weights in ((None, group // self.classes, self.cls), (group // self.classes, group % self.classes, self.mid), (group, x % self.words, self.out)):
+            if node is None:
+                nodes, cut, z = None, None, h @ weights
+            else:
+                first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+                nodes, cut, z = node[first], np.append(first, len(x)).tolist(), np.empty((len(x), weights.shape[2]), np.float32)
+                for k, a, b in zip(nodes.tolist(), cut, cut[1:]):
+                    np.matmul(h[a:b], weights[k], out=z[a:b])
+            p = _softmax(z)
+            total += np.log(p[i, choice] + 1e-30)
+            levels.append((choice, p, nodes, cut))
+        return order, h, levels, total
 
     def step(self, ids: np.ndarray, ctx: np.ndarray, g2: "Net", rate: float) -> None:
         """One AdaGrad step on the mean log loss."""
-        order, c, word, h, p, q, cut, _ = self.forward(ids, ctx)
+        order, h, levels, _ = self.forward(ids, ctx)
         n, i = len(ids), np.arange(len(ids))
-        p[i, c] -= 1
-        q[i, word] -= 1
-        p /= n
-        q /= n
-        back = p @ self.cls.T
-        cls, out = h.T @ p, np.zeros_like(self.out)
-        for k in range(self.classes):
-            a, b = cut[k], cut[k + 1]
-            if b > a:
-                np.matmul(h[a:b].T, q[a:b], out=out[k])
-                back[a:b] += q[a:b] @ self.out[k].T
+        back, part = np.zeros((n, DIM + 1), np.float32), np.empty((n, DIM + 1), np.float32)
+        for (choice, p, nodes, cut), w, sq in zip(levels, (self.cls, self.mid, self.out), (g2.cls, g2.mid, g2.out)):
+            p[i, choice] -= 1
+            p /= n
+            if nodes is None:
+                back += p @ w.T
+                _adagrad(w, sq, slice(None), h.T @ p, rate)
+                continue
+            grad = np.empty((len(nodes), DIM + 1, w.shape[2]), np.float32)
+            for j, (k, a, b) in enumerate(zip(nodes.tolist(), cut, cut[1:])):
+                q = p[a:b]
+                np.matmul(h[a:b].T, q, out=grad[j])
+                np.matmul(q, w[k].T, out=part[a:b])
+            back += part
+            _adagrad(w, sq, nodes, grad, rate)
         d = back[:, :DIM] * (1 - h[:, :DIM] ** 2)
-        ctx = ctx[order]
-        for j in range(ctx.shape[1]):
-            place = ctx[:, j] - j * (self.vocab + 1)
+        for j, at in enumerate(ctx):
+            place = at[order] - j * (self.vocab + 1)
             by = np.argsort(place.astype(np.uint16) if self.vocab < 65536 else place, kind="stable")
-            at = ctx[by, j]
-            first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            at, grad = at[first], np.add.reduceat(d[by], first, axis=0)
-            g2.emb[at] += grad * grad
-            self.emb[at] -= rate * grad / np.sqrt(g2.emb[at] + 1e-10)
-        for w, sq, grad in ((self.cls, g2.cls, cls), (self.out, g2.out, out)):
-            sq += grad * grad
-            w -= rate * grad / np.sqrt(sq + 1e-10)
+            place = place[by]
+            first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+            _adagrad(self.emb, g2.emb, place[first] + j * (self.vocab + 1), np.add.reduceat(d.take(by, axis=0), first, axis=0), rate)
+
+
+def _adagrad(w: np.ndarray, sq: np.ndarray, at, grad: np.ndarray, rate: float) -> None:
+    s = sq[at] + grad * grad
+    sq[at] = s
+    w[at] -= rate * grad / np.sqrt(s + 1e-10)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -251,21 +259,14 @@ class Vocabulary:
 
 
 def _vocabulary(paths: tuple[str, str]) -> Vocabulary:
-    """Kept in the worker."""
-    if paths not in _KEPT:
-        _KEPT[paths] = Vocabulary(*map(worker_table, paths))
-    return _KEPT[paths]
+    return keep("pseudo", "vocabulary", paths, lambda: Vocabulary(*map(worker_table, paths)))
 
 
 def _weights(path: str | None) -> np.ndarray | None:
-    """Weights and sums of squares; the worker keeps the last ones."""
+    """Weights and sums of squares."""
     if path is None:
         return None
-    if _KEPT.get("at") != path:
-        t = worker_table(path).sort_by("block")
-        _KEPT["w"] = np.concatenate([np.zeros(0, np.float32), *(c.flatten().to_numpy() for c in t.column("w").chunks)])
-        _KEPT["at"] = path
-    return _KEPT["w"]
+    return keep("pseudo", "weights", path, lambda: np.concatenate([np.zeros(0, np.float32), *(c.flatten().to_numpy() for c in worker_table(path).sort_by("block").column("w").chunks)]))
 
 
 def _tokens(col: pa.Array, vocabulary: Vocabulary, spelt: bool = False):
@@ -296,7 +297,7 @@ def _train(vocab: tuple[str, str], classes: int, weights: str | None, rate: floa
             for _, _, ids, row, _ in _tokens(b.column(0), vocabulary):
                 ctx = Net.context(ids, row, net.vocab)
                 for i in range(0, len(ids), BATCH):
-                    net.step(ids[i : i + BATCH], ctx[i : i + BATCH], g2, rate)
+                    net.step(ids[i : i + BATCH], ctx[:, i : i + BATCH], g2, rate)
                 seen += len(ids)
         if seen:
             both = np.concatenate([net.w, g2.w])
@@ -313,8 +314,33 @@ def _average(t):
 
 
 def classes_for(n_tokens: int) -> int:
-    """Classes, and words a class: the vocabulary is as large as the square root of the number of tokens."""
-    return max(CLASSES, math.ceil(n_tokens**0.25))
+    """Classes, and groups a class: the vocabulary, WIDTH times their cube, is as large as the square root of the number of tokens."""
+    return max(CLASSES, math.ceil((n_tokens**0.5 / WIDTH) ** (1 / 3) - 1e-9))
+
+
+def most_frequent(counts: DataFrame, key: str, size: int) -> list[tuple[int, int]]:
+    """(key, n) of about the `size` most frequent keys, never more.
+
+    The least count that still fits, and the share of the keys of the next count by a hash, follow from two histograms, so that tasks send no more than the rows that are taken.
+    """
+    step = F.when(F.col("n") > 1024, F.pow(F.lit(2.0), F.floor(F.log2("n") * 64) / 64) + 0.5).otherwise(F.col("n"))  # 64 steps a doubling
+    x = counts.select(key, "n", step.alias("step"), F.pmod(F.xxhash64(key), F.lit(4096)).alias("bucket"))
+    by = {r["step"]: r["keys"] for r in x.groupBy("step").agg(F.count("*").alias("keys")).collect()}
+    left, least, tied = size, 0.0, None
+    for n in sorted(by, reverse=True):
+        if by[n] > left:
+            tied = n
+            break
+        left -= by[n]
+        least = n
+    take = (F.col("step") >= least) if least else F.lit(False)
+    if tied is not None and left:
+        some, share = {r["bucket"]: r["keys"] for r in x.where(F.col("step") == tied).groupBy("bucket").agg(F.count("*").alias("keys")).collect()}, 0
+        while left >= some.get(share, 0):
+            left -= some.get(share, 0)
+            share += 1
+        take = take | ((F.col("step") == tied) & (F.col("bucket") < share))
+    return sorted(((r[key], r["n"]) for r in x.where(take).collect()), key=lambda r: (-r[1], r[0]))
 
 
 def vocabulary(text: DataFrame) -> tuple[tuple[str, str], int, int]:
@@ -323,12 +349,12 @@ def vocabulary(text: DataFrame) -> tuple[tuple[str, str], int, int]:
     counts = stash(text.mapInArrow(_count, "h long, n long, token binary").groupBy("h", "token").agg(F.sum("n").alias("n")), "counts")
     n_tokens = counts.agg(F.sum("n")).first()[0] or 0
     classes = classes_for(n_tokens)
-    size = classes * classes
-    words = [(r["h"], r["n"], 0) for r in counts.orderBy(F.col("n").desc(), "h").limit(size * 3 // 4).select("h", "n").collect()]
+    size = WIDTH * classes**3
+    words = [(h, n, 0) for h, n in most_frequent(counts, "h", size * 3 // 4)]
     known = spark.createDataFrame([(h,) for h, _, _ in words], "h long")
     tail = counts.join(F.broadcast(known), "h", "left_anti").select("token", "n")
     pieces = stash(tail.mapInArrow(_pieces, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "pieces")
-    begin = [(r["key"], r["n"], 1) for r in pieces.where("kind = 1").orderBy(F.col("n").desc(), "key").limit(size - 1 - len(words)).collect()]
+    begin = [(k, n, 1) for k, n in most_frequent(pieces.where("kind = 1").select("key", "n"), "key", size - 1 - len(words))]
     rows = sorted(words + begin, key=lambda r: (-r[1], r[2], r[0]))  # the vocabulary at most
     ranks, spelling = new_path(spark, "vocabulary"), new_path(spark, "spelling")
     spark.createDataFrame([(h, i + 1, kind) for i, (h, _, kind) in enumerate(rows)], "h long, rank int, kind int").coalesce(1).write.parquet(ranks)
@@ -367,7 +393,7 @@ def _score(vocab: tuple[str, str], classes: int, weights: str | None):
             for a, z, ids, row, lp in _tokens(b.column(1), vocabulary, spelt=True):
                 ctx = Net.context(ids, row, net.vocab)
                 for i in range(0, len(ids), BATCH):
-                    order, *_, got = net.forward(ids[i : i + BATCH], ctx[i : i + BATCH])
+                    order, *_, got = net.forward(ids[i : i + BATCH], ctx[:, i : i + BATCH])
                     lp[i + order] += got
                 total[a:z] = np.bincount(row, lp, minlength=z - a)
                 n[a:z] = np.bincount(row, minlength=z - a)
@@ -378,5 +404,5 @@ def _score(vocab: tuple[str, str], classes: int, weights: str | None):
 
 def score(docs: DataFrame, rounds: int = 1, rate: float = RATE) -> DataFrame:
     vocab, classes, weights = train(docs, rounds, rate)
-    use = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    use = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return use.mapInArrow(_score(vocab, classes, weights), "doc_id long, n_tokens long, log_prob double, mean_log_prob double")

@@ -4,14 +4,15 @@ Fingerprint: 186 bits (six blocks of 31) of the signs of summed random signs ove
 of lower-cased words (letters and digits; punctuation is left out). Two documents match when
 at most `max_distance` bits differ.
 
-Anchors are the words of the Hamming code [31,26], a perfect code of covering radius 1. If two
-fingerprints differ by at most 2*6-1 = 11 bits, some block differs by at most one (pigeonhole).
-In that block the anchor nearest to the one lies within 1 + 1 of the other, so replicating
-each block to every anchor within covering radius plus block threshold (1, or 16 anchors) makes
-the pair meet: pairs up to 11 bits are found without loss, pairs of 12 to 24 bits with a
-probability that README.md states as measured. Equal fingerprints are folded before they are
-replicated, so groups of thousands of copies cost one fingerprint. The members of an anchor with more than CELL of them are compared in
-cells of two blocks, over all tasks. Links are counted in each class of
+Every pair is found, by pigeonhole. Up to 2*6-1 = 11 bits: some block differs by at most one. Anchors are the words of the Hamming
+code [31,26], a perfect code of covering radius 1; the anchor nearest to the one lies within 1 + 1 of the other, so replicating
+each block to every anchor within covering radius plus block threshold (1, or 16 anchors) makes the pair meet. Beyond (24 by default) such balls of
+anchors would hold thousands, so the 186 bits are cut into parts (`parts`: 7 of 22 bits and 2 of 16 for 24 bits), of which one of 22 differs by at most 2 bits or
+one of 16 by at most 1: else the pair would have 7 * 3 + 2 * 2 = 25 different bits. Parts of 2 meet at a key that either reaches by at most one
+flip; flips of the upper bits send a row to other shards, those of the lower ones are done inside the shard. Parts of 1 meet where the differing bit is left out.
+Equal fingerprints are folded before they are
+replicated, so groups of thousands of copies cost one fingerprint. The members of an anchor or key with more than CELL of them are compared in
+cells of two blocks, over all tasks; shards of more than SHARD rows are taken apart by key first. Links are counted in each class of
 distinct fingerprints, every pair of them, in cells of at most CELL rows a side.
 
 Defined results: a null, empty or word-less text has no fingerprint and belongs to no group; texts of any length are taken whole;
@@ -33,6 +34,7 @@ from argosec.llm.textvec import chunks, flat, mix64, tokenize
 
 BLOCKS, BLOCK_BITS = 6, 31
 MAX_DISTANCE, CELL = 24, 4096
+SHARD, SHARD_OWN, KEY_BITS = 400_000, 16_384, 48
 _SPREAD: dict = {}
 
 
@@ -175,6 +177,129 @@ def _by_key(batches, most: int | None = None):
 _FOUND = "a long, b long, anchor long, id long, f0 long, f1 long, f2 long"
 
 
+def _found(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), *[pa.nulls(len(a), pa.int64())] * 5], [c.split()[0] for c in _FOUND.split(", ")])
+
+
+def _hot(cols: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*[pa.nulls(len(cols[0]), pa.int64())] * 2, *map(pa.array, cols)], [c.split()[0] for c in _FOUND.split(", ")])
+
+
+def _near(key: np.ndarray, row: np.ndarray, ids: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect all matching rows of each key; keys are in order, row says which of ids and fp each belongs to."""
+    out = []
+    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))) if len(key) else np.zeros(1, np.int64)
+    size = np.diff(cut)
+    i = np.flatnonzero(np.repeat(size <= 32, size))
+    first = np.ascontiguousarray(fp[:, 0])
+    for off in range(1, min(32, int(size.max()) if len(size) else 0)):
+        i = i[: np.searchsorted(i, len(key) - off)]
+        i = i[key[i + off] == key[i]]
+        x, y = row[i], row[i + off]
+        near = np.bitwise_count(first[x] ^ first[y]) <= most
+        x, y = x[near], y[near]
+        near = distance(fp[x], fp[y]) <= most
+        out.append((ids[x[near]], ids[y[near]]))
+    for g in np.flatnonzero(size > 32):
+        s = row[cut[g] : cut[g + 1]]
+        out.append(_bucket_edges(ids[s], fp[s], most))
+    return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
+
+
+def parts(most: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, radius) of each part: fingerprints that differ by at most `most` bits differ in some part by at most its radius, as radii + 1 sum to most + 1."""
+    n = -(-(most + 1) // 3)
+    ones = 3 * n - (most + 1)
+    two = min(31, int(186 / (n - ones + 0.72 * ones)))  # so that both kinds let about as many chance pairs meet
+    one = min(two, (186 - two * (n - ones)) // max(ones, 1))
+    out, at = [], 0
+    for k in range(n):
+        r, bits = (2, two) if k < n - ones else (1, one)
+        out.append((at, bits, r))
+        at += bits
+    return out
+
+
+def _part(fp: np.ndarray, at: int, bits: int) -> np.ndarray:
+    w, s = divmod(at, 62)
+    v = fp[:, w] >> np.uint64(s)
+    if s + bits > 62:
+        v = v | (fp[:, w + 1] << np.uint64(62 - s))
+    return v & np.uint64((1 << bits) - 1)
+
+
+def _high(most: int, n: int) -> list[int]:
+    """Upper bits of each part that name its shard: about SHARD_OWN of n rows have a shard as their own."""
+    want = max(2, (n // SHARD_OWN).bit_length())
+    return [min(want, bits // 2) for _, bits, _ in parts(most)]
+
+
+def _to_shards(most: int, high: list[int]):
+    """Each row to the shards where it may meet others: its own and those one flip away, for a part of radius 2; one for each bit left out, for radius 1."""
+
+    def run(batches):
+        for b in batches:
+            for start in range(0, b.num_rows, 1000):
+                s = b.slice(start, 1000)
+                fp = np.stack([s.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3)], axis=1).view(np.uint64)
+                keys = []
+                for k, (at, bits, r) in enumerate(parts(most)):
+                    v, tag = _part(fp, at, bits), np.uint64(k << KEY_BITS)
+                    if r == 2:
+                        top = v >> np.uint64(bits - high[k])
+                        keys += [tag | top, *(tag | (top ^ np.uint64(1 << i)) for i in range(high[k]))]
+                    else:
+                        keys += [tag | np.uint64(i << 40) | (v & np.uint64((1 << i) - 1)) | (v >> np.uint64(i + 1) << np.uint64(i)) for i in range(bits)]
+                t = s.take(pa.array(np.tile(np.arange(s.num_rows), len(keys))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *t.columns], ["anchor", "id", "f0", "f1", "f2"])
+
+    return run
+
+
+def _flips(shard: np.ndarray, fp: np.ndarray, most: int, high: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) in order of the keys of rows in their shards."""
+    keys, rows = [], []
+    of = shard >> KEY_BITS
+    for k, (at, bits, r) in enumerate(parts(most)):
+        i = np.flatnonzero(of == k)
+        if r == 1:
+            keys.append(shard[i])
+            rows.append(i)
+        elif len(i):
+            low = bits - high[k]
+            v = _part(fp[i], at, bits).view(np.int64)
+            here = (v & ((1 << low) - 1)) | (shard[i] & ((1 << high[k]) - 1)) << low | k << KEY_BITS
+            own = here == (v | k << KEY_BITS)  # others have spent their flip on the way here
+            keys += [here, (here[own, None] ^ (1 << np.arange(low))).ravel()]
+            rows += [i, np.repeat(i[own], low)]
+    key, row = np.concatenate(keys), np.concatenate(rows)
+    order = np.argsort(key, kind="stable")
+    return key[order], row[order]
+
+
+def _compare_shards(most: int, high: list[int], cell: int, shard: int):
+    """Edges that connect the matching rows of each key of each shard; rows of keys with more than `cell`, and all of shards with more than `shard` rows, come with their keys."""
+
+    def run(batches):
+        for hot, cols in _by_key(batches, shard):
+            for a in range(0, len(cols[0]), 10_000) if hot else (0,):
+                use = [c[a : a + 10_000] for c in cols] if hot else cols
+                if not len(use[0]):
+                    continue
+                ids, fp = use[1], np.stack(use[2:], axis=1).view(np.uint64)
+                key, row = _flips(use[0], fp, most, high)
+                cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+                large = np.ones(len(key), bool) if hot else np.repeat(np.diff(cut) > cell, np.diff(cut))
+                if large.any():
+                    yield _hot([key[large], *(c[row[large]] for c in use[1:])])
+                    key, row = key[~large], row[~large]
+                a_, b_ = _near(key, row, ids, fp, most)
+                e = np.unique(np.stack([np.maximum(a_, b_), np.minimum(a_, b_)], axis=1), axis=0)
+                yield _found(e[:, 0], e[:, 1])
+
+    return run
+
+
 def _compare(most: int, cell: int):
     """Edges (a, b) that connect the matching members of each anchor; the members of an anchor of more than `cell` as they are."""
 
@@ -185,26 +310,11 @@ def _compare(most: int, cell: int):
                 large = np.repeat(np.diff(cut) > cell, np.diff(cut))
                 yield from edges([c[~large] for c in cols])
                 cols = [c[large] for c in cols]
-            n = len(cols[0])
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *map(pa.array, cols)], [c.split()[0] for c in _FOUND.split(", ")])
+            if len(cols[0]):
+                yield _hot(cols)
 
     def edges(cols):
-        key, ids, fp = cols[0], cols[1], np.stack(cols[2:], axis=1).view(np.uint64)
-        out = []
-        cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))) if len(key) else np.zeros(1, np.int64)
-        size = np.diff(cut)
-        small = np.repeat(size <= 32, size)
-        for off in range(1, min(32, int(size.max()) if len(size) else 0)):
-            i = np.flatnonzero((key[off:] == key[:-off]) & small[off:])
-            i = i[distance(fp[i], fp[i + off]) <= most]
-            out.append((ids[i + off], ids[i]))
-        for g in np.flatnonzero(size > 32):
-            s = slice(cut[g], cut[g + 1])
-            out.append(_bucket_edges(ids[s], fp[s], most))
-        a = np.concatenate([x for x, _ in out]) if out else np.zeros(0, np.int64)
-        b = np.concatenate([x for _, x in out]) if out else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), *[pa.nulls(len(a), pa.int64())] * 5], [c.split()[0] for c in _FOUND.split(", ")])
+        yield _found(*_near(cols[0], np.arange(len(cols[0])), cols[1], np.stack(cols[2:], axis=1).view(np.uint64), most))
 
     return run
 
@@ -271,15 +381,26 @@ def count_links(members: DataFrame, most: int, cell: int = CELL) -> DataFrame:
     return cells(members, "root", cell).mapInArrow(_links(most), "fid long, n long").groupBy("fid").agg(F.sum("n").alias("n_links"))
 
 
-def edges_at_anchors(reps: DataFrame, max_distance: int, cell: int = CELL) -> DataFrame:
-    """(a, b) of fingerprints (fid, f0, f1, f2): edges that connect all matching ones that share an anchor."""
-    spread = reps.select("fid", "f0", "f1", "f2").mapInArrow(_replicate, "anchor long, id long, f0 long, f1 long, f2 long")
-    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = stash(spread.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare(max_distance, cell), _FOUND), "anchors")
-    edges, hot = found.where("a is not null").select("a", "b"), found.where("anchor is not null").select("anchor", F.col("id").alias("fid"), "f0", "f1", "f2")
+def edges_at_anchors(reps: DataFrame, max_distance: int, cell: int = CELL, shard: int = SHARD) -> DataFrame:
+    """(a, b) of fingerprints (fid, f0, f1, f2): edges that connect all that are at most max_distance bits apart."""
+    use, columns = reps.select("fid", "f0", "f1", "f2"), "anchor long, id long, f0 long, f1 long, f2 long"
+    partitions = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def meet(rows, compare):
+        found = stash(rows.repartition(partitions, "anchor").sortWithinPartitions("anchor").mapInArrow(compare, _FOUND), "anchors")
+        return found.where("a is not null").select("a", "b"), found.where("anchor is not null").select("anchor", "id", "f0", "f1", "f2")
+
+    if max_distance < 2 * BLOCKS:
+        edges, hot = meet(use.mapInArrow(_replicate, columns), _compare(max_distance, cell))
+    else:
+        high = _high(max_distance, reps.count())
+        edges, hot = meet(use.mapInArrow(_to_shards(max_distance, high), columns), _compare_shards(max_distance, high, cell, shard))
+        if not hot.isEmpty():
+            more, hot = meet(hot, _compare(max_distance, cell))
+            edges = edges.union(more)
     if hot.isEmpty():
         return edges
-    return edges.union(cells(hot, "anchor", cell).mapInArrow(_cell_edges(max_distance), "a long, b long"))
+    return edges.union(cells(hot.withColumnRenamed("id", "fid"), "anchor", cell).mapInArrow(_cell_edges(max_distance), "a long, b long"))
 
 
 def _row_id(docs: DataFrame):

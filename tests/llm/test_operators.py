@@ -387,6 +387,31 @@ def test_hot_anchors_are_compared_in_cells(spark):
     assert [sorted(set(c[0].tolist())) for hot, c in parts if not hot] == [[1], [3, 4], [5]]
 
 
+def far_pairs(rng, n, most):
+    """Fingerprints in pairs `most` bits apart, and as many that are one bit further."""
+    fp = rng.integers(0, 2**62, (n, 3), dtype=np.uint64)
+    other = fp.copy()
+    for i in range(n):
+        for p in rng.choice(186, most + (i >= n // 2), replace=False):
+            other[i, p // 62] ^= np.uint64(1 << int(p % 62))
+    return np.concatenate([fp, other])
+
+
+@pytest.mark.parametrize("cell, shard", [(op3.CELL, 400_000), (3, 400_000), (op3.CELL, 2), (3, 2)])
+def test_no_pair_up_to_the_threshold_is_lost(spark, cell, shard):
+    n, most = 400, op3.MAX_DISTANCE
+    fp = far_pairs(np.random.default_rng(8), n, most)
+    df = spark.createDataFrame([(i, *(int(v) for v in f.view(np.int64))) for i, f in enumerate(fp)], "fid long, f0 long, f1 long, f2 long")
+    got = {(r.a, r.b) for r in op3.edges_at_anchors(df, most, cell, shard).collect()}
+    assert got == {(n + i, i) for i in range(n // 2)}
+
+
+def test_parts_leave_no_room():
+    for most in (12, 13, 14, 24, 40):
+        cut = op3.parts(most)
+        assert sum(r + 1 for _, _, r in cut) == most + 1 and all(a + b <= c for (a, b, _), (c, _, _) in zip(cut, cut[1:])) and cut[-1][0] + cut[-1][1] <= 186
+
+
 def test_links_against_brute_force(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**62, (4, 3), dtype=np.uint64)

@@ -1,18 +1,18 @@
 """Quality classifier: interpolated modified Kneser-Ney trigram model of trusted text.
 
-Tokens are lower-cased words and runs of signs. The model is fitted on a bounded sample of
-trusted rows: at most `max_train_docs` documents of each language among those labelled
-quality 1 and toxic 0, and no more than about half of those, picked by a hash of doc_id. Counts, continuation counts, discounts and
+Tokens are lower-cased words and runs of signs. Every trusted document (labelled quality 1 and toxic 0) is used once, by a hash of its
+doc_id: one half of them is counted, all of it, and the other gives the thresholds, as a document that was counted itself
+looks less surprising than it is. (`max_train_docs`, if given, bounds the counted ones of each language.) Counts, continuation counts, discounts and
 back-off weights are joins and aggregates over tables sharded by n-gram hash; the finished
-shards, each sorted by key and of SHARD_ROWS n-grams at most on average, are written to the shared folder. Scoring joins the n-grams of
+shards, ranges of keys in order and of SHARD_ROWS n-grams at most on average, are written to the shared folder. Scoring joins the n-grams of
 a block of documents (BLOCK_TOKENS tokens, or one longer document) with the shards one after the other, so that a worker
 holds a block and a shard, however large the model; a model of up to KEPT_ROWS n-grams is kept in the worker instead of
 being read for each block. Both give the same perplexities.
 
 A document is rejected when its mean surprisal, less `slack` / sqrt(tokens), exceeds the
-`quantile` of that figure among the trusted documents outside the sample, of its own language;
+`quantile` of that figure among the trusted documents that were not counted, of its own language;
 a language (or null) with fewer than `least` such documents takes the quantile over all of them.
-The quantiles cover every labelled document.
+The quantiles cover every document of that half.
 
 Defined results: a null, empty or token-less text has perplexity null and keep false; texts of any length are scored whole; a null
 lang is a language of its own; repeated rows are scored and kept each; a score equal to the threshold is kept; extra columns are left alone;
@@ -35,28 +35,27 @@ from pyspark.sql import functions as F
 from argosec.llm.shared import keep, new_path, stash, worker_fs
 from argosec.llm.textvec import chunks, flat, grams, tokenize
 
-MAX_TRAIN_DOCS = 1000
+MAX_TRAIN_DOCS = None  # no bound
 QUANTILE, SLACK, LEAST = 0.998, 5.0, 50
-SHARD_ROWS, KEPT_ROWS, BLOCK_TOKENS = 250_000, 2_000_000, 250_000
+SHARD_ROWS, KEPT_ROWS, BLOCK_TOKENS = 250_000, 2_000_000, 500_000
 
 
 def _count_grams(batches):
-    """(kind, gram, context, suffix, word, n) of a batch; kind is the order of the n-gram."""
+    """(k, gram, a, b, n) of a batch: words; bigrams that end a trigram, with their words; trigrams, with the bigrams that begin and end them."""
     for b in batches:
         data, off = flat(pc.utf8_lower(b.column(0)))
         for a, z in chunks(off):
             t = tokenize(data[off[a] : off[z]], off[a : z + 1] - off[a], by_space=False)
             h, row = t.hash, t.row_of()
-            for k in (1, 3):
-                g = grams(h, k) if k > 1 else h
-                if not len(g):
-                    continue
-                ok = row[k - 1 :] == row[: len(row) - k + 1]
-                two = grams(h, 2) if k == 3 else g
-                cols = [g[ok], two[: len(g)][ok], (two[1 : len(g) + 1] if k == 3 else g)[ok], h[k - 1 :][ok], (h[1 : len(g) + 1] if k == 3 else g)[ok]]
-                _, at, n = np.unique(cols[0], return_index=True, return_counts=True)
-                cols = [c[at].view(np.int64) for c in cols]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), *map(pa.array, cols), pa.array(n.astype(np.int64))], ["k", "gram", "ctx", "suffix", "word", "mid", "n"])
+            found = [(1, h, h, h)]
+            if len(h) > 2:
+                ok = row[2:] == row[:-2]
+                two = grams(h, 2)
+                found += [(2, two[1:][ok], h[1:-1][ok], h[2:][ok]), (3, grams(h, 3)[ok], two[:-1][ok], two[1:][ok])]
+            for k, gram, *of in found:
+                gram, at, n = np.unique(gram, return_index=True, return_counts=True)
+                cols = [c.view(np.int64) for c in (gram, *(c[at] for c in of))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), *map(pa.array, cols), pa.array(n.astype(np.int64))], ["k", "gram", "a", "b", "n"])
 
 
 def _discounts(c: DataFrame, by: str) -> list[float]:
@@ -77,12 +76,14 @@ def _weights(c: DataFrame, gram: str, ctx: str, n: str, d: list[float]) -> tuple
 
 
 def fit(trusted: DataFrame) -> str:
-    """Train on the column text of a bounded table; returns the folder of the model."""
+    """Train on the column text of a table; returns the folder of the model."""
     spark = trusted.sparkSession
-    c = trusted.select(F.col("text").cast("string")).mapInArrow(_count_grams, "k int, gram long, ctx long, suffix long, word long, mid long, n long")
-    c = stash(c.groupBy("k", "gram").agg(*(F.first(x).alias(x) for x in ("ctx", "suffix", "word", "mid")), F.sum("n").alias("n")), "grams")
-    tri = c.where("k = 3")
-    bi = stash(tri.groupBy(F.col("suffix").alias("gram")).agg(F.first("mid").alias("ctx"), F.first("word").alias("word"), F.count("*").alias("n")), "grams")
+    c = trusted.select(F.col("text").cast("string")).mapInArrow(_count_grams, "k int, gram long, a long, b long, n long")
+    c = stash(c.groupBy("k", "gram").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.sum("n").alias("n")), "grams")
+    tri = c.where("k = 3").select("gram", F.col("a").alias("ctx"), "b", "n")
+    none = F.lit(None).cast("long")
+    bi = c.where("k = 2").select("gram", "a", "b", F.lit(0).alias("n")).union(tri.select("b", none, none, F.lit(1)))
+    bi = stash(bi.groupBy("gram").agg(F.first("a", True).alias("ctx"), F.first("b", True).alias("word"), F.sum("n").alias("n")), "grams")
     uni = bi.groupBy("word").agg(F.count("*").alias("n"))
     words = c.where("k = 1").select(F.col("gram").alias("word"))
     uni = stash(words.join(uni, "word", "left").select("word", F.coalesce("n", F.lit(1)).alias("n"), F.lit(0).alias("ctx")), "grams")
@@ -99,7 +100,8 @@ def fit(trusted: DataFrame) -> str:
             rows = rows.union(backs[k].select("key", none, "value")).groupBy("key").agg(F.max("share").alias("share"), F.max("back").alias("back"))
         rows = rows.select("key", F.coalesce("share", F.lit(0.0)).cast("float").alias("share"), F.coalesce("back", F.lit(1.0)).cast("float").alias("back"))
         n = max(1, -(-(bi if k == 2 else tri if k == 3 else uni).count() // SHARD_ROWS))
-        rows.repartition(n, "key").sortWithinPartitions("key").write.parquet(f"{path}/{k}")
+        part = F.least(F.lit(n - 1), ((F.col("key") / 2.0**64 + 0.5) * n).cast("int"))  # keys are hashes, so ranges of them are even
+        rows.repartitionById(n, part).sortWithinPartitions("key").write.parquet(f"{path}/{k}")
     return path
 
 
@@ -140,9 +142,10 @@ class Model:
         share, back = np.zeros(len(keys)), np.ones(len(keys))
         for own, s, b in self.shards(k):
             if len(own):
-                i = np.minimum(np.searchsorted(own, keys), len(own) - 1)
-                hit = own[i] == keys
-                share[hit], back[hit] = s[i[hit]], b[i[hit]]
+                lo, hi = np.searchsorted(keys, own[0]), np.searchsorted(keys, own[-1], "right")
+                i = np.searchsorted(own, keys[lo:hi])
+                hit = own[i] == keys[lo:hi]
+                share[lo:hi][hit], back[lo:hi][hit] = s[i[hit]], b[i[hit]]
         return share[at], back[at]
 
     def log2(self, h: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -206,16 +209,19 @@ def perplexity(docs: DataFrame, path: str) -> DataFrame:
     return use.mapInArrow(_score(path, 1), "doc_id long, lang string, __n_tokens long, __surprisal double").withColumnsRenamed({"__n_tokens": "n_tokens", "__surprisal": "surprisal"})
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> tuple[str, DataFrame, DataFrame]:
-    """Folder of the model; (doc_id) of trusted documents and of those of them it was fitted on."""
+def train(docs: DataFrame, labels: DataFrame, max_train_docs: int | None = MAX_TRAIN_DOCS) -> tuple[str, DataFrame, DataFrame]:
+    """Folder of the model; (doc_id) of trusted documents and of those of them it was fitted on: a half, without bound unless max_train_docs is given."""
     good = labels.groupBy(F.col("doc_id").try_cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and coalesce(t, 0) = 0").select("doc_id")
     pick = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).join(good, "doc_id").distinct()
     pick = stash(pick.withColumn("u", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)), "trusted")
-    size = pick.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n"))
-    near = pick.join(F.broadcast(size), F.col("lang").eqNullSafe(F.col("l"))).where(F.col("u") < F.least(F.lit(0.5), 2.0 * max_train_docs / F.col("n")))  # a row a language
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id"))  # over some 2 * max_train_docs rows a language
-    sample = stash(near.withColumn("r", first).where(F.col("r") <= max_train_docs).select("doc_id").distinct(), "sample")
-    text = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("text")  # bounded by max_train_docs
+    half = pick.where("u < 0.5")
+    if max_train_docs is not None:
+        size = pick.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n"))
+        near = half.join(F.broadcast(size), F.col("lang").eqNullSafe(F.col("l"))).where(F.col("u") < 2.0 * max_train_docs / F.col("n"))  # a row a language
+        first = F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id"))  # over some 2 * max_train_docs rows a language
+        half = near.withColumn("r", first).where(F.col("r") <= max_train_docs)
+    sample = stash(half.select("doc_id").distinct(), "sample")
+    text = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text").join(sample, "doc_id").select("text")
     return fit(text), pick.select("doc_id").distinct(), sample
 
 
@@ -230,7 +236,7 @@ def judge(scored: DataFrame, trusted: DataFrame, sample: DataFrame, quantile: fl
     return out.withColumn("__keep", F.col("__n_tokens").cast("boolean") & F.coalesce(F.col("__s") <= F.col("__limit"), F.lit(True)))
 
 
-def classify(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, quantile: float = QUANTILE, slack: float = SLACK, least: int = LEAST) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, max_train_docs: int | None = MAX_TRAIN_DOCS, quantile: float = QUANTILE, slack: float = SLACK, least: int = LEAST) -> DataFrame:
     """(doc_id, lang, n_tokens, perplexity, threshold, keep) for each row of docs."""
     path, trusted, sample = train(docs, labels, max_train_docs)
     scored = perplexity(docs, path).withColumnsRenamed({"doc_id": "__id", "lang": "__lang", "n_tokens": "__n_tokens", "surprisal": "__surprisal"})
@@ -238,7 +244,7 @@ def classify(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN
     return out.select(F.col("__id").alias("doc_id"), F.col("__lang").alias("lang"), F.col("__n_tokens").alias("n_tokens"), F.pow(F.lit(2.0), "__surprisal").alias("perplexity"), F.col("__limit").alias("threshold"), F.col("__keep").alias("keep"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, quantile: float = QUANTILE, slack: float = SLACK, least: int = LEAST) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, max_train_docs: int | None = MAX_TRAIN_DOCS, quantile: float = QUANTILE, slack: float = SLACK, least: int = LEAST) -> DataFrame:
     """docs without the rejected rows. The rows are scored and written with all their columns, so texts are neither shuffled nor joined."""
     path, trusted, sample = train(docs, labels, max_train_docs)
     x = docs.withColumns({"__id": F.col("doc_id").try_cast("long"), "__lang": F.col("lang").cast("string"), "__text": F.col("text").cast("string")})

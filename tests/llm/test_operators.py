@@ -780,6 +780,16 @@ def test_shards_read_one_by_one_score_the_same(spark, monkeypatch):
     assert np.allclose(whole.log2(t.hash, t.row_of()), cut.log2(t.hash, t.row_of()), atol=1e-6)
 
 
+def test_no_trusted_document_is_left_out(spark):
+    n = 2600
+    lab = spark.createDataFrame([(i, 1, 0) for i in range(n)], "doc_id long, quality int, toxic int")
+    path, trusted, sample = op7.train(frame(spark, [(i, f"w{i} and more", "en", "s") for i in range(n)]), lab)
+    fitted, m = {r.doc_id for r in sample.collect()}, op7.Model(path)
+    t = tokenize(*flat(pa.array([f"w{i}" for i in range(n)])), False)
+    known = np.isin(t.hash.view(np.int64), np.concatenate([s[0] for s in m.shards(1)]))
+    assert set(np.flatnonzero(known)) == fitted and 1200 < len(fitted) < 1400 and trusted.count() == n
+
+
 def test_decisions_belong_to_rows(spark):
     rng = random.Random(3)
     vocab = words(rng, 80)

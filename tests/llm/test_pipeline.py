@@ -121,6 +121,21 @@ def test_run_against_brute_force(spark, tmp_path):
     assert got == want and 40 < len(want) < len(rows) - 8
 
 
+def test_near_duplicates_without_a_common_anchor(spark, tmp_path):
+    rng = random.Random(6)
+    vocab = words(rng, 3000)
+    rows = []
+    for i in range(0, 800, 2):
+        w = rng.sample(vocab, 60)
+        rows += [(i, " ".join(w), "en", "s"), (i + 1, " ".join(w[:54] + rng.sample(vocab, 6)), "en", "s")]
+    fp, _ = op3.fingerprints(*flat(pa.array([r[1] for r in rows])))
+    met = [{(j, int(a)) for j in range(op3.BLOCKS) for a in op3.anchors((f[j // 2 :][:1] >> (31 * (j % 2))) & (2**31 - 1))[1]} for f in fp]
+    assert [i for i in range(0, 800, 2) if op3.distance(fp[i], fp[i + 1]) <= op3.MAX_DISTANCE and not met[i] & met[i + 1]]
+    root = brute_groups(list(range(800)), fp, op3.MAX_DISTANCE)
+    got = {r.doc_id for r in cp.near_duplicates(spark, frame(spark, rows), str(tmp_path)).collect()}
+    assert got == {i for i in range(800) if root[i] == i}
+
+
 def test_awkward_rows(spark, tmp_path):
     docs = frame(spark, AWKWARD)
     spark.createDataFrame([(5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))

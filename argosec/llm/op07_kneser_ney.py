@@ -2,9 +2,11 @@
 
 Tokens are lower-cased words and runs of signs. Every trusted document (labelled quality 1 and toxic 0) is used once, by a hash of its
 doc_id: one half of them is counted, all of it, and the other gives the thresholds, as a document that was counted itself
-looks less surprising than it is. (`max_train_docs`, if given, bounds the counted ones of each language.) Counts, continuation counts, discounts and
-back-off weights are joins and aggregates over tables sharded by n-gram hash; the finished
-shards, ranges of keys in order and of SHARD_ROWS n-grams at most on average, are written to the shared folder. Scoring joins the n-grams of
+looks less surprising than it is. (`max_train_docs`, if given, bounds the counted ones of each language.) Each task counts the trigrams of
+some COUNT_TOKENS tokens and sends them, as packed places in a list of their words, to the range of hashes of their first bigram, where counts, and the totals and
+kinds of what follows each bigram, are whole; then, when those shuffle files are gone, once more to the range of their last bigram, for continuation counts. The
+model holds whole numbers, of which a worker works out shares and back-off weights for the n-grams it asks for. A shard is a range of hashes of SHARD_ROWS trigrams
+at most on average, written to the shared folder, and removed once all is scored. Scoring joins the n-grams of
 a block of documents (BLOCK_TOKENS tokens, or one longer document) with the shards one after the other, so that a worker
 holds a block and a shard, however large the model; a model of up to KEPT_ROWS n-grams is kept in the worker instead of
 being read for each block. Both give the same perplexities.
@@ -24,6 +26,8 @@ and a doc_id with contradicting labels is not trusted.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,136 +36,352 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from argosec.llm.shared import keep, new_path, stash, worker_fs
-from argosec.llm.textvec import chunks, flat, grams, tokenize
+from argosec.llm.shared import drop_path, drop_stash, keep, new_path, stash, worker_fs
+from argosec.llm.textvec import _TOKEN_MUL, chunks, flat, grams, mix64, tokenize
+from argosec.storage import release_shuffles, write_text
 
 MAX_TRAIN_DOCS = None  # no bound
 QUANTILE, SLACK, LEAST = 0.998, 5.0, 50
-SHARD_ROWS, KEPT_ROWS, BLOCK_TOKENS = 250_000, 2_000_000, 500_000
+SHARD_ROWS, KEPT_ROWS, BLOCK_TOKENS, COUNT_TOKENS = 250_000, 2_000_000, 1_000_000, 1_500_000
+SHARD_BYTES = 5  # of text for each trigram of a shard, at least
+RANGE_BITS = 16  # of a key that name its range
+TABLES = {2: ("bi",), 3: ("tri", "ctx")}
+COUNTS = ("n", "total", "n1", "n2", "n3")
+
+
+def _pack(*cols: np.ndarray) -> bytes:
+    """Columns of whole numbers of one length: each in the fewest bytes of 1, 2, 4 or 8, by planes of bytes, compressed."""
+    out = [np.array([len(cols[0]), len(cols)], np.int64).tobytes()]
+    for c in cols:
+        c = c.view(np.uint64) if c.dtype.itemsize == 8 else c.astype(np.uint64)
+        width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(c) or int(c.max()) < 1 << 8 * w)
+        planes = c.view(np.uint8).reshape(len(c), 8).T[:width]
+        out += [bytes([width]), planes.tobytes()]
+    raw = b"".join(out)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    """The columns of _pack."""
+    raw = np.frombuffer(pa.Codec("zstd").decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little")), np.uint8)
+    (n, k), at, out = raw[:16].view(np.int64).tolist(), 16, []
+    for _ in range(k):
+        width = int(raw[at])
+        planes = raw[at + 1 : at + 1 + n * width].reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(f"u{width}"))
+        at += 1 + n * width
+    return out
+
+
+def _gram(*words: np.ndarray) -> np.ndarray:
+    """The hash that `grams` gives to these words in a row."""
+    acc = words[-1]
+    for w in words[-2::-1]:
+        acc = w + acc * np.uint64(_TOKEN_MUL)
+    return mix64(acc, len(words))
+
+
+def _tri(two: np.ndarray, three: np.ndarray) -> np.ndarray:
+    """Key of a trigram: the upper bits of its first bigram's hash, so that both lie in one range, and the rest from its own hash."""
+    low = np.uint64(RANGE_BITS)
+    return (two >> (np.uint64(64) - low) << (np.uint64(64) - low)) | (three >> low)
+
+
+def _range(key: np.ndarray, n: int) -> np.ndarray:
+    """Which of n even ranges a hash lies in."""
+    return ((key >> np.uint64(64 - RANGE_BITS)) * np.uint64(n)) >> np.uint64(RANGE_BITS)
+
+
+def _first(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the keys, and where in it each distinct key begins."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    return order, np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
+
+
+def _cuts(group: np.ndarray) -> list[tuple[int, int, int]]:
+    """(group, from, to) of a column in order."""
+    at = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True]))) if len(group) else np.zeros(1, np.int64)
+    return [(int(group[a]), int(a), int(z)) for a, z in zip(at, at[1:])]
+
+
+def _count_grams(shards: int, groups: int, ends: bool):
+    """(grp, words, data) of some documents: their distinct trigrams with counts to the group of their first bigram; with `ends`, without counts to the group of their last one, and the words to groups of their own."""
+
+    def count(hashes, sizes):
+        h, n = np.concatenate(hashes), np.concatenate(sizes)
+        row = np.repeat(np.arange(len(n)), n)
+        ok = np.flatnonzero(row[2:] == row[:-2]) if len(h) > 2 else np.zeros(0, np.int64)
+        del row
+        got = []
+        order, at = _first(_tri(grams(h, 2)[ok], grams(h, 3)[ok])) if len(ok) else (ok, ok)
+        of, times = ok[order[at]], np.diff(np.append(at, len(order)))
+        cols = h[of], h[of + 1], h[of + 2]
+        grp = _range(_gram(*cols[ends : ends + 2]), shards) * np.uint64(groups) // np.uint64(shards)
+        order = np.argsort(grp, kind="stable")
+        for g, a, z in _cuts(grp[order]):
+            i = order[a:z]
+            names, at = np.unique(np.concatenate([c[i] for c in cols]), return_inverse=True)
+            x, y, t = at.reshape(3, -1)
+            by = np.lexsort((t, y, x))
+            data = _pack(x[by], y[by], t[by], *(() if ends else (times[i][by],)))
+            got.append((g, False, len(data).to_bytes(8, "little") + data + _pack(names)))
+        if ends:
+            word = np.unique(h)
+            got += [(g, True, _pack(word[a:z])) for g, a, z in _cuts(_range(word, groups))]
+        return pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.int32(), pa.bool_(), pa.binary()))], ["grp", "words", "data"])
+
+    def run(batches):
+        hashes, sizes, held = [], [], 0
+        for b in batches:
+            data, off = flat(pc.utf8_lower(b.column(0)))
+            for a, z in chunks(off):
+                t = tokenize(data[off[a] : off[z]], off[a : z + 1] - off[a], by_space=False)
+                hashes.append(t.hash)
+                sizes.append(np.diff(t.first))
+                held += len(t.hash)
+                if held >= COUNT_TOKENS:
+                    yield count(hashes, sizes)
+                    hashes, sizes, held = [], [], 0
+        if held:
+            yield count(hashes, sizes)
+
+    return run
 
 
-def _count_grams(batches):
-    """(k, gram, a, b, n) of a batch: words; bigrams that end a trigram, with their words; trigrams, with the bigrams that begin and end them."""
+def _counted(batches, cols: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(columns of the trigrams, words) of all that was counted for a group."""
+    found, own = [[np.zeros(0, np.uint64)] for _ in range(cols)], [np.zeros(0, np.uint64)]
     for b in batches:
-        data, off = flat(pc.utf8_lower(b.column(0)))
-        for a, z in chunks(off):
-            t = tokenize(data[off[a] : off[z]], off[a : z + 1] - off[a], by_space=False)
-            h, row = t.hash, t.row_of()
-            found = [(1, h, h, h)]
-            if len(h) > 2:
-                ok = row[2:] == row[:-2]
-                two = grams(h, 2)
-                found += [(2, two[1:][ok], h[1:-1][ok], h[2:][ok]), (3, grams(h, 3)[ok], two[:-1][ok], two[1:][ok])]
-            for k, gram, *of in found:
-                gram, at, n = np.unique(gram, return_index=True, return_counts=True)
-                cols = [c.view(np.int64) for c in (gram, *(c[at] for c in of))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), *map(pa.array, cols), pa.array(n.astype(np.int64))], ["k", "gram", "a", "b", "n"])
-
-
-def _discounts(c: DataFrame, by: str) -> list[float]:
+        for words, data in zip(b.column(1).to_pylist(), b.column(2)):
+            data = data.as_py()
+            if words:
+                own.append(_unpack(data)[0])
+                continue
+            n = int.from_bytes(data[:8], "little")
+            got, names = _unpack(data[8 : 8 + n]), _unpack(data[8 + n :])[0].astype(np.uint64)
+            for k, c in enumerate(got):
+                found[k].append(names[c] if k < 3 else c.astype(np.uint64))
+    return [np.concatenate(c) for c in found], own
+
+
+def _rows(shards: int, schema: pa.Schema, tables: dict, more: dict):
+    """A row a shard: of each table (key in order, more columns) its keys and its packed rest; the first row has `more`."""
+    parts: dict[int, dict] = {}
+    for name, (key, *cols) in tables.items():
+        for s, a, z in _cuts(_range(key, shards)):
+            parts.setdefault(s, {}).update({name: key[a:z].tobytes(), f"{name}_n": _pack(*(c[a:z] for c in cols))})
+    rows = [{"shard": s, **parts[s]} for s in sorted(parts)] or [{"shard": None}]
+    rows[0] |= more
+    yield from (pa.RecordBatch.from_pylist([r], schema=schema) for r in rows)
+
+
+def _contexts(shards: int):
+    """Trigrams and their counts, and what follows each of their first bigrams."""
+
+    def run(batches):
+        (u, v, w, n), _ = _counted(batches, 4)
+        uv = _gram(u, v)
+        tri = _tri(uv, _gram(u, v, w))
+        del u, v, w
+        order, at = _first(tri)
+        tri, uv, n = tri[order[at]], uv[order[at]], np.add.reduceat(n[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+        order, at = _first(uv)
+        ctx = (uv[order[at]], *_follow(n[order], at))
+        yield from _rows(shards, _ARROW, {"tri": (tri, n), "ctx": ctx}, {"stats": [*_first_counts(n), len(tri) + len(at)]})
+
+    return run
+
+
+def _ends(shards: int):
+    """Bigrams that end a trigram, by the number of different words before them; words as the end of bigrams, as what they begin with, and all there are."""
+
+    def run(batches):
+        (u, v, w), own = _counted(batches, 3)
+        of = np.unique(_tri(_gram(u, v), _gram(u, v, w)), return_index=True)[1]
+        v, w = v[of], w[of]
+        vw = _gram(v, w)
+        order, at = _first(vw)
+        bi, m, v, w = vw[order[at]], np.diff(np.append(at, len(order))), v[order[at]], w[order[at]]
+        end, ends = np.unique(w, return_counts=True)
+        order, at = _first(v)
+        begin, follow = v[order[at]], _follow(m[order], at)
+        words = np.unique(np.concatenate([*own, end, begin]))
+        cols = [np.zeros(len(words), np.int64) for _ in COUNTS]
+        cols[0][np.searchsorted(words, end)] = ends
+        for c, x in zip(cols[1:], follow):
+            c[np.searchsorted(words, begin)] = x
+        yield from _rows(shards, _ARROW, {"bi": (bi, m)}, {"word": _pack(words, *cols), "stats": [*_first_counts(m), len(bi)]})
+
+    return run
+
+
+_SHARD = "shard int, tri binary, tri_n binary, ctx binary, ctx_n binary, bi binary, bi_n binary, word binary, stats array<bigint>"
+_ARROW = pa.schema([("shard", pa.int32()), *((c, pa.binary()) for c in ("tri", "tri_n", "ctx", "ctx_n", "bi", "bi_n", "word")), ("stats", pa.list_(pa.int64()))])
+
+
+def _first_counts(n: np.ndarray) -> list[int]:
+    return [int((n == i).sum()) for i in (1, 2, 3, 4)]
+
+
+def _follow(n: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Total of the counts n of each run that begins at `at`, and how many of them are 1, 2, and 3 or more."""
+    return [np.add.reduceat(x.astype(np.int64), at) if len(at) else np.zeros(0, np.int64) for x in (n, n == 1, n == 2, n > 2)]
+
+
+def _word_rows(batches):
+    for b in batches:
+        for data in b.column(0):
+            cols = _unpack(data.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.uint64).view(np.int64)), *(pa.array(c.astype(np.int64)) for c in cols[1:])], ["word", *COUNTS])
+
+
+def _discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more, from the counts of counts."""
-    n = {r[by]: r["x"] for r in c.where(F.col(by) <= 4).groupBy(by).agg(F.count("*").alias("x")).collect()}
-    n1, n2, n3, n4 = (n.get(i, 0) for i in (1, 2, 3, 4))
     y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
     raw = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
     return [min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw)]
 
 
-def _weights(c: DataFrame, gram: str, ctx: str, n: str, d: list[float]) -> tuple[DataFrame, DataFrame]:
-    """(key, value) of the discounted share of each n-gram, and of the back-off weight of each context."""
-    disc = F.when(F.col(n) == 1, d[0]).when(F.col(n) == 2, d[1]).otherwise(d[2])
-    per = c.groupBy(ctx).agg(F.sum(n).alias("total"), F.sum(disc).alias("held"))
-    share = c.join(per, ctx).select(F.col(gram).alias("key"), ((F.col(n) - disc) / F.col("total")).alias("value"))
-    return share, per.select(F.col(ctx).alias("key"), (F.col("held") / F.col("total")).alias("value"))
-
-
 def fit(trusted: DataFrame) -> str:
     """Train on the column text of a table; returns the folder of the model."""
     spark = trusted.sparkSession
-    c = trusted.select(F.col("text").cast("string")).mapInArrow(_count_grams, "k int, gram long, a long, b long, n long")
-    c = stash(c.groupBy("k", "gram").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.sum("n").alias("n")), "grams")
-    tri = c.where("k = 3").select("gram", F.col("a").alias("ctx"), "b", "n")
-    none = F.lit(None).cast("long")
-    bi = c.where("k = 2").select("gram", "a", "b", F.lit(0).alias("n")).union(tri.select("b", none, none, F.lit(1)))
-    bi = stash(bi.groupBy("gram").agg(F.first("a", True).alias("ctx"), F.first("b", True).alias("word"), F.sum("n").alias("n")), "grams")
-    uni = bi.groupBy("word").agg(F.count("*").alias("n"))
-    words = c.where("k = 1").select(F.col("gram").alias("word"))
-    uni = stash(words.join(uni, "word", "left").select("word", F.coalesce("n", F.lit(1)).alias("n"), F.lit(0).alias("ctx")), "grams")
-    path = new_path(spark, "kneser-ney")
-    none = F.lit(None).cast("double")
-    # a level holds the n-grams of an order: their share, and what backs off where they are the context
-    shares, backs = {}, {}
-    for k, t, gram in ((3, tri, "gram"), (2, bi, "gram"), (1, uni, "word")):
-        shares[k], backs[k - 1] = _weights(t, gram, "ctx", "n", _discounts(t, "n"))
-    backs[0].select(F.lit(0).cast("long").alias("key"), F.lit(0.0).cast("float").alias("share"), F.col("value").cast("float").alias("back")).coalesce(1).write.parquet(f"{path}/0")
-    for k in (1, 2, 3):
-        rows = shares[k].select("key", F.col("value").alias("share"), none.alias("back"))
-        if k in backs:
-            rows = rows.union(backs[k].select("key", none, "value")).groupBy("key").agg(F.max("share").alias("share"), F.max("back").alias("back"))
-        rows = rows.select("key", F.coalesce("share", F.lit(0.0)).cast("float").alias("share"), F.coalesce("back", F.lit(1.0)).cast("float").alias("back"))
-        n = max(1, -(-(bi if k == 2 else tri if k == 3 else uni).count() // SHARD_ROWS))
-        part = F.least(F.lit(n - 1), ((F.col("key") / 2.0**64 + 0.5) * n).cast("int"))  # keys are hashes, so ranges of them are even
-        rows.repartitionById(n, part).sortWithinPartitions("key").write.parquet(f"{path}/{k}")
+    text = trusted.select(F.col("text").cast("string").alias("text"))
+    size = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = min(1 << RANGE_BITS, max(1, -(-size // (SHARD_ROWS * SHARD_BYTES))))
+    groups = -(-shards // 2)
+    path, stats = new_path(spark, "kneser-ney"), {}
+    for k, make in ((3, _contexts), (2, _ends)):  # one after the other, so that only one of the shuffles is on disk
+        counted = text.mapInArrow(_count_grams(shards, groups, k == 2), "grp int, words boolean, data binary").repartitionById(groups, "grp")
+        release_shuffles(spark, lambda x=counted.mapInArrow(make(shards), _SHARD), k=k: x.write.option("compression", "uncompressed").parquet(f"{path}/{k}"))
+        made = spark.read.schema(_SHARD).parquet(f"{path}/{k}")
+        stats[k] = [x or 0 for x in made.agg(*(F.sum(F.col("stats")[i]) for i in range(5))).first()]
+    words = made.where("word is not null").select("word").mapInArrow(_word_rows, ", ".join(f"{c} long" for c in ("word", *COUNTS)))
+    uni = stash(words.groupBy("word").agg(F.greatest(F.sum("n"), F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in COUNTS[1:])), "words")
+    of = uni.agg(F.count("*"), F.sum("n"), *(F.count_if(F.col("n") == i) for i in (1, 2, 3, 4))).first()
+    n = max(1, -(-of[0] // SHARD_ROWS))
+    part = F.least(F.lit(n - 1), ((F.col("word") / 2.0**64 + 0.5) * n).cast("int"))  # words are hashes, so ranges of them are even
+    release_shuffles(spark, lambda: uni.repartitionById(n, part).sortWithinPartitions("word").write.parquet(f"{path}/1"))
+    drop_stash(uni)
+    d = {1: _discounts(*of[2:]), **{k: _discounts(*x[:4]) for k, x in stats.items()}}
+    held = sum(c * x for c, x in zip((of[2], of[3], of[0] - of[2] - of[3]), d[1]))
+    meta = {"shards": shards, "words": of[0], "rows": of[0] + sum(x[4] for x in stats.values()), "total": of[1] or 0, "floor": (held / of[1] if of[0] else 1.0) / (of[0] + 1), "discounts": d}
+    write_text(spark, f"{path}/model.json", json.dumps(meta))
     return path
 
 
 class Model:
-    """The shards of each order: files sorted by key, read one after the other; all of them are kept while they have no more than KEPT_ROWS rows."""
+    """The shards of each order, read one after the other; all of them are kept while they have no more than KEPT_ROWS rows.
+
+    Order 1 is the words in order, as they end bigrams (n) and as what follows them adds up (total, n1, n2, n3). A shard of orders 2 and 3 is a range of hashes
+    of bigrams: as the end of trigrams (order 2); what follows a bigram, and the trigrams that begin with it (order 3).
+    """
 
     def __init__(self, path: str):
         self.fs, bare = worker_fs(path)
         self.files: dict[int, list[str]] = {}
-        rows = 0
-        for k in range(4):
+        for k in (1, 2, 3):
             found = self.fs.get_file_info(pafs.FileSelector(f"{bare}/{k}"))
             self.files[k] = sorted(f.path for f in found if f.path.endswith(".parquet"))
-            for f in self.files[k]:
-                with self.fs.open_input_file(f) as h:
-                    rows += pq.read_metadata(h).num_rows
-        self.keep = rows <= KEPT_ROWS
-        self.held: dict[str, tuple] = {}
-        unk = np.concatenate([np.zeros(0, np.float32), *(s[2] for s in self.shards(0))])
-        words = sum(len(s[0]) for s in self.shards(1))
-        self.floor = (float(unk[0]) if len(unk) else 1.0) / (words + 1)
+        with self.fs.open_input_stream(f"{bare}/model.json") as h:
+            meta = json.loads(h.read())
+        self.n_shards, self.total, self.floor = meta["shards"], meta["total"], meta["floor"]
+        self.discounts = {int(k): np.array([0.0, *d]) for k, d in meta["discounts"].items()}
+        self.keep = meta["rows"] <= KEPT_ROWS
+        self.held: dict[str, list] = {}
+        if self.keep:
+            for k in self.files:
+                list(self.shards(k))
 
     def shards(self, k: int):
-        """(keys in order, shares, back-off weights) of each shard of an order."""
+        """Order 1: (words in order, n, total, n1, n2, n3). Orders 2 and 3: (shard, of each of its tables the keys in order and its other columns)."""
         for f in self.files[k]:
             got = self.held.get(f)
             if got is None:
                 with self.fs.open_input_file(f) as h:
-                    t = pq.read_table(h, columns=["key", "share", "back"])
-                got = tuple(c.combine_chunks().to_numpy() if c.num_chunks else np.zeros(0, kind) for c, kind in zip(t.columns, (np.int64, np.float32, np.float32)))
+                    t = pq.read_table(h, columns=["word", *COUNTS] if k == 1 else ["shard", *(c + n for c in TABLES[k] for n in ("", "_n"))])
+                if k == 1:
+                    got = [tuple(c.combine_chunks().to_numpy() if c.num_chunks else np.zeros(0, np.int64) for c in t.columns)]
+                else:
+                    cell = lambda i, c: t.column(c)[i].as_buffer()  # noqa: B023, E731
+                    table = lambda i, c: (np.frombuffer(cell(i, c), np.uint64), *_unpack(cell(i, f"{c}_n"))) if t.column(c)[i].is_valid else None  # noqa: B023, E731
+                    got = [(s, *(table(i, c) for c in TABLES[k])) for i, s in enumerate(t.column("shard").to_pylist()) if s is not None]
                 if self.keep:
                     self.held[f] = got
-            yield got
+            yield from got
 
-    def find(self, k: int, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Share and back-off weight of each n-gram of order k; a merge of the distinct n-grams with each shard."""
-        keys, at = np.unique(q.view(np.int64), return_inverse=True)
-        share, back = np.zeros(len(keys)), np.ones(len(keys))
-        for own, s, b in self.shards(k):
+    def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Share of each word, total of what follows it, and its back-off weight; 0 of those that are not known."""
+        keys, at = np.unique(h.view(np.int64), return_inverse=True)
+        out = [np.zeros(len(keys), np.float32) for _ in range(3)]
+        for own, n, *follow in self.shards(1):
             if len(own):
                 lo, hi = np.searchsorted(keys, own[0]), np.searchsorted(keys, own[-1], "right")
-                i = np.searchsorted(own, keys[lo:hi])
-                hit = own[i] == keys[lo:hi]
-                share[lo:hi][hit], back[lo:hi][hit] = s[i[hit]], b[i[hit]]
-        return share[at], back[at]
+                to, i = _hits(lo, keys[lo:hi], own)
+                out[0][to] = self._share(1, n[i], self.total)
+                out[1][to], out[2][to] = self._follow(2, [c[i] for c in follow])
+        return tuple(x[at] for x in out)
+
+    def find(self, two: np.ndarray, tri: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each bigram the discounted number of words before it, the total of what follows it, and its back-off weight; the discounted count of each trigram."""
+        keys, at = np.unique(two, return_inverse=True)
+        of = _range(keys, self.n_shards).astype(np.int32)
+        ends, total, back = (np.zeros(len(keys), np.float32) for _ in range(3))
+        order = np.argsort(tri)
+        tri = tri[order]
+        tri_of, found = _range(tri, self.n_shards).astype(np.int32), np.zeros(len(tri), np.float32)
+        for s, bi in self.shards(2):
+            lo, hi = np.searchsorted(of, [s, s + 1])
+            if bi is not None:
+                to, i = _hits(lo, keys[lo:hi], bi[0])
+                ends[to] = self._share(2, bi[1][i], 1)
+        for s, own, ctx in self.shards(3):
+            lo, hi = np.searchsorted(of, [s, s + 1])
+            if ctx is not None:
+                to, i = _hits(lo, keys[lo:hi], ctx[0])
+                total[to], back[to] = self._follow(3, [c[i] for c in ctx[1:]])
+            lo, hi = np.searchsorted(tri_of, [s, s + 1])
+            if own is not None:
+                to, i = _hits(lo, tri[lo:hi], own[0])
+                found[to] = self._share(3, own[1][i], 1)
+        count = np.zeros(len(tri), np.float32)
+        count[order] = found
+        return ends[at], total[at], back[at], count
 
     def log2(self, h: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Log probability of each token given the two before it in its row."""
-        p, back1 = self.find(1, h)
+        p, total1, back1 = self.words(h)
         p = p + self.floor
         if len(h) > 1:
-            share, back2 = self.find(2, grams(h, 2))
+            two = grams(h, 2)
+            ok = np.flatnonzero(row[2:] == row[:-2])
+            ends, total2, back2, count = self.find(two, _tri(two[ok], grams(h, 3)[ok]) if len(ok) else two[:0])
+            i = np.flatnonzero((row[1:] == row[:-1]) & (total1[:-1] > 0))
             bi = p.copy()
-            bi[1:] = np.where(row[1:] == row[:-1], share + back1[:-1] * p[1:], p[1:])
-            if len(h) > 2:
-                share, _ = self.find(3, grams(h, 3))
-                bi[2:] = np.where(row[2:] == row[:-2], share + back2[:-1] * bi[2:], bi[2:])
-            p = bi
+            bi[i + 1] = ends[i] / total1[i].astype(np.float64) + back1[i] * p[i + 1]
+            known = total2[ok] > 0
+            ok, count = ok[known], count[known]
+            p = bi.copy()
+            p[ok + 2] = count / total2[ok].astype(np.float64) + back2[ok] * bi[ok + 2]
         return np.log2(p)
 
+    def _share(self, k: int, n: np.ndarray, total) -> np.ndarray:
+        return (n - self.discounts[k][np.minimum(n, 3)]) / max(total, 1)
+
+    def _follow(self, k: int, follow: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Total and back-off weight of contexts, from the total and the numbers of counts 1, 2, and 3 or more."""
+        total, *n = follow
+        return total, sum(x * d for x, d in zip(n, self.discounts[k][1:])) / np.maximum(total, 1)
+
+
+def _hits(lo: int, keys: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places from lo on of those keys that a table in order has, and their rows in it."""
+    if not len(keys) or not len(own):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+    hit = np.flatnonzero(own[i] == keys)
+    return lo + hit, i[hit]
+
 
 def model(path: str) -> Model:
     return keep("kneser-ney", "model", path, lambda: Model(path))
@@ -240,7 +460,9 @@ def classify(docs: DataFrame, labels: DataFrame, max_train_docs: int | None = MA
     """(doc_id, lang, n_tokens, perplexity, threshold, keep) for each row of docs."""
     path, trusted, sample = train(docs, labels, max_train_docs)
     scored = perplexity(docs, path).withColumnsRenamed({"doc_id": "__id", "lang": "__lang", "n_tokens": "__n_tokens", "surprisal": "__surprisal"})
-    out = judge(stash(scored, "perplexity"), trusted, sample, quantile, slack, least)
+    scored = stash(scored, "perplexity")
+    drop_path(docs.sparkSession, path)
+    out = judge(scored, trusted, sample, quantile, slack, least)
     return out.select(F.col("__id").alias("doc_id"), F.col("__lang").alias("lang"), F.col("__n_tokens").alias("n_tokens"), F.pow(F.lit(2.0), "__surprisal").alias("perplexity"), F.col("__limit").alias("threshold"), F.col("__keep").alias("keep"))
 
 
@@ -256,5 +478,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_train_docs: int | None = M
     use = use.select(*(F.col(f"`{c}`") for c in names), "__text")
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in [*names, *["__text"] * same]), "__n_tokens long", "__surprisal double"])
     scored = stash(use.mapInArrow(_score(path, 0 if same else 1), schema), "scored")
+    drop_path(docs.sparkSession, path)
     out = judge(scored, trusted, sample, quantile, slack, least).where("__keep")
     return out.select(*(F.col("__text").alias("text") if same and c == "text" else F.col(f"`{c}`") for c in docs.columns))

@@ -8,6 +8,8 @@ import uuid
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; an own folder only in local mode, where it is unset."""
@@ -27,10 +29,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/argosec/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def release_shuffles(spark: SparkSession, run):
+    """run(), whose queries remove their shuffle files as they end and not when the driver collects its garbage."""
+    before = spark.conf.get(_RELEASE, None)
+    spark.conf.set(_RELEASE, "true")
+    try:
+        return run()
+    finally:
+        spark.conf.set(_RELEASE, before) if before is not None else spark.conf.unset(_RELEASE)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    release_shuffles(df.sparkSession, lambda: df.write.parquet(path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -26,7 +27,7 @@ from argosec.llm import op07_kneser_ney as op7
 from argosec.llm import op08_warc as op8
 from argosec.llm import op09_chat as op9
 from argosec.llm import op10_threshold as op10
-from argosec.llm.shared import components
+from argosec.llm.shared import components, shared_dir
 from argosec.llm.textvec import HashIndex, count_words, flat, grams, mix64, sliding, tokenize
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -790,6 +791,36 @@ def test_no_trusted_document_is_left_out(spark):
     assert set(np.flatnonzero(known)) == fitted and 1200 < len(fitted) < 1400 and trusted.count() == n
 
 
+def test_counting_in_pieces_against_brute_force(spark, monkeypatch):
+    for name, v in (("SHARD_ROWS", 60), ("KEPT_ROWS", 0), ("COUNT_TOKENS", 50), ("BLOCK_TOKENS", 40)):
+        monkeypatch.setattr(op7, name, v)
+    rng = random.Random(15)
+    sents = [[rng.choice("abcdefg") + rng.choice("xyz") for _ in range(rng.randrange(1, 40))] for _ in range(60)]
+    path = op7.fit(spark.createDataFrame([(" ".join(s),) for s in sents], "text string").repartition(3))
+    tests = [["ax", "by", "new", "cx"], ["zz"], [], sents[0], sents[1] + sents[2]]
+    r = {x.doc_id: x.surprisal for x in op7.perplexity(frame(spark, [(i, " ".join(t), "en", "s") for i, t in enumerate(tests)]), path).collect()}
+    assert r[2] is None and all(abs(r[i] - brute_kn(sents, t)) < 1e-4 for i, t in enumerate(tests) if t) and len(op7.Model(path).files[2]) > 2
+
+
+def test_classifier_leaves_no_tables_behind(spark, labels):
+    folder = shared_dir(spark).removeprefix("file:") + "/argosec"
+    text = [(i, f"some words {i} here {i % 7} and there", "en", "s") for i in range(50)]
+    os.makedirs(folder, exist_ok=True)
+    before = set(os.listdir(folder))
+    op7.fit(frame(spark, text))
+    assert [n.split("-")[0] for n in set(os.listdir(folder)) - before] == ["kneser"]
+    before = set(os.listdir(folder))
+    assert op7.classify(frame(spark, text), labels).count() == op7.keep_good(frame(spark, text), labels).count() == 50
+    assert not [n for n in set(os.listdir(folder)) - before if n.startswith(("kneser", "grams", "words"))]
+
+
+def test_packed_columns():
+    rng = np.random.default_rng(4)
+    for cols in ([rng.integers(0, 2**64, 999, dtype=np.uint64), np.arange(999)], [np.zeros(0, np.int64)], [np.array([0, 255]), np.array([256, 65536]), np.array([2**32, 1])]):
+        got = op7._unpack(op7._pack(*cols))
+        assert all((g == c.astype(np.uint64)).all() and len(g) == len(c) for g, c in zip(got, cols)) and len(got) == len(cols)
+
+
 def test_decisions_belong_to_rows(spark):
     rng = random.Random(3)
     vocab = words(rng, 80)

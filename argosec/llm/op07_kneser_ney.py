@@ -42,10 +42,10 @@ from argosec.storage import release_shuffles, write_text
 
 MAX_TRAIN_DOCS = None  # no bound
 QUANTILE, SLACK, LEAST = 0.998, 5.0, 50
-SHARD_ROWS, KEPT_ROWS, BLOCK_TOKENS, COUNT_TOKENS = 250_000, 2_000_000, 1_000_000, 1_500_000
+SHARD_ROWS, KEPT_ROWS, BLOCK_TOKENS, COUNT_TOKENS = 250_000, 2_000_000, 700_000, 1_000_000
 SHARD_BYTES = 5  # of text for each trigram of a shard, at least
 RANGE_BITS = 16  # of a key that name its range
-TABLES = {2: ("bi",), 3: ("tri", "ctx")}
+TABLES = {1: ("",), 2: ("bi",), 3: ("tri", "ctx")}
 COUNTS = ("n", "total", "n1", "n2", "n3")
 
 
@@ -110,7 +110,7 @@ def _count_grams(shards: int, groups: int, ends: bool):
 
     def count(hashes, sizes):
         h, n = np.concatenate(hashes), np.concatenate(sizes)
-        row = np.repeat(np.arange(len(n)), n)
+        row = np.repeat(np.arange(len(n), dtype=np.int32), n)
         ok = np.flatnonzero(row[2:] == row[:-2]) if len(h) > 2 else np.zeros(0, np.int64)
         del row
         got = []
@@ -288,81 +288,76 @@ class Model:
         self.n_shards, self.total, self.floor = meta["shards"], meta["total"], meta["floor"]
         self.discounts = {int(k): np.array([0.0, *d]) for k, d in meta["discounts"].items()}
         self.keep = meta["rows"] <= KEPT_ROWS
-        self.held: dict[str, list] = {}
+        self.held: dict[tuple[str, str], list] = {}
         if self.keep:
-            for k in self.files:
-                list(self.shards(k))
+            for k, tables in TABLES.items():
+                for table in tables:
+                    list(self.shards(k, table))
 
-    def shards(self, k: int):
-        """Order 1: (words in order, n, total, n1, n2, n3). Orders 2 and 3: (shard, of each of its tables the keys in order and its other columns)."""
+    def shards(self, k: int, table: str = ""):
+        """Order 1: (words in order, n, total, n1, n2, n3). Orders 2 and 3: (shard, keys in order and other columns of one of its tables, or None)."""
         for f in self.files[k]:
-            got = self.held.get(f)
+            got = self.held.get((f, table))
             if got is None:
                 with self.fs.open_input_file(f) as h:
-                    t = pq.read_table(h, columns=["word", *COUNTS] if k == 1 else ["shard", *(c + n for c in TABLES[k] for n in ("", "_n"))])
+                    t = pq.read_table(h, columns=["word", *COUNTS] if k == 1 else ["shard", table, f"{table}_n"])
                 if k == 1:
                     got = [tuple(c.combine_chunks().to_numpy() if c.num_chunks else np.zeros(0, np.int64) for c in t.columns)]
                 else:
-                    cell = lambda i, c: t.column(c)[i].as_buffer()  # noqa: B023, E731
-                    table = lambda i, c: (np.frombuffer(cell(i, c), np.uint64), *_unpack(cell(i, f"{c}_n"))) if t.column(c)[i].is_valid else None  # noqa: B023, E731
-                    got = [(s, *(table(i, c) for c in TABLES[k])) for i, s in enumerate(t.column("shard").to_pylist()) if s is not None]
+                    rows = zip(t.column("shard").to_pylist(), t.column(table), t.column(f"{table}_n"))
+                    got = [(s, (np.frombuffer(key.as_buffer(), np.uint64), *_unpack(rest.as_buffer())) if key.is_valid else None) for s, key, rest in rows if s is not None]
                 if self.keep:
-                    self.held[f] = got
+                    self.held[f, table] = got
             yield from got
 
-    def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, h: np.ndarray) -> list[np.ndarray]:
         """Share of each word, total of what follows it, and its back-off weight; 0 of those that are not known."""
-        keys, at = np.unique(h.view(np.int64), return_inverse=True)
-        out = [np.zeros(len(keys), np.float32) for _ in range(3)]
+        q = h.view(np.int64)
+        order = np.argsort(q).astype(np.int32)
+        q = q[order]
+        out = [np.zeros(len(q), np.float32) for _ in range(3)]
         for own, n, *follow in self.shards(1):
             if len(own):
-                lo, hi = np.searchsorted(keys, own[0]), np.searchsorted(keys, own[-1], "right")
-                to, i = _hits(lo, keys[lo:hi], own)
+                lo, hi = np.searchsorted(q, own[0]), np.searchsorted(q, own[-1], "right")
+                to, i = _hits(lo, q[lo:hi], own)
                 out[0][to] = self._share(1, n[i], self.total)
                 out[1][to], out[2][to] = self._follow(2, [c[i] for c in follow])
-        return tuple(x[at] for x in out)
-
-    def find(self, two: np.ndarray, tri: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each bigram the discounted number of words before it, the total of what follows it, and its back-off weight; the discounted count of each trigram."""
-        keys, at = np.unique(two, return_inverse=True)
-        of = _range(keys, self.n_shards).astype(np.int32)
-        ends, total, back = (np.zeros(len(keys), np.float32) for _ in range(3))
-        order = np.argsort(tri)
-        tri = tri[order]
-        tri_of, found = _range(tri, self.n_shards).astype(np.int32), np.zeros(len(tri), np.float32)
-        for s, bi in self.shards(2):
+        return [_back(order, x) for x in out]
+
+    def find(self, k: int, table: str, q: np.ndarray) -> list[np.ndarray]:
+        """Of each key, by a merge with each shard: of ends of trigrams (bi) and of trigrams (tri) the discounted number, of contexts (ctx) the total of what follows and the back-off weight; 0 if not known."""
+        order = np.argsort(q).astype(np.int32)
+        q = q[order]
+        of = _range(q, self.n_shards).astype(np.int32)
+        out = [np.zeros(len(q), np.float32) for _ in range(1 + (table == "ctx"))]
+        for s, own in self.shards(k, table):
             lo, hi = np.searchsorted(of, [s, s + 1])
-            if bi is not None:
-                to, i = _hits(lo, keys[lo:hi], bi[0])
-                ends[to] = self._share(2, bi[1][i], 1)
-        for s, own, ctx in self.shards(3):
-            lo, hi = np.searchsorted(of, [s, s + 1])
-            if ctx is not None:
-                to, i = _hits(lo, keys[lo:hi], ctx[0])
-                total[to], back[to] = self._follow(3, [c[i] for c in ctx[1:]])
-            lo, hi = np.searchsorted(tri_of, [s, s + 1])
-            if own is not None:
-                to, i = _hits(lo, tri[lo:hi], own[0])
-                found[to] = self._share(3, own[1][i], 1)
-        count = np.zeros(len(tri), np.float32)
-        count[order] = found
-        return ends[at], total[at], back[at], count
+            if own is not None and lo < hi:
+                to, i = _hits(lo, q[lo:hi], own[0])
+                if table == "ctx":
+                    out[0][to], out[1][to] = self._follow(3, [c[i] for c in own[1:]])
+                else:
+                    out[0][to] = self._share(k, own[1][i], 1)
+        return [_back(order, x) for x in out]
 
     def log2(self, h: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Log probability of each token given the two before it in its row."""
-        p, total1, back1 = self.words(h)
-        p = p + self.floor
+        share, total, back = self.words(h)
+        p = share + self.floor
         if len(h) > 1:
             two = grams(h, 2)
-            ok = np.flatnonzero(row[2:] == row[:-2])
-            ends, total2, back2, count = self.find(two, _tri(two[ok], grams(h, 3)[ok]) if len(ok) else two[:0])
-            i = np.flatnonzero((row[1:] == row[:-1]) & (total1[:-1] > 0))
-            bi = p.copy()
-            bi[i + 1] = ends[i] / total1[i].astype(np.float64) + back1[i] * p[i + 1]
-            known = total2[ok] > 0
-            ok, count = ok[known], count[known]
-            p = bi.copy()
-            p[ok + 2] = count / total2[ok].astype(np.float64) + back2[ok] * bi[ok + 2]
+            lower = p[1:]
+            ok = (row[1:] == row[:-1]) & (total[:-1] > 0)
+            (ends,) = self.find(2, "bi", two)
+            p[1:] = np.where(ok, ends / np.maximum(total[:-1], 1).astype(np.float64) + back[:-1] * lower, lower)
+            del share, ends, total, back, lower
+            total, back = self.find(3, "ctx", two)
+            ok = np.flatnonzero((row[2:] == row[:-2]) & (total[:-1] > 0)).astype(np.int32)
+            if len(ok):
+                key = _tri(two[ok], grams(h, 3)[ok])
+                del two
+                (count,) = self.find(3, "tri", key)
+                p[ok + 2] = count / total[ok].astype(np.float64) + back[ok] * p[ok + 2]
         return np.log2(p)
 
     def _share(self, k: int, n: np.ndarray, total) -> np.ndarray:
@@ -374,6 +369,13 @@ class Model:
         return total, sum(x * d for x, d in zip(n, self.discounts[k][1:])) / np.maximum(total, 1)
 
 
+def _back(order: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """x in the order before it was sorted."""
+    out = np.empty_like(x)
+    out[order] = x
+    return out
+
+
 def _hits(lo: int, keys: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places from lo on of those keys that a table in order has, and their rows in it."""
     if not len(keys) or not len(own):
@@ -399,8 +401,10 @@ def _blocks(batches):
             sizes.append(np.diff(t.first))
             n += len(t.hash)
             if n >= BLOCK_TOKENS:
-                yield held, np.concatenate(hashes), np.concatenate(sizes)
+                block = held, np.concatenate(hashes), np.concatenate(sizes)
                 held, hashes, sizes, n = [], [], [], 0
+                yield block
+                del block
     if held:
         yield held, np.concatenate(hashes), np.concatenate(sizes)
 
@@ -411,7 +415,7 @@ def _score(path: str, drop: int):
     def run(batches):
         m = model(path)
         for held, h, n in _blocks(batches):
-            row = np.repeat(np.arange(len(n)), n)
+            row = np.repeat(np.arange(len(n), dtype=np.int32), n)
             total = np.bincount(row, m.log2(h, row), minlength=len(n))
             at = 0
             for b in held:

@@ -8,9 +8,9 @@ import pyarrow.dataset as pads
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argosec.storage import new_path, shared_dir, spread, stash, worker_fs
+from argosec.storage import new_path, shared_dir, spread, stash, stash_alone, worker_fs
 
-__all__ = ["components", "drop_path", "drop_stash", "keep", "new_path", "shared_dir", "spread", "stash", "table", "worker_fs", "worker_table"]
+__all__ = ["components", "drop_path", "drop_stash", "keep", "new_path", "shared_dir", "spread", "stash", "stash_alone", "table", "worker_fs", "worker_table"]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

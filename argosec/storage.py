@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_MADE: ContextVar[list[str] | None] = ContextVar("_MADE", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,7 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/argosec/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/argosec/{name}-{uuid.uuid4().hex[:12]}"
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    return path
+
+
+def stash_alone(make, name: str) -> DataFrame:
+    """stash(make(), name); whatever else make() wrote to the shared folder is removed."""
+    token = _MADE.set(made := [])
+    try:
+        out = stash(make(), name)
+    finally:
+        _MADE.reset(token)
+    for path in made[:-1]:
+        remove(out.sparkSession, path)
+    return out
 
 
 def release_shuffles(spark: SparkSession, run):

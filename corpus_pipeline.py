@@ -1,6 +1,7 @@
 """From documents to token ids: five stages, each over all that the stage before kept.
 
-run(spark, sf_dir) writes the result of each stage to the shared folder and reads it again for the next.
+run(spark, sf_dir) writes the result of each stage to the shared folder and reads it again for the next; what a stage read or wrote on the way is
+removed once its result is written.
 
 Common to all stages: extra columns stay; texts of any length are taken whole; an empty table gives an empty one; decisions are taken on rows, so
 rows of a null or repeated doc_id are neither lost nor let through with another one's decision.
@@ -15,7 +16,7 @@ from argosec.llm.op02_cube import mix
 from argosec.llm.op03_simhash import deduplicate
 from argosec.llm.op06_bpe import encode
 from argosec.llm.op07_kneser_ney import keep_good
-from argosec.llm.shared import stash, table
+from argosec.llm.shared import drop_stash, stash_alone, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,6 +74,8 @@ ORACLE_SQL = None  # hashing, suffix order and the random draw have no SQL; test
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES):
+        before, docs = docs, stash_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if k:
+            drop_stash(before)
     return docs

@@ -2,9 +2,12 @@
 
 import base64
 import collections
+import glob
 import math
+import os
 import random
 import re
+import time
 
 import pyarrow as pa
 import pytest
@@ -17,7 +20,7 @@ from argosec.llm import op03_simhash as op3
 from argosec.llm import op06_bpe as op6
 from argosec.llm import op07_kneser_ney as op7
 from argosec.llm import queries
-from argosec.llm.shared import stash
+from argosec.llm.shared import shared_dir, stash
 from argosec.llm.textvec import flat
 
 from .test_operators import AWKWARD, DOCS, WORDS, brute_cube, brute_groups, brute_kn, frame, maximal_repeats, words
@@ -136,6 +139,27 @@ def test_near_duplicates_without_a_common_anchor(spark, tmp_path):
     assert got == {i for i in range(800) if root[i] == i}
 
 
+def test_run_leaves_its_result_only(spark, tmp_path):
+    frame(spark, planted(random.Random(9))[0]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(250)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    folder = shared_dir(spark).removeprefix("file:") + "/argosec"
+    os.makedirs(folder, exist_ok=True)
+    before = set(os.listdir(folder))
+    out = cp.run(spark, str(tmp_path))
+    assert [n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before] == ["bpe-encoding"] and out.count() > 0
+
+
+def test_writing_removes_shuffle_files(spark):
+    files = lambda: [f for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for f in glob.glob(d + "/*/shuffle_*")]
+    before = set(files())
+    stash(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count().repartition(2), "t")
+    for _ in range(50):
+        if not set(files()) - before:
+            break
+        time.sleep(0.1)
+    assert not set(files()) - before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_awkward_rows(spark, tmp_path):
     docs = frame(spark, AWKWARD)
     spark.createDataFrame([(5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))

@@ -29,12 +29,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from argosec.llm.shared import components, stash
+from argosec.llm.shared import components, keep, new_path, stash, worker_table
 from argosec.llm.textvec import chunks, flat, mix64, tokenize
 
 BLOCKS, BLOCK_BITS = 6, 31
 MAX_DISTANCE, CELL = 24, 4096
 SHARD, SHARD_OWN, KEY_BITS = 400_000, 16_384, 48
+IN_PLACE = 4_000_000  # hashes of rows, 32 MB
 _SPREAD: dict = {}
 
 
@@ -436,6 +437,33 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFr
     return groups(docs, max_distance)[0].drop("rid")
 
 
+def _has(path: str, name: str):
+    """Column function: whether a written list has a hash; a worker holds the list."""
+
+    def has(rid: pa.Array) -> pa.Array:
+        own = keep("simhash", name, path, lambda: np.sort(worker_table(path).column("rid").to_numpy()))
+        q = rid.to_numpy()
+        return pa.array(own[np.minimum(np.searchsorted(own, q), len(own) - 1)] == q)
+
+    return F.arrow_udf(has, "boolean")
+
+
+def _listed(x: DataFrame, rids: DataFrame, name: str, there: bool) -> DataFrame:
+    """Rows of x (__rid and more) whose hash is in the table (rid), or is not there.
+
+    Up to IN_PLACE hashes every worker holds the list, so that texts stay where they are; a longer one is joined, which shuffles them.
+    """
+    n = rids.count()
+    if not n:
+        return x.limit(0) if there else x
+    if n > IN_PLACE:
+        return x.join(rids.withColumnRenamed("rid", "__listed"), F.col("__rid") == F.col("__listed"), "left_semi" if there else "left_anti")
+    path = new_path(x.sparkSession, name)
+    rids.coalesce(1).write.parquet(path)
+    has = _has(path, name)(F.col("__rid"))
+    return x.where(has if there else ~has)
+
+
 def deduplicate(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """docs with one document of each group, and one row of each repeated one; columns and other rows are unchanged.
 
@@ -443,9 +471,9 @@ def deduplicate(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """
     found, rows = groups(docs, max_distance)
     x = docs.withColumn("__rid", _row_id(docs))
-    out = x.join(found.where("not keep").select(F.col("rid").alias("__gone")), F.col("__rid") == F.col("__gone"), "left_anti")
-    twice = stash(rows.groupBy(F.col("rid").alias("__twice")).count().where("count > 1").select("__twice"), "repeated")
+    out = _listed(x, found.where("not keep").select("rid"), "gone", False)
+    twice = stash(rows.groupBy("rid").count().where("count > 1").select("rid"), "repeated")
     if not twice.isEmpty():  # of repeated rows one stays
-        again = out.join(twice, F.col("__rid") == F.col("__twice"), "left_semi").dropDuplicates(["__rid"])
-        out = out.join(twice, F.col("__rid") == F.col("__twice"), "left_anti").unionByName(again)
+        again = _listed(out, twice, "twice", True).dropDuplicates(["__rid"])
+        out = _listed(out, twice, "twice", False).unionByName(again)
     return out.drop("__rid")

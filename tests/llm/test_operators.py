@@ -370,6 +370,25 @@ def test_deduplicate_goes_by_row_and_not_by_id(spark):
     assert got == sorted([("4", "one common text"), ("8", "a wholly different thing here"), ("9", "said twice over again"), ("3", "None"), ("3", "None"), ("2", " "), ("2", " ")])
 
 
+def test_deduplicate_leaves_texts_in_place(spark, monkeypatch):
+    rng = random.Random(31)
+    text = [" ".join(words(rng, 30)) for _ in range(60)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(text + text[:25])] + [(3, text[3], "en", "s"), (50, text[50], "en", "s"), (99, None, "en", "s"), (99, None, "en", "s")]
+    df = frame(spark, rows)
+    want = sorted([(i, t) for i, t in enumerate(text)] + [(99, None)] * 2, key=str)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # a table that has grown
+    try:
+        for most in (op3.IN_PLACE, 1):
+            monkeypatch.setattr(op3, "IN_PLACE", most)
+            out = op3.deduplicate(df)
+            assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == want
+            plan = op3.deduplicate(df.dropDuplicates().localCheckpoint())._jdf.queryExecution().executedPlan().toString()
+            assert ("Exchange" in plan) == (most == 1)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_hot_anchors_are_compared_in_cells(spark):
     rng = np.random.default_rng(6)
     base = rng.integers(0, 2**62, (3, 3), dtype=np.uint64)

@@ -40,6 +40,7 @@ CLASSES, WIDTH, DIM, SIDE = 7, 4, 16, 2
 VOCAB = WIDTH * CLASSES**3
 PREFIX, END, PRIOR = 3, 256, 4.0
 RATE, BATCH, SEED = 0.1, 8192, 3
+LARGE = 60  # exponents up to it and their sums are well within float32
 LANES, LANE_TOKENS, PARTS = 12, 131_072, 4
 
 
@@ -77,8 +78,8 @@ class Net:
         return h
 
     def forward(self, ids: np.ndarray, ctx: np.ndarray):
-        """Order by group, hidden layer, for each level (choice of each token, probabilities, nodes, their borders) and the log probability, all in that order."""
-        order = np.argsort(ids // self.words, kind="stable")
+        """Order by group, hidden layer, for each level (choice of each token, exponents, their sums, nodes, their borders) and the log probability, all in that order."""
+        order = np.argsort(_narrow(ids // self.words, self.classes**2), kind="stable")
         x = ids[order]
         group = x // self.words
         h = self.hidden(ctx[:, order])
@@ -92,9 +93,9 @@ class Net:
                 nodes, cut, z = node[first], np.append(first, len(x)).tolist(), np.empty((len(x), weights.shape[2]), np.float32)
                 for k, a, b in zip(nodes.tolist(), cut, cut[1:]):
                     np.matmul(h[a:b], weights[k], out=z[a:b])
-            p = _softmax(z)
-            total += np.log(p[i, choice] + 1e-30)
-            levels.append((choice, p, nodes, cut))
+            sums = _exponents(z)
+            total += np.log(z.ravel().take(i * z.shape[1] + choice) / sums + 1e-30)
+            levels.append((choice, z, sums, nodes, cut))
         return order, h, levels, total
 
     def step(self, ids: np.ndarray, ctx: np.ndarray, g2: "Net", rate: float) -> None:
@@ -102,9 +103,9 @@ class Net:
         order, h, levels, _ = self.forward(ids, ctx)
         n, i = len(ids), np.arange(len(ids))
         back, part = np.zeros((n, DIM + 1), np.float32), np.empty((n, DIM + 1), np.float32)
-        for (choice, p, nodes, cut), w, sq in zip(levels, (self.cls, self.mid, self.out), (g2.cls, g2.mid, g2.out)):
-            p[i, choice] -= 1
-            p /= n
+        for (choice, p, sums, nodes, cut), w, sq in zip(levels, (self.cls, self.mid, self.out), (g2.cls, g2.mid, g2.out)):
+            p *= (1 / (sums * np.float32(n)))[:, None]
+            p.reshape(-1)[i * p.shape[1] + choice] -= np.float32(1 / n)
             if nodes is None:
                 back += p @ w.T
                 _adagrad(w, sq, slice(None), h.T @ p, rate)
@@ -119,23 +120,34 @@ class Net:
         d = back[:, :DIM] * (1 - h[:, :DIM] ** 2)
         for j, at in enumerate(ctx):
             place = at[order] - j * (self.vocab + 1)
-            by = np.argsort(place.astype(np.uint16) if self.vocab < 65536 else place, kind="stable")
+            by = np.argsort(_narrow(place, self.vocab), kind="stable")
             place = place[by]
             first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-            _adagrad(self.emb, g2.emb, place[first] + j * (self.vocab + 1), np.add.reduceat(d.take(by, axis=0), first, axis=0), rate)
+            _adagrad(self.emb, g2.emb, place[first] + j * (self.vocab + 1), np.add.reduceat(d.take(by, axis=0).view(np.complex64), first, axis=0).view(np.float32), rate)  # two numbers are added at once
 
 
 def _adagrad(w: np.ndarray, sq: np.ndarray, at, grad: np.ndarray, rate: float) -> None:
-    s = sq[at] + grad * grad
+    s = grad * grad
+    s += sq[at]
     sq[at] = s
-    w[at] -= rate * grad / np.sqrt(s + 1e-10)
+    s += np.float32(1e-10)
+    np.sqrt(s, out=s)
+    np.divide(grad, s, out=s)
+    s *= np.float32(rate)
+    w[at] -= s
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+def _narrow(x: np.ndarray, most: int) -> np.ndarray:
+    """Whole numbers up to `most` in 16 bits, which sort by radix, if they fit."""
+    return x.astype(np.uint16) if most < 65536 else x
+
+
+def _exponents(z: np.ndarray) -> np.ndarray:
+    """exp(z) in place, and its sum in each row; where a number is large, z less the maximum of its row."""
+    if z.size and max(z.max(), -z.min()) > LARGE:
+        z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+    return z @ np.ones(z.shape[1], np.float32)
 
 
 def _count(batches):

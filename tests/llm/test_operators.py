@@ -468,6 +468,17 @@ def test_network_gradient():
     assert abs(p.sum() - 1) < 1e-3
 
 
+def test_exponents_of_small_and_large_numbers():
+    rng = np.random.default_rng(8)
+    for scale in (1, 15, 200):
+        z = (rng.standard_normal((500, 15)) * scale).astype(np.float32)
+        want = np.exp(z.astype(float) - z.max(axis=1, keepdims=True))
+        e = z.copy()
+        sums = op4._exponents(e)
+        assert np.isfinite(e).all() and (sums > 0).all() and np.allclose(e / sums[:, None], want / want.sum(axis=1, keepdims=True), rtol=1e-3, atol=1e-6)
+    assert op4._exponents(np.zeros((0, 15), np.float32)).shape == (0,)
+
+
 def test_model_beats_unigrams_on_ordered_text(spark):
     rng = random.Random(2)
     cycle = words(rng, 12)

@@ -798,6 +798,17 @@ def test_kneser_ney_against_brute_force(spark):
         assert abs(r[i] - brute_kn(sents, t)) < 1e-4
 
 
+def test_order_by_range():
+    rng = np.random.default_rng(12)
+    key = rng.integers(0, 2**64 - 1, 5000, dtype=np.uint64)
+    for q in (np.concatenate([key, key[:900], key[:50] ^ np.uint64(1), np.array([0, 2**64 - 1], np.uint64)]), key[:1], key[:0]):
+        order = op7._by_range(q)
+        assert (np.sort(order) == np.arange(len(q))).all()
+        for n in (1, 3, 103, 1 << op7.RANGE_BITS):
+            of = op7._range(q[order], n)
+            assert (of[1:] >= of[:-1]).all()
+
+
 def test_shards_read_one_by_one_score_the_same(spark, monkeypatch):
     rng = random.Random(2)
     text = [" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(80)]

@@ -36,7 +36,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from argosec.llm.shared import stash
+from argosec.llm.shared import lean, stash
 from argosec.llm.textvec import chunks, flat, grams, mix64, powers, sliding, tokenize
 
 MIN_WORDS = 50
@@ -354,7 +354,7 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS, shard_words: int =
     spark = docs.sparkSession
     x = _keyed(docs)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chosen = x.select("rid", "text").mapInArrow(_winnow(min_words), "rid long, h long, pos int").repartition(n, "h")
+    chosen = x.select("rid", "text").mapInArrow(lean("repeats", _winnow(min_words)), "rid long, h long, pos int").repartition(n, "h")
     # the same columns as the join below reads, so that both share one exchange
     again = chosen.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos"))["rid"].alias("label")).where("n > 1").select("h", "label")
     marks = stash(chosen.join(again, "h"), "marks")
@@ -371,7 +371,7 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS, shard_words: int =
     by = by.join(rest, F.col("rid") == F.col("copy_rid"), "left_anti")
     by = by.join(second.select(F.col("second").alias("rid"), "weight"), "rid", "left")
     full = x.join(by, "rid").select("rid", "doc_id", "text", "marks", F.coalesce("weight", F.lit(1)).alias("weight"))
-    segments = full.mapInArrow(_segments(min_words), _SEGMENT)
+    segments = full.mapInArrow(lean("repeats", _segments(min_words)), _SEGMENT)
     found = stash(segments.groupBy("part").applyInArrow(_shard(min_words), ROW), "repeats")
     names = [c.split()[0] for c in ROW.split(", ")]
     more = found.join(rest, F.col("rid") == F.col("second")).withColumn("doc_id", F.col("copy_id")).withColumn("rid", F.col("copy_rid"))
@@ -417,7 +417,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     x = docs.withColumn("__rid", rid).join(drop, "__rid", "left").select(*(F.col(f"`{c}`") for c in names), F.col("text").cast("string").alias("__text"), F.col("__cut"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     x = x.withColumn("__was", F.col("__cut").isNotNull())
-    out = x.select(*(F.col(f"`{c}`") for c in names), "__was", "__text", "__cut").mapInArrow(_cut([*names, "__was"]), ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "__was boolean", "__new string"]))
+    out = x.select(*(F.col(f"`{c}`") for c in names), "__was", "__text", "__cut").mapInArrow(lean("repeats", _cut([*names, "__was"])), ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "__was boolean", "__new string"]))
     out = out.where("not __was or trim(__new) <> ''")
     cols = []
     for c in docs.columns:

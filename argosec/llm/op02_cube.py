@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from argosec.llm.shared import stash
+from argosec.llm.shared import lean, stash
 from argosec.llm.textvec import chunks, count_words, flat
 
 TEMPERATURE, FRACTION, SEED, FLIGHT_ROWS = 0.7, 1.0, 17, 4096
@@ -120,7 +120,7 @@ def _redraw(units: DataFrame, seed: int, level: int) -> DataFrame:
 def draw(docs: DataFrame, weights: dict | None = None, temperature: float = TEMPERATURE, fraction: float = FRACTION, seed: int = SEED, flight_rows: int = FLIGHT_ROWS) -> DataFrame:
     """(row): hashes of the drawn rows of docs."""
     use = docs.select(F.col("source").cast("string").alias("source"), _row(seed).alias("row"), F.col("text").cast("string").alias("text"))
-    counted = use.mapInArrow(_count, "source string, row long, tokens long")
+    counted = use.mapInArrow(lean("cube", _count), "source string, row long, tokens long")
     units = stash(counted.groupBy("source", "row").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens")), "units")
     pi = inclusion(units, weights, temperature, fraction)
     drawn = units.join(F.broadcast(pi), F.col("source").eqNullSafe(F.col("s"))).drop("s")  # a row a source: see README for sources without number

@@ -29,13 +29,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from argosec.llm.shared import components, keep, new_path, stash, worker_table
+from argosec.llm.shared import components, keep, lean, new_path, stash, worker_table
 from argosec.llm.textvec import chunks, flat, mix64, tokenize
 
 BLOCKS, BLOCK_BITS = 6, 31
 MAX_DISTANCE, CELL = 24, 4096
 SHARD, SHARD_OWN, KEY_BITS = 400_000, 16_384, 48
 IN_PLACE = 4_000_000  # hashes of rows, 32 MB
+PIECE_BYTES = 250_000  # of text that are cut into words at once
 _SPREAD: dict = {}
 
 
@@ -51,7 +52,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     """(rows x 3 uint64, number of distinct words); the top two bits of each word are 0."""
     n = len(offsets) - 1
     out, distinct = np.zeros((n, 3), np.uint64), np.zeros(n, np.int64)
-    for a, b in chunks(offsets):
+    for a, b in chunks(offsets, PIECE_BYTES):
         lo = offsets[a]
         t = tokenize(data[lo : offsets[b]], offsets[a : b + 1] - lo, by_space=False)
         word = t.kind == 1
@@ -105,10 +106,12 @@ def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _fingerprint_batches(batches):
     for b in batches:
-        fp, words = fingerprints(*flat(pc.utf8_lower(b.column(2))))
-        keep = pa.array(words > 0)
-        fp = fp.view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(fp[:, i])) for i in range(3))], ["rid", "doc_id", "f0", "f1", "f2"]).filter(keep)
+        for at in range(0, b.num_rows, 1000):
+            s = b.slice(at, 1000)
+            fp, words = fingerprints(*flat(pc.utf8_lower(s.column(2))))
+            keep = pa.array(words > 0)
+            fp = fp.view(np.int64)
+            yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), *(pa.array(np.ascontiguousarray(fp[:, i])) for i in range(3))], ["rid", "doc_id", "f0", "f1", "f2"]).filter(keep)
 
 
 def _replicate(batches):
@@ -379,7 +382,7 @@ def cells(members: DataFrame, group: str, cell: int) -> DataFrame:
 
 def count_links(members: DataFrame, most: int, cell: int = CELL) -> DataFrame:
     """(fid, n_links) of members (fid, root, f0, f1, f2): fingerprints of the same class within `most` bits."""
-    return cells(members, "root", cell).mapInArrow(_links(most), "fid long, n long").groupBy("fid").agg(F.sum("n").alias("n_links"))
+    return cells(members, "root", cell).mapInArrow(lean("simhash", _links(most)), "fid long, n long").groupBy("fid").agg(F.sum("n").alias("n_links"))
 
 
 def edges_at_anchors(reps: DataFrame, max_distance: int, cell: int = CELL, shard: int = SHARD) -> DataFrame:
@@ -388,20 +391,20 @@ def edges_at_anchors(reps: DataFrame, max_distance: int, cell: int = CELL, shard
     partitions = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def meet(rows, compare):
-        found = stash(rows.repartition(partitions, "anchor").sortWithinPartitions("anchor").mapInArrow(compare, _FOUND), "anchors")
+        found = stash(rows.repartition(partitions, "anchor").sortWithinPartitions("anchor").mapInArrow(lean("simhash", compare), _FOUND), "anchors")
         return found.where("a is not null").select("a", "b"), found.where("anchor is not null").select("anchor", "id", "f0", "f1", "f2")
 
     if max_distance < 2 * BLOCKS:
-        edges, hot = meet(use.mapInArrow(_replicate, columns), _compare(max_distance, cell))
+        edges, hot = meet(use.mapInArrow(lean("simhash", _replicate), columns), _compare(max_distance, cell))
     else:
         high = _high(max_distance, reps.count())
-        edges, hot = meet(use.mapInArrow(_to_shards(max_distance, high), columns), _compare_shards(max_distance, high, cell, shard))
+        edges, hot = meet(use.mapInArrow(lean("simhash", _to_shards(max_distance, high)), columns), _compare_shards(max_distance, high, cell, shard))
         if not hot.isEmpty():
             more, hot = meet(hot, _compare(max_distance, cell))
             edges = edges.union(more)
     if hot.isEmpty():
         return edges
-    return edges.union(cells(hot.withColumnRenamed("id", "fid"), "anchor", cell).mapInArrow(_cell_edges(max_distance), "a long, b long"))
+    return edges.union(cells(hot.withColumnRenamed("id", "fid"), "anchor", cell).mapInArrow(lean("simhash", _cell_edges(max_distance)), "a long, b long"))
 
 
 def _row_id(docs: DataFrame):
@@ -413,7 +416,7 @@ def groups(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> tuple[DataFrame
     """(rid, doc_id, group_id, n_links, keep) of every document (a distinct row) that has a near duplicate, and the rid of each row with a fingerprint; both are tables of the shared folder."""
     spark = docs.sparkSession
     use = docs.select(_row_id(docs).alias("rid"), F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    prints = use.mapInArrow(_fingerprint_batches, "rid long, doc_id long, f0 long, f1 long, f2 long")
+    prints = use.mapInArrow(lean("simhash", _fingerprint_batches), "rid long, doc_id long, f0 long, f1 long, f2 long")
     prints = stash(prints.withColumn("fid", F.xxhash64("f0", "f1", "f2")), "prints")
     rows = prints.groupBy("rid", "doc_id", "fid").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("f2").alias("f2"))
     order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("at"), "rid", "doc_id")

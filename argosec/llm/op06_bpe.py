@@ -26,7 +26,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from argosec.llm.shared import keep
+from argosec.llm.shared import keep, lean
 from argosec.llm.textvec import flat
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -46,7 +46,7 @@ class Bpe:
         self.bytes = [b""] * size
         for k, v in self.rank.items():
             self.bytes[v] = k
-        self.byte_id = np.array([self.rank[bytes([i])] for i in range(256)], np.int64)
+        self.byte_id = np.array([self.rank[bytes([i])] for i in range(256)], np.int32)
         # pairs of tokens that join to a token: key left * size + right
         self.size = size
         keys, ranks = [], []
@@ -57,7 +57,7 @@ class Bpe:
                     keys.append(a * size + b)
                     ranks.append(v)
         order = np.argsort(keys)
-        self.pair_key, self.pair_rank = np.array(keys, np.int64)[order], np.array(ranks, np.int64)[order]
+        self.pair_key, self.pair_rank = np.array(keys, np.int64)[order], np.array(ranks, np.int32)[order]
         lens = np.array([len(b) for b in self.bytes], np.int64)
         self.start, self.len = np.cumsum(lens) - lens, lens
         self.pool = np.frombuffer(b"".join([*self.bytes, "\ufffd".encode()]), np.uint8)
@@ -66,9 +66,12 @@ class Bpe:
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, or -1."""
-        key = left * self.size + right
-        at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
-        return np.where(self.pair_key[at] == key, self.pair_rank[at], -1)
+        out = np.empty(len(left), np.int32)
+        for a in range(0, len(left), 1 << 16):  # by steps, as numbers of pairs take 8 bytes
+            key = left[a : a + (1 << 16)].astype(np.int64) * self.size + right[a : a + (1 << 16)]
+            at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
+            out[a : a + (1 << 16)] = np.where(self.pair_key[at] == key, self.pair_rank[at], -1)
+        return out
 
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces in order, number of ids of each)."""
@@ -76,12 +79,13 @@ class Bpe:
         n = int(lens.sum())
         ids = self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
         end = np.cumsum(lens)
-        nxt = np.arange(1, n + 1)
+        place = np.int32 if n < 2**31 - 1 else np.int64
+        nxt = np.arange(1, n + 1, dtype=place)
         nxt[end[lens > 0] - 1] = n  # n: none
-        prv = np.arange(-1, n - 1)
+        prv = np.arange(-1, n - 1, dtype=place)
         prv[(end - lens)[lens > 0]] = -1
-        nxt, prv = np.append(nxt, n), np.append(prv, -1)
-        ids = np.append(ids, -1)
+        nxt, prv = np.append(nxt, place(n)), np.append(prv, place(-1))
+        ids = np.append(ids, np.int32(-1))
         alive = np.ones(n + 1, bool)
         index: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
@@ -105,7 +109,7 @@ class Bpe:
                 else:
                     have.append(part)
 
-        add(np.arange(n))
+        add(np.arange(n, dtype=place))
         while heap:
             rank = heapq.heappop(heap)
             lists = index.pop(rank)
@@ -256,11 +260,11 @@ def encode(docs: DataFrame, ranks: str = RANKS, drop_text: bool = False, verify:
     new = ("tokens", "n_tokens", "round_trip")[: 2 + verify]
     names = [c for c in docs.columns if c not in new and not (drop_text and c == "text")]
     use = docs.select(*(F.col(f"`{c}`") for c in names), F.col("text").cast("string").alias("__text"))
-    return use.mapInArrow(_encode(ranks, names, verify), _schema(docs, names, "tokens array<int>, n_tokens long" + ", round_trip boolean" * verify))
+    return use.mapInArrow(lean("bpe", _encode(ranks, names, verify)), _schema(docs, names, "tokens array<int>, n_tokens long" + ", round_trip boolean" * verify))
 
 
 def decode(tokens: DataFrame, ranks: str = RANKS) -> DataFrame:
     """tokens with the column decoded: the text of the ids in the column tokens."""
     names = [c for c in tokens.columns if c != "decoded"]
     use = tokens.select(*(F.col(f"`{c}`") for c in names), F.col("tokens").cast("array<int>").alias("__ids"))
-    return use.mapInArrow(_decode(ranks, names), _schema(tokens, names, "decoded string"))
+    return use.mapInArrow(lean("bpe", _decode(ranks, names)), _schema(tokens, names, "decoded string"))

@@ -36,13 +36,14 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from argosec.llm.shared import drop_path, drop_stash, keep, new_path, stash, worker_fs
-from argosec.llm.textvec import _TOKEN_MUL, chunks, flat, grams, mix64, tokenize
+from argosec.llm.shared import drop_path, drop_stash, keep, lean, new_path, stash, worker_fs
+from argosec.llm.textvec import _TOKEN_MUL, chunks, flat, mix64, tokenize
 from argosec.storage import release_shuffles, write_text
 
 MAX_TRAIN_DOCS = None  # no bound
 QUANTILE, SLACK, LEAST = 0.998, 5.0, 50
 SHARD_ROWS, KEPT_ROWS, BLOCK_TOKENS, COUNT_TOKENS = 250_000, 2_000_000, 700_000, 1_000_000
+PIECE_BYTES = 250_000  # of text that are cut into tokens at once
 SHARD_BYTES = 5  # of text for each trigram of a shard, at least
 RANGE_BITS = 16  # of a key that name its range
 TABLES = {1: ("",), 2: ("bi",), 3: ("tri", "ctx")}
@@ -74,10 +75,11 @@ def _unpack(data: bytes) -> list[np.ndarray]:
 
 
 def _gram(*words: np.ndarray) -> np.ndarray:
-    """The hash that `grams` gives to these words in a row."""
+    """Hash of these words in a row, as textvec.grams has it; column by column, without tables of powers as long as the text."""
     acc = words[-1]
     for w in words[-2::-1]:
-        acc = w + acc * np.uint64(_TOKEN_MUL)
+        acc = acc * np.uint64(_TOKEN_MUL)
+        acc += w
     return mix64(acc, len(words))
 
 
@@ -117,13 +119,17 @@ def _count_grams(shards: int, groups: int, ends: bool):
 
     def count(hashes, sizes):
         h, n = np.concatenate(hashes), np.concatenate(sizes)
+        hashes.clear()
         row = np.repeat(np.arange(len(n), dtype=np.int32), n)
         ok = np.flatnonzero(row[2:] == row[:-2]) if len(h) > 2 else np.zeros(0, np.int64)
         del row
         got = []
-        order, at = _first(_tri(grams(h, 2)[ok], grams(h, 3)[ok])) if len(ok) else (ok, ok)
-        of, times = ok[order[at]], np.diff(np.append(at, len(order)))
-        cols = h[of], h[of + 1], h[of + 2]
+        u, v, w = h[ok], h[ok + 1], h[ok + 2]
+        order, at = _first(_tri(_gram(u, v), _gram(u, v, w)))
+        of, times = order[at], np.diff(np.append(at, len(order)))
+        del ok, order, at
+        cols = u[of], v[of], w[of]
+        del u, v, w, of
         grp = _range(_gram(*cols[ends : ends + 2]), shards) * np.uint64(groups) // np.uint64(shards)
         order = np.argsort(grp, kind="stable")
         for g, a, z in _cuts(grp[order]):
@@ -141,12 +147,10 @@ def _count_grams(shards: int, groups: int, ends: bool):
     def run(batches):
         hashes, sizes, held = [], [], 0
         for b in batches:
-            data, off = flat(pc.utf8_lower(b.column(0)))
-            for a, z in chunks(off):
-                t = tokenize(data[off[a] : off[z]], off[a : z + 1] - off[a], by_space=False)
-                hashes.append(t.hash)
-                sizes.append(np.diff(t.first))
-                held += len(t.hash)
+            for _, h, n in _tokens(b):
+                hashes.append(h)
+                sizes.append(n)
+                held += len(h)
                 if held >= COUNT_TOKENS:
                     yield count(hashes, sizes)
                     hashes, sizes, held = [], [], 0
@@ -259,11 +263,11 @@ def fit(trusted: DataFrame) -> str:
     groups = -(-shards // 2)
     path, stats = new_path(spark, "kneser-ney"), {}
     for k, make in ((3, _contexts), (2, _ends)):  # one after the other, so that only one of the shuffles is on disk
-        counted = text.mapInArrow(_count_grams(shards, groups, k == 2), "grp int, words boolean, data binary").repartitionById(groups, "grp")
-        release_shuffles(spark, lambda x=counted.mapInArrow(make(shards), _SHARD), k=k: x.write.option("compression", "uncompressed").parquet(f"{path}/{k}"))
+        counted = text.mapInArrow(lean("kneser-ney", _count_grams(shards, groups, k == 2)), "grp int, words boolean, data binary").repartitionById(groups, "grp")
+        release_shuffles(spark, lambda x=counted.mapInArrow(lean("kneser-ney", make(shards)), _SHARD), k=k: x.write.option("compression", "uncompressed").parquet(f"{path}/{k}"))
         made = spark.read.schema(_SHARD).parquet(f"{path}/{k}")
         stats[k] = [x or 0 for x in made.agg(*(F.sum(F.col("stats")[i]) for i in range(5))).first()]
-    words = made.where("word is not null").select("word").mapInArrow(_word_rows, ", ".join(f"{c} long" for c in ("word", *COUNTS)))
+    words = made.where("word is not null").select("word").mapInArrow(lean("kneser-ney", _word_rows), ", ".join(f"{c} long" for c in ("word", *COUNTS)))
     uni = stash(words.groupBy("word").agg(F.greatest(F.sum("n"), F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in COUNTS[1:])), "words")
     of = uni.agg(F.count("*"), F.sum("n"), *(F.count_if(F.col("n") == i) for i in (1, 2, 3, 4))).first()
     n = max(1, -(-of[0] // SHARD_ROWS))
@@ -351,7 +355,7 @@ class Model:
         share, total, back = self.words(h)
         p = share + self.floor
         if len(h) > 1:
-            two = grams(h, 2)
+            two = _gram(h[:-1], h[1:])
             lower = p[1:]
             ok = (row[1:] == row[:-1]) & (total[:-1] > 0)
             by = _by_range(two)
@@ -362,7 +366,7 @@ class Model:
             del by
             ok = np.flatnonzero((row[2:] == row[:-2]) & (total[:-1] > 0)).astype(np.int32)
             if len(ok):
-                key = _tri(two[ok], grams(h, 3)[ok])
+                key = _tri(two[ok], _gram(h[ok], h[ok + 1], h[ok + 2]))
                 del two
                 (count,) = self.find(3, "tri", key, _by_range(key))
                 p[ok + 2] = count / total[ok].astype(np.float64) + back[ok] * p[ok + 2]
@@ -397,17 +401,23 @@ def model(path: str) -> Model:
     return keep("kneser-ney", "model", path, lambda: Model(path))
 
 
+def _tokens(batch):
+    """(slice, tokens' hashes, number of tokens of each row) of a batch's last column, by slices of about PIECE_BYTES."""
+    text = batch.column(batch.num_columns - 1)
+    for a, z in chunks(flat(text)[1], PIECE_BYTES):
+        t = tokenize(*flat(pc.utf8_lower(text.slice(a, z - a))), by_space=False)
+        yield batch.slice(a, z - a), t.hash, np.diff(t.first)
+
+
 def _blocks(batches):
     """Batches cut or joined so that each has about BLOCK_TOKENS tokens of the last column: (batch, tokens' hashes, first token of each row)."""
     held, hashes, sizes, n = [], [], [], 0
     for b in batches:
-        data, off = flat(pc.utf8_lower(b.column(b.num_columns - 1)))
-        for a, z in chunks(off):
-            t = tokenize(data[off[a] : off[z]], off[a : z + 1] - off[a], by_space=False)
-            held.append(b.slice(a, z - a))
-            hashes.append(t.hash)
-            sizes.append(np.diff(t.first))
-            n += len(t.hash)
+        for part, h, size in _tokens(b):
+            held.append(part)
+            hashes.append(h)
+            sizes.append(size)
+            n += len(h)
             if n >= BLOCK_TOKENS:
                 block = held, np.concatenate(hashes), np.concatenate(sizes)
                 held, hashes, sizes, n = [], [], [], 0
@@ -438,7 +448,7 @@ def _score(path: str, drop: int):
 def perplexity(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, lang, n_tokens, surprisal) of every row; surprisal is in bits a token."""
     use = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return use.mapInArrow(_score(path, 1), "doc_id long, lang string, __n_tokens long, __surprisal double").withColumnsRenamed({"__n_tokens": "n_tokens", "__surprisal": "surprisal"})
+    return use.mapInArrow(lean("kneser-ney", _score(path, 1)), "doc_id long, lang string, __n_tokens long, __surprisal double").withColumnsRenamed({"__n_tokens": "n_tokens", "__surprisal": "surprisal"})
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train_docs: int | None = MAX_TRAIN_DOCS) -> tuple[str, DataFrame, DataFrame]:
@@ -489,7 +499,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_train_docs: int | None = M
     names = [c for c in names if not (same and c == "text")]
     use = use.select(*(F.col(f"`{c}`") for c in names), "__text")
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in [*names, *["__text"] * same]), "__n_tokens long", "__surprisal double"])
-    scored = stash(use.mapInArrow(_score(path, 0 if same else 1), schema), "scored")
+    scored = stash(use.mapInArrow(lean("kneser-ney", _score(path, 0 if same else 1)), schema), "scored")
     drop_path(docs.sparkSession, path)
     out = judge(scored, trusted, sample, quantile, slack, least).where("__keep")
     return out.select(*(F.col("__text").alias("text") if same and c == "text" else F.col(f"`{c}`") for c in docs.columns))

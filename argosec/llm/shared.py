@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 
+import pyarrow as pa
 import pyarrow.dataset as pads
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from argosec.storage import new_path, shared_dir, spread, stash, stash_alone, worker_fs
 
-__all__ = ["components", "drop_path", "drop_stash", "keep", "new_path", "shared_dir", "spread", "stash", "stash_alone", "table", "worker_fs", "worker_table"]
+__all__ = ["components", "drop_path", "drop_stash", "keep", "lean", "new_path", "shared_dir", "spread", "stash", "stash_alone", "table", "worker_fs", "worker_table"]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -40,6 +43,28 @@ def keep(group: str, name: str, key, make):
     return kept[name][1]
 
 
+def lean(group: str, run):
+    """run, for mapInArrow, in a worker that keeps no other group's objects and gives free memory back before and after; else a worker holds on to the most that any task before took."""
+
+    def task(batches):
+        _give_back(group)
+        yield from run(batches)
+        _give_back(group)
+
+    return task
+
+
+def _give_back(group: str) -> None:
+    kept = sys.__dict__.get("_argosec_kept", {})
+    if kept.get("group") != group:
+        kept.clear()
+        gc.collect()  # what was kept may hold itself
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's only
+    if trim:
+        trim(0)
+
+
 def worker_table(path: str, columns=None):
     """A written table, read inside a Python worker."""
     fs, bare = worker_fs(path)

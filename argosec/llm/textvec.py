@@ -15,9 +15,12 @@ _CACHE: dict = {}
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """Finaliser of splitmix64, vectorised."""
     x = x + U64((seed * 0x9E3779B97F4A7C15 + 0x9E3779B97F4A7C15) & (2**64 - 1))
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    x ^= x >> U64(30)
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(27)
+    x *= U64(0x94D049BB133111EB)
+    x ^= x >> U64(31)
+    return x
 
 
 def powers(mul: int, n: int) -> tuple[np.ndarray, np.ndarray]:

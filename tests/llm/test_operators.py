@@ -8,6 +8,8 @@ import math
 import os
 import random
 import re
+import tracemalloc
+import weakref
 import zlib
 
 import duckdb
@@ -27,6 +29,7 @@ from argosec.llm import op07_kneser_ney as op7
 from argosec.llm import op08_warc as op8
 from argosec.llm import op09_chat as op9
 from argosec.llm import op10_threshold as op10
+from argosec.llm import shared, textvec
 from argosec.llm.shared import components, shared_dir
 from argosec.llm.textvec import HashIndex, count_words, flat, grams, mix64, sliding, tokenize
 
@@ -855,6 +858,44 @@ def test_classifier_leaves_no_tables_behind(spark, labels):
     assert not [n for n in set(os.listdir(folder)) - before if n.startswith(("kneser", "grams", "words"))]
 
 
+def test_counting_and_scoring_take_little_beside_the_tokens(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    text = [" ".join(f"w{i}" for i in rng.integers(0, 30_000, 500)) for _ in range(1200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(text)], ["text"])
+    monkeypatch.setattr(op7, "COUNT_TOKENS", 500_000)
+    monkeypatch.setattr(op7, "BLOCK_TOKENS", 500_000)
+    path = op7.fit(spark.createDataFrame([(t,) for t in text[:2]], "text string"))
+    for run, most in ((op7._count_grams(4, 2, False), 220), (op7._count_grams(4, 2, True), 220), (op7._score(path, 1), 115)):
+        textvec._CACHE.clear()
+        tracemalloc.start()
+        n = sum(b.num_rows for b in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n and peak < most * 500_000, peak / 500_000  # bytes a token
+
+
+def test_lean_worker_gives_memory_back():
+    class Held:
+        pass
+
+    held = Held()
+    held.me, gone = held, weakref.ref(held)
+    shared.keep("other", "held", 1, lambda: held)
+    del held
+    used = lambda: sum(map(int, re.findall(r"\n(?:Pss_Anon):\s+(\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+    pins = []
+
+    def run(batches):
+        for b in batches:
+            rows = [np.ones(12_000) for _ in range(2000)]  # 192 MB, in parts below the size that the system gets back at once
+            pins.extend(rows[::100])
+            yield b
+
+    before = used()
+    assert list(shared.lean("own", run)(iter([1]))) == [1] and gone() is None
+    assert used() < before + 60 and len(pins) == 20
+
+
 def test_packed_columns():
     rng = np.random.default_rng(4)
     for cols in ([rng.integers(0, 2**64, 999, dtype=np.uint64), np.arange(999)], [np.zeros(0, np.int64)], [np.array([0, 255]), np.array([256, 65536]), np.array([2**32, 1])]):

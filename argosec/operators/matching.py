@@ -20,6 +20,8 @@ def candidates(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """
     key = F.concat_ws("\0", F.substring("idx_class", 1, 1), F.when(F.col("idx_class") == "callee", F.col("callee")).when(F.col("idx_class") == "suffix", F.col("callee_last")).otherwise(F.col("kind")))
     r = with_index(rules).select(F.col("language").alias("r_lang"), key.alias("r_key"), F.col("idx_class").alias("r_class"), F.col("callee").alias("r_callee"), F.struct(*rules.columns).alias("rule"))
+    # as rows of a generator, the columns are no aliases of one JSON text: from those the optimizer infers constraints without end where nodes have literal columns
+    r = r.select(F.inline(F.array(F.struct(*r.columns))))
     call = F.col("kind") == "call"
     keys = F.array(F.concat(F.lit("k\0"), "kind"), F.when(call, F.concat(F.lit("c\0"), "callee_text")), F.when(call, F.concat(F.lit("s\0"), "callee_last")))
     x = nodes.withColumn("n_key", F.explode(F.array_compact(keys)))

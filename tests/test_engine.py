@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from argosec import cli
 from argosec.functions.text import entropy, glob_regex
-from argosec.operators import accuracy, dependencies, findings, incremental, reports, secrets
+from argosec.operators import accuracy, dependencies, findings, incremental, matching, reports, secrets
 from argosec.plans import scan as scan_plan
 from argosec.plans.scan import Options, scan
 from argosec.sources import config_kv, inputs, lockfiles, rules, walk
@@ -327,3 +327,19 @@ def test_no_llm_import_outside():
             if n.endswith(".py"):
                 with open(os.path.join(folder, n), encoding="utf-8") as f:
                     assert "argosec.llm" not in f.read(), n
+
+
+def test_rules_over_literal_columns_are_planned_at_once(spark):
+    """Nodes with literal and null columns gave the optimizer constraints until its heap was full."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    args = F.array(F.struct(*(F.col("path").alias(c) for c in ("kind", "text", "source", "kwarg_name", "kwarg_value"))))
+    none = {"text": "string", "lhs": "string", "rhs": "string", "attribute_texts": "array<string>", "except_handlers": "array<struct<is_bare:boolean,types:array<string>,is_empty_body:boolean>>"}
+    n = spark.createDataFrame([("a.py",)], "path string").select("path", F.lit("python").alias("language"), F.lit(0).alias("ix"), F.lit("call").alias("kind"), F.lit("eval").alias("callee_text"), F.lit("eval").alias("callee_last"), F.lit(1).alias("argument_count"), args.alias("args"), *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
+    taint = n.select("path", F.lit("v").alias("var"), F.lit(True).alias("tainted"))
+    pool = ThreadPoolExecutor(1)
+    try:
+        found = pool.submit(lambda: matching.match(n, rules.load_rules(spark), taint).select("path", F.col("rule.id").alias("id")).collect()).result(timeout=90)
+    finally:
+        pool.shutdown(wait=False)
+    assert ("a.py", "ZS-PY-001") in [tuple(r) for r in found]

@@ -6,10 +6,10 @@ looks less surprising than it is. (`max_train_docs`, if given, bounds the counte
 some COUNT_TOKENS tokens and sends them, as packed places in a list of their words, to the range of hashes of their first bigram, where counts, and the totals and
 kinds of what follows each bigram, are whole; then, when those shuffle files are gone, once more to the range of their last bigram, for continuation counts. The
 model holds whole numbers, of which a worker works out shares and back-off weights for the n-grams it asks for. A shard is a range of hashes of SHARD_ROWS trigrams
-at most on average, written to the shared folder, and removed once all is scored. Scoring joins the n-grams of
-a block of documents (BLOCK_TOKENS tokens, or one longer document) with the shards one after the other, so that a worker
-holds a block and a shard, however large the model; a model of up to KEPT_ROWS n-grams is kept in the worker instead of
-being read for each block. Both give the same perplexities.
+at most on average, written as plain columns to the shared folder, and removed once all is scored. Scoring looks the n-grams of
+a block of documents (BLOCK_TOKENS tokens, or one longer document) up in the shards one after the other. Shards on a local file system are mapped into
+memory, so that a block costs what its own n-grams take, however large the model; from others a shard is read whole for each block, and a model of up to
+KEPT_ROWS n-grams is kept in the worker. All give the same perplexities.
 
 A document is rejected when its mean surprisal, less `slack` / sqrt(tokens), exceeds the
 `quantile` of that figure among the trusted documents that were not counted, of its own language;
@@ -27,12 +27,12 @@ and a doc_id with contradicting labels is not trusted.
 from __future__ import annotations
 
 import json
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,18 +176,38 @@ def _counted(batches, cols: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return [np.concatenate(c) for c in found], own
 
 
-def _rows(shards: int, schema: pa.Schema, tables: dict, more: dict):
-    """A row a shard: of each table (key in order, more columns) its keys and its packed rest; the first row has `more`."""
-    parts: dict[int, dict] = {}
-    for name, (key, *cols) in tables.items():
-        for s, a, z in _cuts(_range(key, shards)):
-            parts.setdefault(s, {}).update({name: key[a:z].tobytes(), f"{name}_n": _pack(*(c[a:z] for c in cols))})
-    rows = [{"shard": s, **parts[s]} for s in sorted(parts)] or [{"shard": None}]
+def _rows(path: str, parts: dict[int, dict], more: dict):
+    """A file of plain columns, each of whole numbers in the fewest bytes of 1, 2, 4 or 8 from a multiple of 8 on, and a row a shard that tells where those of its tables are: (place, bytes a number, numbers). The first row has `more`."""
+    fs, bare = worker_fs(path)
+    rows, name, at = [], uuid.uuid4().hex, 0
+    if parts:
+        fs.create_dir(f"{bare}/data", recursive=True)
+        with fs.open_output_stream(f"{bare}/data/{name}", compression=None) as f:
+            for s in sorted(parts):
+                places = {}
+                for table, cols in parts[s].items():
+                    for c in cols:
+                        width = 8 if c.dtype == np.uint64 else next(w for w in (1, 2, 4, 8) if w == 8 or int(c.max(initial=0)) < 1 << 8 * w)
+                        raw = c.astype(f"u{width}").tobytes()
+                        f.write(raw + b"\0" * (-len(raw) % 8))
+                        places.setdefault(table, []).append((at, width, len(c)))
+                        at += len(raw) + -len(raw) % 8
+                rows.append({"shard": s, "file": name, "at": json.dumps(places)})
+    rows = rows or [{}]
     rows[0] |= more
-    yield from (pa.RecordBatch.from_pylist([r], schema=schema) for r in rows)
+    yield from (pa.RecordBatch.from_pylist([r], schema=_ARROW) for r in rows)
+
+
+def _by_shard(shards: int, tables: dict) -> dict[int, dict]:
+    """shard -> table -> columns, of tables whose first column are keys in order."""
+    parts: dict[int, dict] = {}
+    for name, cols in tables.items():
+        for s, a, z in _cuts(_range(cols[0], shards)):
+            parts.setdefault(s, {})[name] = [c[a:z] for c in cols]
+    return parts
 
 
-def _contexts(shards: int):
+def _contexts(path: str, shards: int):
     """Trigrams and their counts, and what follows each of their first bigrams."""
 
     def run(batches):
@@ -199,12 +219,12 @@ def _contexts(shards: int):
         tri, uv, n = tri[order[at]], uv[order[at]], np.add.reduceat(n[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
         order, at = _first(uv)
         ctx = (uv[order[at]], *_follow(n[order], at))
-        yield from _rows(shards, _ARROW, {"tri": (tri, n), "ctx": ctx}, {"stats": [*_first_counts(n), len(tri) + len(at)]})
+        yield from _rows(path, _by_shard(shards, {"tri": (tri, n), "ctx": ctx}), {"stats": [*_first_counts(n), len(tri) + len(at)]})
 
     return run
 
 
-def _ends(shards: int):
+def _ends(path: str, shards: int):
     """Bigrams that end a trigram, by the number of different words before them; words as the end of bigrams, as what they begin with, and all there are."""
 
     def run(batches):
@@ -222,13 +242,13 @@ def _ends(shards: int):
         cols[0][np.searchsorted(words, end)] = ends
         for c, x in zip(cols[1:], follow):
             c[np.searchsorted(words, begin)] = x
-        yield from _rows(shards, _ARROW, {"bi": (bi, m)}, {"word": _pack(words, *cols), "stats": [*_first_counts(m), len(bi)]})
+        yield from _rows(path, _by_shard(shards, {"bi": (bi, m)}), {"word": _pack(words, *cols), "stats": [*_first_counts(m), len(bi)]})
 
     return run
 
 
-_SHARD = "shard int, tri binary, tri_n binary, ctx binary, ctx_n binary, bi binary, bi_n binary, word binary, stats array<bigint>"
-_ARROW = pa.schema([("shard", pa.int32()), *((c, pa.binary()) for c in ("tri", "tri_n", "ctx", "ctx_n", "bi", "bi_n", "word")), ("stats", pa.list_(pa.int64()))])
+_SHARD = "shard int, file string, at string, word binary, stats array<bigint>"
+_ARROW = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("at", pa.string()), ("word", pa.binary()), ("stats", pa.list_(pa.int64()))])
 
 
 def _first_counts(n: np.ndarray) -> list[int]:
@@ -247,6 +267,16 @@ def _word_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.uint64).view(np.int64)), *(pa.array(c.astype(np.int64)) for c in cols[1:])], ["word", *COUNTS])
 
 
+def _words(path: str):
+    """The words of a partition, in order, as a shard."""
+
+    def run(batches):
+        cols = [np.concatenate(c) for c in zip(*([c.to_numpy() for c in b.columns] for b in batches))]
+        yield from _rows(path, {0: {"": [cols[0].view(np.uint64), *cols[1:]]}} if cols else {}, {})
+
+    return run
+
+
 def _discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more, from the counts of counts."""
     y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
@@ -261,65 +291,85 @@ def fit(trusted: DataFrame) -> str:
     size = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = min(1 << RANGE_BITS, max(1, -(-size // (SHARD_ROWS * SHARD_BYTES))))
     groups = -(-shards // 2)
-    path, stats = new_path(spark, "kneser-ney"), {}
+    path, stats, shard = new_path(spark, "kneser-ney"), {}, {}
+
+    def write(df: DataFrame, k: int) -> DataFrame:
+        release_shuffles(spark, lambda: df.write.option("compression", "uncompressed").parquet(f"{path}/{k}"))
+        made = spark.read.schema(_SHARD).parquet(f"{path}/{k}")
+        shard[k] = sorted((r.shard, r.file, json.loads(r.at)) for r in made.where("file is not null").select("shard", "file", "at").collect())  # a row a shard
+        return made
+
     for k, make in ((3, _contexts), (2, _ends)):  # one after the other, so that only one of the shuffles is on disk
         counted = text.mapInArrow(lean("kneser-ney", _count_grams(shards, groups, k == 2)), "grp int, words boolean, data binary").repartitionById(groups, "grp")
-        release_shuffles(spark, lambda x=counted.mapInArrow(lean("kneser-ney", make(shards)), _SHARD), k=k: x.write.option("compression", "uncompressed").parquet(f"{path}/{k}"))
-        made = spark.read.schema(_SHARD).parquet(f"{path}/{k}")
+        made = write(counted.mapInArrow(lean("kneser-ney", make(path, shards)), _SHARD), k)
         stats[k] = [x or 0 for x in made.agg(*(F.sum(F.col("stats")[i]) for i in range(5))).first()]
     words = made.where("word is not null").select("word").mapInArrow(lean("kneser-ney", _word_rows), ", ".join(f"{c} long" for c in ("word", *COUNTS)))
     uni = stash(words.groupBy("word").agg(F.greatest(F.sum("n"), F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in COUNTS[1:])), "words")
     of = uni.agg(F.count("*"), F.sum("n"), *(F.count_if(F.col("n") == i) for i in (1, 2, 3, 4))).first()
     n = max(1, -(-of[0] // SHARD_ROWS))
     part = F.least(F.lit(n - 1), ((F.col("word") / 2.0**64 + 0.5) * n).cast("int"))  # words are hashes, so ranges of them are even
-    release_shuffles(spark, lambda: uni.repartitionById(n, part).sortWithinPartitions("word").write.parquet(f"{path}/1"))
+    write(uni.repartitionById(n, part).sortWithinPartitions("word").select("word", *COUNTS).mapInArrow(lean("kneser-ney", _words(path)), _SHARD), 1)
     drop_stash(uni)
     d = {1: _discounts(*of[2:]), **{k: _discounts(*x[:4]) for k, x in stats.items()}}
     held = sum(c * x for c, x in zip((of[2], of[3], of[0] - of[2] - of[3]), d[1]))
-    meta = {"shards": shards, "words": of[0], "rows": of[0] + sum(x[4] for x in stats.values()), "total": of[1] or 0, "floor": (held / of[1] if of[0] else 1.0) / (of[0] + 1), "discounts": d}
+    meta = {"shards": shards, "words": of[0], "rows": of[0] + sum(x[4] for x in stats.values()), "total": of[1] or 0, "floor": (held / of[1] if of[0] else 1.0) / (of[0] + 1), "discounts": d, "shards_at": shard}
     write_text(spark, f"{path}/model.json", json.dumps(meta))
     return path
 
 
 class Model:
-    """The shards of each order, read one after the other; all of them are kept while they have no more than KEPT_ROWS rows.
+    """The shards of each order, looked into one after the other: mapped into memory from a local file system until close(), else read each time. All are kept while they have no more than KEPT_ROWS rows.
 
     Order 1 is the words in order, as they end bigrams (n) and as what follows them adds up (total, n1, n2, n3). A shard of orders 2 and 3 is a range of hashes
     of bigrams: as the end of trigrams (order 2); what follows a bigram, and the trigrams that begin with it (order 3).
     """
 
     def __init__(self, path: str):
-        self.fs, bare = worker_fs(path)
-        self.files: dict[int, list[str]] = {}
-        for k in (1, 2, 3):
-            found = self.fs.get_file_info(pafs.FileSelector(f"{bare}/{k}"))
-            self.files[k] = sorted(f.path for f in found if f.path.endswith(".parquet"))
-        with self.fs.open_input_stream(f"{bare}/model.json") as h:
+        self.fs, self.bare = worker_fs(path)
+        with self.fs.open_input_stream(f"{self.bare}/model.json") as h:
             meta = json.loads(h.read())
         self.n_shards, self.total, self.floor = meta["shards"], meta["total"], meta["floor"]
         self.discounts = {int(k): np.array([0.0, *d]) for k, d in meta["discounts"].items()}
+        self.at = {int(k): rows for k, rows in meta["shards_at"].items()}
+        self.files = {k: sorted({file for _, file, _ in rows}) for k, rows in self.at.items()}
         self.keep = meta["rows"] <= KEPT_ROWS
-        self.held: dict[tuple[str, str], list] = {}
+        self.maps: dict[str, np.ndarray] = {}
+        self.held: dict[tuple[str, int, str], tuple] = {}
         if self.keep:
             for k, tables in TABLES.items():
                 for table in tables:
                     list(self.shards(k, table))
 
     def shards(self, k: int, table: str = ""):
-        """Order 1: (words in order, n, total, n1, n2, n3). Orders 2 and 3: (shard, keys in order and other columns of one of its tables, or None)."""
-        for f in self.files[k]:
-            got = self.held.get((f, table))
+        """Order 1: (words in order, n, total, n1, n2, n3). Orders 2 and 3: (shard, (keys in order, and the other columns of one of its tables))."""
+        for s, file, at in self.at[k]:
+            if table not in at:
+                continue
+            got = self.held.get((file, s, table))
             if got is None:
-                with self.fs.open_input_file(f) as h:
-                    t = pq.read_table(h, columns=["word", *COUNTS] if k == 1 else ["shard", table, f"{table}_n"])
+                got = self._columns(file, at[table])
                 if k == 1:
-                    got = [tuple(c.combine_chunks().to_numpy() if c.num_chunks else np.zeros(0, np.int64) for c in t.columns)]
-                else:
-                    rows = zip(t.column("shard").to_pylist(), t.column(table), t.column(f"{table}_n"))
-                    got = [(s, (np.frombuffer(key.as_buffer(), np.uint64), *_unpack(rest.as_buffer())) if key.is_valid else None) for s, key, rest in rows if s is not None]
+                    got = (got[0].view(np.int64), *got[1:])
                 if self.keep:
-                    self.held[f, table] = got
-            yield from got
+                    got = self.held[file, s, table] = tuple(c.copy() for c in got)
+            yield got if k == 1 else (s, got)
+
+    def _columns(self, file: str, places: list) -> tuple[np.ndarray, ...]:
+        path, first = f"{self.bare}/data/{file}", 0
+        if isinstance(self.fs, pafs.LocalFileSystem):
+            if file not in self.maps:
+                with pa.memory_map(path) as h:
+                    self.maps[file] = np.frombuffer(h.read_buffer(), np.uint8)
+            raw = self.maps[file]
+        else:
+            first, last = places[0][0], places[-1][0] + places[-1][1] * places[-1][2]
+            with self.fs.open_input_file(path) as h:
+                raw = np.frombuffer(h.read_at(last - first, first), np.uint8)
+        return tuple(raw[a - first : a - first + w * n].view(f"u{w}") for a, w, n in places)
+
+    def close(self) -> None:
+        """Let go of the mapped files: while they are mapped, removing them frees no disk."""
+        self.maps.clear()
 
     def words(self, h: np.ndarray) -> list[np.ndarray]:
         """Share of each word, total of what follows it, and its back-off weight; 0 of those that are not known."""
@@ -342,7 +392,7 @@ class Model:
         out = [np.zeros(len(q), np.float32) for _ in range(1 + (table == "ctx"))]
         for s, own in self.shards(k, table):
             lo, hi = np.searchsorted(of, [s, s + 1])
-            if own is not None and lo < hi:
+            if lo < hi:
                 to, i = _hits(lo, q[lo:hi], own[0])
                 if table == "ctx":
                     out[0][to], out[1][to] = self._follow(3, [c[i] for c in own[1:]])
@@ -432,15 +482,18 @@ def _score(path: str, drop: int):
 
     def run(batches):
         m = model(path)
-        for held, h, n in _blocks(batches):
-            row = np.repeat(np.arange(len(n), dtype=np.int32), n)
-            total = np.bincount(row, m.log2(h, row), minlength=len(n))
-            at = 0
-            for b in held:
-                k, s = n[at : at + b.num_rows], total[at : at + b.num_rows]
-                at += b.num_rows
-                cols = b.columns[: b.num_columns - drop]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(k), pa.array(-s / np.maximum(k, 1), mask=k == 0)], [*b.schema.names[: len(cols)], "__n_tokens", "__surprisal"])
+        try:
+            for held, h, n in _blocks(batches):
+                row = np.repeat(np.arange(len(n), dtype=np.int32), n)
+                total = np.bincount(row, m.log2(h, row), minlength=len(n))
+                at = 0
+                for b in held:
+                    k, s = n[at : at + b.num_rows], total[at : at + b.num_rows]
+                    at += b.num_rows
+                    cols = b.columns[: b.num_columns - drop]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(k), pa.array(-s / np.maximum(k, 1), mask=k == 0)], [*b.schema.names[: len(cols)], "__n_tokens", "__surprisal"])
+        finally:
+            m.close()
 
     return run
 

@@ -16,6 +16,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs
 import pytest
 from pyspark.sql import functions as F
 
@@ -825,6 +826,26 @@ def test_shards_read_one_by_one_score_the_same(spark, monkeypatch):
     assert np.allclose(whole.log2(t.hash, t.row_of()), cut.log2(t.hash, t.row_of()), atol=1e-6)
 
 
+def test_a_block_does_not_read_the_whole_model(spark, monkeypatch):
+    monkeypatch.setattr(op7, "SHARD_ROWS", 100)
+    monkeypatch.setattr(op7, "KEPT_ROWS", 0)
+    rng = random.Random(3)
+    text = [" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(80)]
+    path = op7.fit(spark.createDataFrame([(t,) for t in text], "text string"))
+    mapped, read = op7.Model(path), op7.Model(path)
+    read.fs = pa.fs.SubTreeFileSystem("/", pa.fs.LocalFileSystem())  # one whose files can't be mapped
+    for k, tables in op7.TABLES.items():
+        for name in tables:
+            for one, again, other in zip(mapped.shards(k, name), mapped.shards(k, name), read.shards(k, name)):
+                one, again, other = (x if k == 1 else x[1] for x in (one, again, other))
+                assert all(np.shares_memory(a, b) and (a == c).all() for a, b, c in zip(one, again, other))
+    t = tokenize(*flat(pa.array([*text[:9], "new word", ""])), False)
+    assert (mapped.log2(t.hash, t.row_of()) == read.log2(t.hash, t.row_of())).all() and mapped.maps and not read.maps
+    own = []
+    monkeypatch.setattr(op7, "model", lambda path: own.append(mapped) or mapped)
+    assert sum(b.num_rows for b in op7._score(path, 1)(iter([pa.RecordBatch.from_arrays([pa.array(text)], ["text"])]))) == 80 and own and not mapped.maps
+
+
 def test_no_trusted_document_is_left_out(spark):
     n = 2600
     lab = spark.createDataFrame([(i, 1, 0) for i in range(n)], "doc_id long, quality int, toxic int")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from argosec import cli
 from argosec.functions.text import entropy, glob_regex
-from argosec.operators import accuracy, dependencies, findings, incremental, matching, reports, secrets
+from argosec.operators import accuracy, dependencies, findings, incremental, intervals, matching, reports, secrets, symbols
 from argosec.plans import scan as scan_plan
 from argosec.plans.scan import Options, scan
 from argosec.sources import config_kv, inputs, lockfiles, rules, walk
@@ -343,3 +343,32 @@ def test_rules_over_literal_columns_are_planned_at_once(spark):
     finally:
         pool.shutdown(wait=False)
     assert ("a.py", "ZS-PY-001") in [tuple(r) for r in found]
+
+
+def test_ancestors_meet_by_blocks(spark):
+    import random
+
+    rng, rows = random.Random(4), []
+
+    def grow(path, up):
+        ix = len(rows)
+        rows.append([path, ix, ix, up])
+        for _ in range(rng.choice((0, 0, 0, 1, 2)) if up >= 0 else 60):
+            grow(path, ix)
+        rows[ix][2] = len(rows) - 1
+
+    grow("a", -1)
+    grow("b", -1)  # places of the second file begin somewhere
+    t = spark.createDataFrame([tuple(r) for r in rows], "path string, ix int, end_ix int, parent_ix int")
+    want, up = set(), {r[1]: r[3] for r in rows}
+    for path, ix, _, at in rows:
+        d = 0
+        while at >= 0:
+            d += 1
+            want.add((path, ix, at, d))
+            at = up[at]
+    got = intervals.ancestors(t, t)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(rows) > 2 * intervals.BLOCK
+    below = intervals.descendants(t, t.where("ix % 3 = 0"))
+    assert sorted(tuple(r) for r in below.collect()) == sorted((p, a, i) for p, i, a, _ in want if a % 3 == 0)
+    assert "block" in got._jdf.queryExecution().optimizedPlan().toString()  # by path alone a file's nodes would all be held against each other

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,27 +44,90 @@ def scope_at(lines: DataFrame, scopes_: DataFrame) -> DataFrame:
     return j.groupBy("path", "line").agg(F.coalesce(F.min(span)["scope_ix"], F.lit(0)).alias("scope_ix"))
 
 
+class _Scopes:
+    """The scopes of a file: ids in order (those that are only named as parents, too), whether they are rows, and the place of each one's parent, or -1."""
+
+    def __init__(self, scope: pa.ChunkedArray, parent: pa.ChunkedArray):
+        own, held = scope.to_numpy(), parent.is_valid().to_numpy()
+        up = parent.fill_null(0).to_numpy()
+        self.ids = np.unique(np.concatenate([own, up[held]]))
+        self.is_row, self.up = np.zeros(len(self.ids), bool), np.full(len(self.ids), -1, np.int64)
+        self.is_row[self.find(own)] = True
+        self.up[self.find(own[held])] = self.find(up[held])
+
+    def find(self, ids: np.ndarray) -> np.ndarray:
+        """Place of each id, or -1."""
+        if not len(self.ids):
+            return np.full(len(ids), -1, np.int64)
+        i = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        return np.where(self.ids[i] == ids, i, -1)
+
+
+def _chains(t: pa.Table) -> pa.Table:
+    s = _Scopes(t["scope_ix"], t["parent_ix"])
+    first = at = np.flatnonzero(s.is_row)
+    out, distance = [], 0
+    while len(at) and distance <= len(s.ids):  # no chain is longer, unless scopes lie in themselves
+        out.append((s.ids[first], s.ids[at], np.full(len(at), distance)))
+        distance += 1
+        more = s.up[at] >= 0
+        first, at = first[more], s.up[at[more]]
+    cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
+    path = pa.repeat(t["path"][0], len(cols[0]))
+    return pa.table([path, *map(pa.array, cols)], ["path", "scope_ix", "up_ix", "distance"])
+
+
 def scope_chains(scopes_: DataFrame) -> DataFrame:
-    """(path, scope_ix, up_ix, distance): each scope and those around it; recursive in SQL, as deep as the scopes are nested."""
-    spark = scopes_.sparkSession
-    return spark.sql(
-        """WITH RECURSIVE chain(path, scope_ix, up_ix, distance) MAX RECURSION LEVEL 100000 AS (
-             SELECT path, scope_ix, scope_ix, 0 FROM {s}
-             UNION ALL
-             SELECT c.path, c.scope_ix, s.parent_ix, c.distance + 1 FROM chain c JOIN {s} s
-               ON c.path = s.path AND c.up_ix = s.scope_ix WHERE s.parent_ix IS NOT NULL)
-           SELECT * FROM chain""",
-        s=scopes_.select("path", "scope_ix", "parent_ix"),
-    )
+    """(path, scope_ix, up_ix, distance): each scope and those around it, worked out file by file."""
+    kind = scopes_.schema["scope_ix"].dataType
+    s = scopes_.where("path is not null and scope_ix is not null").select("path", F.col("scope_ix").cast("long").alias("scope_ix"), F.col("parent_ix").cast("long").alias("parent_ix"))
+    c = s.groupBy("path").applyInArrow(_chains, "path string, scope_ix long, up_ix long, distance long")
+    return c.select("path", F.col("scope_ix").cast(kind).alias("scope_ix"), F.col("up_ix").cast(kind).alias("up_ix"), F.col("distance").cast("int").alias("distance"))
+
+
+def _resolve(t: pa.Table) -> pa.Table:
+    names, scopes_, syms = (t.filter(pc.equal(t["what"], k)) for k in range(3))
+    s = _Scopes(scopes_["scope_ix"], scopes_["parent_ix"])
+    code = pa.chunked_array([*names["name"].chunks, *syms["name"].chunks], pa.string()).combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+    code, own = code[: names.num_rows], code[names.num_rows :]
+    # the first symbol of each name in each scope
+    place, seq = s.find(syms["scope_ix"].to_numpy()), syms["seq"].to_numpy()
+    row = np.flatnonzero(place >= 0)
+    row = row[np.lexsort((seq[row], own[row] * len(s.ids) + place[row]))]
+    keys, at = np.unique(own[row] * len(s.ids) + place[row], return_index=True)
+    row = row[at]
+    # all names go up together, each until its scope has such a symbol
+    where, found = s.find(names["scope_ix"].to_numpy()), np.full(names.num_rows, -1, np.int64)
+    todo = np.flatnonzero(where >= 0)
+    todo = todo[s.is_row[where[todo]]]
+    for _ in range(len(s.ids) + 1):  # no chain is longer, unless scopes lie in themselves
+        if not len(todo) or not len(keys):
+            break
+        want = code[todo] * len(s.ids) + where[todo]
+        i = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+        hit = keys[i] == want
+        found[todo[hit]] = row[i[hit]]
+        todo = todo[~hit]
+        where[todo] = s.up[where[todo]]
+        todo = todo[where[todo] >= 0]
+    some = np.flatnonzero(found >= 0)
+    n, y = names.take(some), syms.take(found[some])
+    return pa.table([n["path"], n["name"], n["scope_ix"], y["seq"], y["kind"]], ["path", "name", "scope_ix", "seq", "kind"])
 
 
 def resolve(names: DataFrame, symbols_: DataFrame, scopes_: DataFrame) -> DataFrame:
-    """(path, name, scope_ix, seq, kind): the first symbol of a name along the chain of scopes."""
-    chain = scope_chains(scopes_)
-    s = symbols_.select("path", "name", "seq", F.col("scope_ix").alias("up_ix"), "kind")
-    j = names.join(chain, ["path", "scope_ix"]).join(s, ["path", "name", "up_ix"])
-    best = F.min_by(F.struct("seq", "kind"), F.struct("distance", "seq"))
-    return j.groupBy("path", "name", "scope_ix").agg(best.alias("b")).select("path", "name", "scope_ix", "b.seq", "b.kind")
+    """(path, name, scope_ix, seq, kind): the first symbol of a name along the chain of scopes. Chains are walked file by file and never written out."""
+    columns = {"path": "string", "what": "int", "name": "string", "scope_ix": "long", "parent_ix": "long", "seq": "long", "kind": "string"}
+
+    def part(df: DataFrame, what: int, *given: str) -> DataFrame:
+        use = df.where(" and ".join(f"{c} is not null" for c in given if c in ("path", "name", "scope_ix", "seq")))
+        return use.select(*(F.lit(what).alias(c) if c == "what" else (F.col(c) if c in given else F.lit(None)).cast(t).alias(c) for c, t in columns.items()))
+
+    t = part(names.select("path", "name", "scope_ix").distinct(), 0, "path", "name", "scope_ix")
+    t = t.unionByName(part(scopes_, 1, "path", "scope_ix", "parent_ix")).unionByName(part(symbols_, 2, "path", "name", "scope_ix", "seq", "kind"))
+    r = t.groupBy("path").applyInArrow(_resolve, "path string, name string, scope_ix long, seq long, kind string")
+    kinds = {"scope_ix": names.schema["scope_ix"].dataType, "seq": symbols_.schema["seq"].dataType}
+    return r.select(*(F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in r.columns))
 
 
 def enclosing_symbol(lines: DataFrame, symbols_: DataFrame) -> DataFrame:

@@ -372,3 +372,33 @@ def test_ancestors_meet_by_blocks(spark):
     below = intervals.descendants(t, t.where("ix % 3 = 0"))
     assert sorted(tuple(r) for r in below.collect()) == sorted((p, a, i) for p, i, a, _ in want if a % 3 == 0)
     assert "block" in got._jdf.queryExecution().optimizedPlan().toString()  # by path alone a file's nodes would all be held against each other
+
+
+def test_resolve_writes_no_chains(spark):
+    import random
+
+    rng, limit = random.Random(6), "spark.sql.cteRecursionRowLimit"
+    scopes_ = [(p, i, rng.randrange(max(0, i - 3), i) if i else None) for p in "ab" for i in range(60)]
+    syms = [(p, rng.choice("xyz"), i + 1, rng.randrange(60), rng.choice(("class", "function"))) for p in "ab" for i in range(25)]
+    names = [(p, rng.choice("xyzw"), rng.randrange(70)) for p in "abc" for _ in range(80)]
+    up = {(p, i): u for p, i, u in scopes_}
+    chains, want = set(), set()
+    for p, i, _ in scopes_:
+        at, d = i, 0
+        while at is not None:
+            chains.add((p, i, at, d))
+            at, d = up[p, at], d + 1
+    for p, n, i in names:
+        found = min(((d, s[2], s[4]) for q, j, at, d in chains if (q, j) == (p, i) for s in syms if (s[0], s[1], s[3]) == (p, n, at)), default=None)
+        if found:
+            want.add((p, n, i, *found[1:]))
+    sc = spark.createDataFrame(scopes_, "path string, scope_ix int, parent_ix int")
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, 200)
+    try:
+        got = symbols.resolve(spark.createDataFrame(names, "path string, name string, scope_ix int"), spark.createDataFrame(syms, "path string, name string, seq int, scope_ix int, kind string"), sc)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(chains) > 400
+        assert sorted(tuple(r) for r in symbols.scope_chains(sc).collect()) == sorted(chains)
+    finally:
+        spark.conf.set(limit, before)
+    assert [t for _, t in got.dtypes] == ["string", "string", "int", "int", "string"]

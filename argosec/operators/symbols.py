@@ -39,9 +39,12 @@ def symbols(nodes: DataFrame) -> DataFrame:
 
 def scope_at(lines: DataFrame, scopes_: DataFrame) -> DataFrame:
     """(path, line, scope_ix): the smallest scope around a line, the earliest of equal ones, the file where none is."""
-    j = lines.join(scopes_.select("path", "scope_ix", F.col("start_line").alias("a"), F.col("end_line").alias("z")), "path", "left")
-    span = F.when((F.col("line") >= F.col("a")) & (F.col("line") <= F.col("z")), F.struct((F.col("z") - F.col("a")).alias("span"), "scope_ix"))
-    return j.groupBy("path", "line").agg(F.coalesce(F.min(span)["scope_ix"], F.lit(0)).alias("scope_ix"))
+    kind = scopes_.schema["scope_ix"].dataType
+    # of scopes over the same lines only the first counts; span and place in one number, so that lines are summed up as they are joined, without a sort
+    s = scopes_.groupBy("path", F.col("start_line").alias("a"), F.col("end_line").alias("z")).agg(F.min("scope_ix").cast("long").alias("first"))
+    j = lines.join(s, "path", "left")
+    span = F.when((F.col("line") >= F.col("a")) & (F.col("line") <= F.col("z")), F.shiftleft((F.col("z") - F.col("a")).cast("long"), 32) + F.col("first"))
+    return j.groupBy("path", "line").agg(F.coalesce(F.min(span).bitwiseAND(F.lit((1 << 32) - 1)), F.lit(0)).cast(kind).alias("scope_ix"))
 
 
 class _Scopes:
@@ -133,6 +136,9 @@ def resolve(names: DataFrame, symbols_: DataFrame, scopes_: DataFrame) -> DataFr
 def enclosing_symbol(lines: DataFrame, symbols_: DataFrame) -> DataFrame:
     """(path, line, symbol): the first function or class by definition whose lines hold the line; '' where none does."""
     s = symbols_.where("kind in ('function', 'class')").select("path", "seq", "name", F.col("start_line").alias("a"), F.col("end_line").alias("z"))
-    j = lines.join(s, "path", "left")
-    hit = F.when((F.col("line") >= F.col("a")) & (F.col("line") <= F.col("z")), F.struct("seq", "name"))
-    return j.groupBy("path", "line").agg(F.coalesce(F.min(hit)["name"], F.lit("")).alias("symbol"))
+    lines = lines.select("path", "line").distinct()
+    # of symbols over the same lines only the first counts
+    first = s.groupBy("path", "a", "z").agg(F.min("seq").alias("seq"))
+    hit = lines.join(first, "path").where("line between a and z").groupBy("path", "line").agg(F.min("seq").alias("seq"))
+    named = hit.join(s.select("path", "seq", "name"), ["path", "seq"]).groupBy("path", "line").agg(F.min("name").alias("name"))
+    return lines.join(named, ["path", "line"], "left").select("path", "line", F.coalesce("name", F.lit("")).alias("symbol"))

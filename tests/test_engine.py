@@ -402,3 +402,18 @@ def test_resolve_writes_no_chains(spark):
     finally:
         spark.conf.set(limit, before)
     assert [t for _, t in got.dtypes] == ["string", "string", "int", "int", "string"]
+
+
+def test_lines_are_summed_up_without_a_sort(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), i + 1, rng.choice("fg"), rng.choice(("class", "function", "variable")), a := rng.randrange(20), a + rng.randrange(9)) for i in range(90)]
+    s = spark.createDataFrame(rows, "path string, seq int, name string, kind string, start_line int, end_line int")
+    at = spark.createDataFrame([(p, n) for p in "abc" for n in range(-1, 30)] * 2, "path string, line int")
+    scope = symbols.scope_at(at, s.withColumn("scope_ix", F.col("seq")))
+    held = {(p, n): [r for r in rows if r[0] == p and r[4] <= n <= r[5]] for p in "abc" for n in range(-1, 30)}
+    assert {(r.path, r.line): r.scope_ix for r in scope.collect()} == {k: min(((r[5] - r[4], r[1]) for r in v), default=(0, 0))[1] for k, v in held.items()}
+    named = symbols.enclosing_symbol(at, s).collect()
+    assert {(r.path, r.line): r.symbol for r in named} == {k: min(((r[1], r[2]) for r in v if r[3] != "variable"), default=(0, ""))[1] for k, v in held.items()} and len(named) == len(held)
+    assert "SortAggregate" not in scope._jdf.queryExecution().sparkPlan().toString() and dict(scope.dtypes)["scope_ix"] == "int"

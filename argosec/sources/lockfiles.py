@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from argosec.functions.text import base_name
 from argosec.sources.walk import lines
+from argosec.storage import spread
 
 DEPENDENCY = "ecosystem string, package string, version string, manifest string, direct boolean"
 _VERSIONS = "map<string,struct<version:string>>"
@@ -50,11 +51,12 @@ def yarn(files: DataFrame) -> DataFrame:
 def _pnpm(pdfs):
     import yaml
 
+    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
     for pdf in pdfs:
         out = []
         for x in pdf.itertuples():
             try:
-                doc = yaml.safe_load(x.content or "")
+                doc = yaml.load(x.content or "", loader)
             except yaml.YAMLError:
                 doc = None
             keys = (doc.get("packages") if isinstance(doc, dict) else None) or {}
@@ -63,7 +65,7 @@ def _pnpm(pdfs):
 
 
 def pnpm(files: DataFrame) -> DataFrame:
-    k = _named(files, r"\Apnpm-lock\.ya?ml\z").select("path", "content").mapInPandas(_pnpm, "path string, k string")
+    k = spread(_named(files, r"\Apnpm-lock\.ya?ml\z").select("path", "content")).mapInPandas(_pnpm, "path string, k string")
     rx = r"\A/?(.+)@([^@]+)\z"
     k = k.withColumn("k", F.regexp_replace("k", r"\(.*\z", ""))  # what peers it was resolved with
     return _out(k.select("path", F.regexp_extract("k", rx, 1).alias("package"), F.regexp_extract("k", rx, 2).alias("version"), F.lit(True).alias("direct")), "npm")
@@ -127,7 +129,7 @@ def _pom(pdfs):
 
 
 def maven(files: DataFrame) -> DataFrame:
-    return _out(_named(files, r"\Apom\.xml\z").select("path", "content").mapInPandas(_pom, "path string, package string, version string, direct boolean"), "Maven")
+    return _out(spread(_named(files, r"\Apom\.xml\z").select("path", "content")).mapInPandas(_pom, "path string, package string, version string, direct boolean"), "Maven")
 
 
 READERS = (npm, yarn, pnpm, pipfile, requirements, go_mod, maven)

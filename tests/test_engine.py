@@ -417,3 +417,10 @@ def test_lines_are_summed_up_without_a_sort(spark):
     named = symbols.enclosing_symbol(at, s).collect()
     assert {(r.path, r.line): r.symbol for r in named} == {k: min(((r[1], r[2]) for r in v if r[3] != "variable"), default=(0, ""))[1] for k, v in held.items()} and len(named) == len(held)
     assert "SortAggregate" not in scope._jdf.queryExecution().sparkPlan().toString() and dict(scope.dtypes)["scope_ix"] == "int"
+
+
+@pytest.mark.parametrize("read,path,text", [(lockfiles.pnpm, "pnpm-lock.yaml", "packages:\n  /a@1.0: {}\n"), (lockfiles.maven, "pom.xml", "<project><dependencies><dependency><groupId>g</groupId><artifactId>a</artifactId><version>1</version></dependency></dependencies></project>")])
+def test_manifests_of_one_split_are_read_by_all_tasks(spark, read, path, text):
+    f = spark.range(40).coalesce(1).select(F.concat(F.col("id").cast("string"), F.lit(f"/{path}")).alias("path"), F.lit(text).alias("content"))
+    got = read(f)
+    assert got.count() == 40 and "Exchange" in got._jdf.queryExecution().executedPlan().toString()

@@ -92,7 +92,7 @@ for _t, _k, _c in (("documents", "doc_id", "text"), ("pages", "page_id", "html")
 
 @query(cte("src_files") + ",\n" + _lines("src_files") + " SELECT line, count(*) AS n, count(DISTINCT path) AS n_files FROM src_files_lines GROUP BY line")
 def lines_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return walk.lines(derived(spark, sf_dir, "src_files")).groupBy("line").agg(F.count("*").alias("n"), F.count_distinct("path").alias("n_files"))
+    return walk.line_counts(derived(spark, sf_dir, "src_files"))
 
 
 # walking

@@ -85,6 +85,7 @@ def not_ignored(files: DataFrame, patterns: DataFrame) -> DataFrame:
 
 _LISTED = "kind string, rel_path string, size long, regex string"
 LIST_STEP = 5000
+FILES_A_TASK = 100_000
 
 
 def _children(folder: str):
@@ -170,6 +171,16 @@ def walk(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), max_byte
     return f.select(path.alias("path"), "rel_path", "size", is_binary(F.col("content")).alias("is_binary"), language(path, text).alias("language"), text.alias("content"), F.sha2("content", 256).alias("content_sha256"))
 
 
+def line_counts(files: DataFrame) -> DataFrame:
+    """(line, n, n_files): how often each line occurs, and in how many paths.
+
+    Files go to tasks of some FILES_A_TASK of them by path, so what a task holds does not grow with the input, and (path, line) is whole within a task and needs no shuffle of its own.
+    """
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, -(-files.count() // FILES_A_TASK))
+    own = lines(files.select("path", "content").repartition(tasks, "path")).groupBy("path", "line").agg(F.count("*").alias("n"))
+    return own.groupBy("line").agg(F.sum("n").alias("n"), F.count("path").alias("n_files"))
+
+
 def lines(files: DataFrame) -> DataFrame:
     """(path, line_no, line): every line, split at \\n alone."""
     return files.select("path", F.posexplode(F.split("content", "\n")).alias("pos", "line")).select("path", (F.col("pos") + 1).alias("line_no"), "line")

@@ -424,3 +424,16 @@ def test_manifests_of_one_split_are_read_by_all_tasks(spark, read, path, text):
     f = spark.range(40).coalesce(1).select(F.concat(F.col("id").cast("string"), F.lit(f"/{path}")).alias("path"), F.lit(text).alias("content"))
     got = read(f)
     assert got.count() == 40 and "Exchange" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_line_counts_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(walk, "FILES_A_TASK", 5)
+    f = spark.createDataFrame([(f"p{i % 30}", f"same\nsame\nl{i % 7}\n" if i != 3 else None) for i in range(40)], "path string, content string")
+    got = walk.line_counts(f)
+    want = {}
+    for i in range(40):
+        for x in ("same", "same", f"l{i % 7}", "") if i != 3 else ():
+            n, paths = want.get(x, (0, frozenset()))
+            want[x] = n + 1, paths | {i % 30}
+    assert {r.line: (r.n, r.n_files) for r in got.collect()} == {k: (n, len(p)) for k, (n, p) in want.items()}
+    assert "hashpartitioning(path" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "), REPARTITION_BY_NUM" in plan and ", 8), REPARTITION_BY_NUM" in plan

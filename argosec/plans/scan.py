@@ -23,7 +23,7 @@ from argosec.parsers.facts import ir_facts
 from argosec.parsers.front import ir_nodes
 from argosec.sources.lockfiles import dependencies
 from argosec.sources.rules import load_rules, local_hash
-from argosec.storage import stash
+from argosec.storage import spread, stash
 
 
 @dataclass
@@ -118,11 +118,14 @@ def register(wanted: Callable[[Options], bool], scanner: Callable[[Inputs], Data
 
 def scan(spark: SparkSession, files: DataFrame, options: Options | None = None, advisories: DataFrame | None = None, nodes: DataFrame | None = None, state: State | None = None, vulnerable_deps: DataFrame | None = None) -> DataFrame:
     o = options or Options()
+    scanners = [scanner for wanted, scanner in SCANNERS if wanted(o)]
+    if scanners:  # each reads all files, some of them several times over; so they are read or worked out once
+        files = stash(spread(files), "files")
     code = (files.where(F.col("language").isin(*o.languages)) if o.languages else files).where("not is_binary")
     rules = load_rules(spark, o.rules)
     parts = [incremental_sast(code, rules, o, state) if state is not None else sast(code, rules, o.graphs, nodes)]
     given = Inputs(files, advisories, vulnerable_deps)
-    parts += [found for wanted, scanner in SCANNERS if wanted(o) and (found := scanner(given)) is not None]
+    parts += [found for scanner in scanners if (found := scanner(given)) is not None]
     out = fd.dedup(fd.union(*parts), o.compat_dedup)
     if o.allow:
         out, _ = fd.suppressed(out, fd.allowlist(spark, o.allow))

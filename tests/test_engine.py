@@ -437,3 +437,17 @@ def test_line_counts_in_bounded_tasks(spark, monkeypatch):
             want[x] = n + 1, paths | {i % 30}
     assert {r.line: (r.n, r.n_files) for r in got.collect()} == {k: (n, len(p)) for k, (n, p) in want.items()}
     assert "hashpartitioning(path" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "), REPARTITION_BY_NUM" in plan and ", 8), REPARTITION_BY_NUM" in plan
+
+
+def test_files_are_worked_out_once_for_all_scanners(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    f = files(spark, **{"a.py": "eval(x)\n", ".env": "DEBUG=true\n", "requirements.txt": "lib==1.0\n"})
+    advisories = spark.createDataFrame([("A-1", "PyPI", "lib", "0", "2.0", "HIGH", None, None)], dependencies.ADVISORY)
+    found = scan(spark, f.mapInArrow(tell, f.schema), Options(secrets=True, sca=True, config=True), advisories).collect()
+    assert {r.kind for r in found} == {"sast", "config", "sca"} and seen.value == 3
